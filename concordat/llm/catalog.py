@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import embeddings, mixing, packing, secrets
+from concordat.llm import embeddings, line_templates, mixing, order_minhash, packing, preference, quality_rules, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocabulary": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -25,15 +29,31 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped_at", ",").alias("dropped_at"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_embedding_neardup, op8_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (
+    op2_quality_rules, op3_secret_scan, op5_embedding_neardup, op6_quality_classifier, op7_line_dedup, op8_packing,
+    op9_minhash_neardup, op10_mixing,
+)}
 
 #: Small vectors by brute force: all pairs of a label, then reachability by recursion.
 EMBEDDING_SQL = """
