@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import embeddings, line_templates, mixing, order_minhash, packing, preference, quality_rules, secrets
+from concordat.llm import embeddings, line_templates, mixing, order_minhash, packing, preference, pseudo_likelihood, quality_rules, secrets, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocabulary": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -25,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(read(spark, sf_dir, "pages"))
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -51,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_rules, op3_secret_scan, op5_embedding_neardup, op6_quality_classifier, op7_line_dedup, op8_packing,
+    op1_lm_scoring, op2_quality_rules, op3_secret_scan, op4_url_filter, op5_embedding_neardup, op6_quality_classifier, op7_line_dedup, op8_packing,
     op9_minhash_neardup, op10_mixing,
 )}
 

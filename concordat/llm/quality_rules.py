@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from concordat.llm.hashed_text import ALL, Sample, batches_of, descend, labelled, scores, sigmoid
 from concordat.llm.shared import Words
@@ -31,6 +31,7 @@ STEPS = 60
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 THRESHOLD = 0.5
+FOUND = dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "bigint") | {"base_failed": "boolean", "kept": "boolean", "p_quality": "double"}
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -103,23 +104,25 @@ def fit(sample: Sample) -> tuple[np.ndarray, float, float, float]:
 
 def judge(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-    most: int = FIT_ROWS, threshold: float = THRESHOLD, seed: int = 5,
+    most: int = FIT_ROWS, threshold: float = THRESHOLD, seed: int = 5, carry: bool = False,
 ) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_quality."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_quality.
+
+    With ``carry``, all columns of ``docs`` in place of doc_id, so that a filter needs no join back.
+    """
     w, b, slope, offset = fit(labelled(docs, labels, text=text, doc_id=doc_id, label=label, most=most, seed=seed))
-    w = w.astype(np.float32)
+    w, read = w.astype(np.float32), text if carry else "__text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of(batches):
+        for batch, texts in batches_of(batches, read):
             words = Words(texts)
             c = counts(texts, words)
+            wide = batch.num_columns if carry else 1
             failed = base_failed(c["n_words"], c["n_repeat_words"])
             p = sigmoid(slope * scores(texts, w, b, words) + offset)
-            cols = {"doc_id": batch.column(0), **{k: pa.array(v, pa.int64()) for k, v in c.items()}, "base_failed": pa.array(failed), "kept": pa.array(~failed & (p >= threshold)), "p_quality": pa.array(p)}
-            yield pa.RecordBatch.from_pydict(cols)
-
-    two = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(
-        score, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, p_quality double"
-    )
+            found = {**{k: pa.array(v, pa.int64()) for k, v in c.items()}, "base_failed": pa.array(failed), "kept": pa.array(~failed & (p >= threshold)), "p_quality": pa.array(p)}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:wide], *found.values()], [*batch.schema.names[:wide], *found])
+
+    rows = docs.select(*[c for c in docs.columns if c not in FOUND]) if carry else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
+    kept = rows.schema.fields[: None if carry else 1]
+    return rows.mapInArrow(score, T.StructType([*kept, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in FOUND.items())).fields]))

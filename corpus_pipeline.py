@@ -1,16 +1,42 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences, stage by stage.
+
+Each stage reads what the one before it wrote. All but the last return the columns of
+``documents``; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import mixing, packing
-from concordat.llm.catalog import tokenizer_files
+from concordat.llm import line_templates, mixing, order_minhash, packing, quality_rules
+from concordat.llm.catalog import read, tokenizer_files
 from concordat.llm.shared import shared_dir
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the classifier reject go."""
+    verdict = quality_rules.judge(docs, read(spark, sf_dir, "labels"), carry=True)
+    return verdict.where("kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go from the texts; a document of which no word is left goes."""
+    out = line_templates.dedup(docs).where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays; documents without an id all stay."""
+    found = order_minhash.classes(docs)
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.where("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them."""
     return mixing.repeated(mixing.mix(docs), docs.columns)
@@ -20,7 +46,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, **tokenizer_files())
 
 
-STAGES = [("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: SQL expresses neither the trained model nor the sketches; tests/llm holds run() against brute force.
 ORACLE_SQL = None
@@ -30,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = f"{root}/{k}-{name.replace(' ', '_')}"
+        out = f"{root}/{k}-{name.replace(' ', '-')}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
