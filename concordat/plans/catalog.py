@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from concordat.plans import three_way
+from concordat.plans import matching, three_way
 
-QUERIES = dict(three_way.QUERIES)
-ORACLE = dict(three_way.ORACLE)
+MODULES = (three_way, matching)
+
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
