@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from concordat.functions.bind import let
+
 # IBAN lengths by country.
 IBAN_LENGTHS = {
     "AD": 24, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "BY": 28, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
@@ -18,6 +20,7 @@ IBAN_LENGTHS = {
 }
 #: Countries that use no IBANs.
 WITHOUT_IBAN = ("US", "CA")
+IBAN_SHAPE = r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"
 # VAT number bodies by prefix.
 VAT_FORMATS = {
     "AT": r"U\d{8}", "BE": r"[01]\d{9}", "BG": r"\d{9,10}", "CHE": r"\d{9}(?:MWST|TVA|IVA)?", "CY": r"\d{8}[A-Z]", "CZ": r"\d{8,10}",
@@ -73,20 +76,22 @@ def iban_compact(s: Column) -> Column:
 
 
 def iban_shaped(iban: Column) -> Column:
-    return iban_compact(iban).rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$")
+    return iban_compact(iban).rlike(IBAN_SHAPE)
 
 
 def iban_valid(iban: Column) -> Column:
     """Shape, the country's length, and ISO 7064 MOD 97-10 by a running remainder."""
-    s = iban_compact(iban)
-    turned = F.concat(F.substring(s, 5, 40), F.substring(s, 1, 4))
     step = lambda acc, c: F.when(c.rlike("[0-9]"), (acc * 10 + c.try_cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
-    remainder = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: step(a, c).cast("int"))
     lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
-    fits = F.coalesce(F.try_element_at(lengths, F.substring(s, 1, 2)) == F.length(s), F.lit(True))
-    return F.when(iban.isNull(), None).otherwise(
-        F.coalesce(iban_shaped(iban) & ~F.substring(s, 1, 2).isin(*WITHOUT_IBAN) & fits & (F.when(iban_shaped(iban), remainder) == 1), F.lit(False))
-    )
+
+    def judge(s: Column) -> Column:
+        turned = F.concat(F.substring(s, 5, 40), F.substring(s, 1, 4))
+        remainder = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda a, c: step(a, c).cast("int"))
+        country = F.substring(s, 1, 2)
+        fits = F.coalesce(F.try_element_at(lengths, country) == F.length(s), F.lit(True))
+        return F.when(s.rlike(IBAN_SHAPE) & ~country.isin(*WITHOUT_IBAN) & fits, remainder == 1).otherwise(F.lit(False))
+
+    return F.when(iban.isNotNull(), let(iban_compact(iban), judge))
 
 
 def luhn(s: Column) -> Column:
@@ -123,8 +128,8 @@ def vat_ch(b: Column) -> Column:
 def vat_de(b: Column) -> Column:
     product = F.lit(10)
     for i in range(1, 9):
-        s = (digit(b, i) + product) % 10
-        product = (2 * F.when(s == 0, 10).otherwise(s)) % 11
+        # A sum of 0 counts as 10; written so that the term stands once in each step.
+        product = (2 * ((digit(b, i) + product + 9) % 10 + 1)) % 11
     return shaped(b, r"\d{9}", (11 - product) % 10 == digit(b, 9))
 
 
@@ -135,9 +140,7 @@ def vat_dk(b: Column) -> Column:
 def vat_es(b: Column) -> Column:
     first, last = F.substring(b, 1, 1), F.substring(b, 9, 1)
     lead = F.when(first == "X", 0).when(first == "Y", 1).otherwise(2)
-    by_letter = lambda n: last == letter_at(#: Countries whose tax number is the VAT number without its prefix, and those of them with one format for all.
-BARE_COUNTRIES, ONE_FORMAT = ("PT", "BE", "DK", "ES", "IT", "PL"), ("PT", "BE", "DK", "ES")
-DNI_LETTERS, n % 23)
+    by_letter = lambda n: last == letter_at(DNI_LETTERS, n % 23)
     odd = F.lit(0)
     for i in (2, 4, 6, 8):
         odd = odd + digit_sum(digit(b, i) * 2)
@@ -213,26 +216,25 @@ VAT_CHECKERS: dict[str, Callable[[Column], Column]] = {
 VAT_SHAPE = r"^(CHE|[A-Z]{2})([0-9A-Z]{2,14})$"
 
 
-def vat_parts(vat: Column) -> tuple[Column, Column]:
-    """(prefix, body); both empty where the value is not shaped like a VAT number."""
-    s = compact(vat)
-    return F.regexp_extract(s, VAT_SHAPE, 1), F.regexp_extract(s, VAT_SHAPE, 2)
+def by_prefix(vat: Column, verdicts: dict[str, Callable[[Column], Column]]) -> Column:
+    """False where the value is not shaped like a VAT number, null where no verdict is known for its prefix."""
+
+    def judge(x: Column) -> Column:
+        out = F.when(x["prefix"] == "", False)
+        for p, f in verdicts.items():
+            out = out.when(x["prefix"] == p, F.coalesce(f(x["body"]), F.lit(False)))
+        return out
+
+    parts = lambda s: F.struct(F.regexp_extract(s, VAT_SHAPE, 1).alias("prefix"), F.regexp_extract(s, VAT_SHAPE, 2).alias("body"))
+    return F.when(vat.isNotNull(), let(let(compact(vat), parts), judge))
 
 
 def vat_format(vat: Column) -> Column:
-    prefix, body = vat_parts(vat)
-    out = F.when(vat.isNull(), None).when(prefix == "", False)
-    for p, fmt in VAT_FORMATS.items():
-        out = out.when(prefix == p, body.rlike(f"^(?:{fmt})$"))
-    return out
+    return by_prefix(vat, {p: lambda b, f=fmt: b.rlike(f"^(?:{f})$") for p, fmt in VAT_FORMATS.items()})
 
 
 def vat_valid(vat: Column) -> Column:
-    prefix, body = vat_parts(vat)
-    out = F.when(vat.isNull(), None).when(prefix == "", False)
-    for p, check in VAT_CHECKERS.items():
-        out = out.when(prefix == p, F.coalesce(check(body), F.lit(False)))
-    return out
+    return by_prefix(vat, VAT_CHECKERS)
 
 
 def ein_valid(ein: Column) -> Column:
@@ -246,15 +248,14 @@ def ca_bn_valid(bn: Column) -> Column:
 
 
 def cnpj_valid(value: Column) -> Column:
-    s = F.regexp_replace(value, r"\D", "")
-    one = low_zero(s, (5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))
-    two = low_zero(s, (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))
-    return shaped(s, r"(\d)(?!\1{13}$)\d{13}", (one == digit(s, 13)) & (two == digit(s, 14)))
+    one, two = (5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2), (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
+    right = lambda s: shaped(s, r"(\d)(?!\1{13}$)\d{13}", (low_zero(s, one) == digit(s, 13)) & (low_zero(s, two) == digit(s, 14)))
+    return let(F.regexp_replace(value, r"\D", ""), right)
 
 
 def cpf_valid(value: Column) -> Column:
-    s = F.regexp_replace(value, r"\D", "")
-    return shaped(s, r"(\d)(?!\1{10}$)\d{10}", (low_zero(s, range(10, 1, -1)) == digit(s, 10)) & (low_zero(s, range(11, 1, -1)) == digit(s, 11)))
+    right = lambda s: shaped(s, r"(\d)(?!\1{10}$)\d{10}", (low_zero(s, range(10, 1, -1)) == digit(s, 10)) & (low_zero(s, range(11, 1, -1)) == digit(s, 11)))
+    return let(F.regexp_replace(value, r"\D", ""), right)
 
 
 def tax_id(value: Column, country: Column | None = None) -> Column:

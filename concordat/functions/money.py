@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from concordat.functions.bind import let
+
 AMOUNT = "decimal(28,6)"
 # What counts as a number, a percentage and a quantity on a line.
 NUMBER = r"(?U)(?<![\w.,])(\d[\d.,]*\d|\d)(?![\w])"
@@ -22,16 +24,19 @@ def parse_amount(token: Column) -> Column:
     With both marks the later one is decimal. A mark that repeats groups; a single one groups
     if exactly three digits follow, else it is decimal.
     """
-    t = F.regexp_replace(F.trim(token), "[ \u00a0]", "")
-    dots, commas = (F.length(t) - F.length(F.replace(t, F.lit(m), F.lit(""))) for m in (".", ","))
     no = lambda s, m: F.replace(s, F.lit(m), F.lit(""))
-    last = lambda m: F.length(F.substring_index(t, m, -1))
-    one = lambda m: F.when(last(m) == 3, no(t, m)).otherwise(F.replace(t, F.lit(m), F.lit(".")))
-    plain = (
-        F.when((dots > 0) & (commas > 0), F.when(last(".") < last(","), no(t, ",")).otherwise(F.replace(no(t, "."), F.lit(","), F.lit("."))))
-        .when(dots > 1, no(t, ".")).when(commas > 1, no(t, ",")).when(dots == 1, one(".")).when(commas == 1, one(",")).otherwise(t)
-    )
-    return F.when(t.rlike(r"^\d(?:[\d.,]*\d)?$"), plain.try_cast(AMOUNT))
+
+    def read(t: Column) -> Column:
+        dots, commas = (F.length(t) - F.length(no(t, m)) for m in ".,")
+        last = lambda m: F.length(F.substring_index(t, m, -1))
+        one = lambda m: F.when(last(m) == 3, no(t, m)).otherwise(F.replace(t, F.lit(m), F.lit(".")))
+        plain = (
+            F.when((dots > 0) & (commas > 0), F.when(last(".") < last(","), no(t, ",")).otherwise(F.replace(no(t, "."), F.lit(","), F.lit("."))))
+            .when(dots > 1, no(t, ".")).when(commas > 1, no(t, ",")).when(dots == 1, one(".")).when(commas == 1, one(",")).otherwise(t)
+        )
+        return F.when(t.rlike(r"^\d(?:[\d.,]*\d)?$"), plain.try_cast(AMOUNT))
+
+    return let(F.regexp_replace(F.trim(token), "[ \u00a0]", ""), read)
 
 
 def amounts_in(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concordat.plans import matching, three_way
+from concordat.plans import matching, three_way, validation
 
-MODULES = (three_way, matching)
+MODULES = (three_way, matching, validation)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}
