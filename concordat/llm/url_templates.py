@@ -39,7 +39,7 @@ RULES = (
 )
 LEVELS = 4
 WIDE = 32
-RARE = 0.01
+RARE = 0.05
 SAME_Z = 2.0
 LEAST_LABELLED = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
