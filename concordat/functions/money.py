@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from concordat.functions.bind import let
 
@@ -71,7 +71,7 @@ def token_value(token: str) -> float | None:
         return None
 
 
-@F.pandas_udf("array<struct<offset:int,value:double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("value", T.DoubleType())])))
 def readings_in(text: pd.Series) -> pd.Series:
     """All readings with their offsets: each token, numbers grouped by spaces as one, and negatives by parentheses or a minus."""
     number, grouped = re.compile(NUMBER.removeprefix("(?U)")), re.compile(GROUPED)
@@ -95,7 +95,7 @@ def readings_in(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def amounts_on_line(line: pd.Series) -> pd.Series:
     """Readings outside percentages."""
     read = readings_in.func(line)

@@ -6,7 +6,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from concordat.functions.bind import let
 
@@ -97,7 +97,7 @@ def page_chunks(pages: Column, limit: int) -> Column:
     return F.aggregate(pages, start, add, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Case folded, without combining marks."""
     def one(x: str | None) -> str | None:
@@ -106,7 +106,7 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stream_form(s: pd.Series) -> pd.Series:
     """Compatibility form, case folded, without white space and column bars: what quotes are looked up in."""
     def one(x: str | None) -> str | None:
@@ -115,7 +115,7 @@ def stream_form(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def name_printed(name: pd.Series, line: pd.Series) -> pd.Series:
     """The name stands on the line, or a run of about as many words is at least 0.8 like it."""
     def one(n: str | None, l: str | None) -> bool:

@@ -6,7 +6,7 @@ import json
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from concordat.functions import money
 
@@ -145,7 +145,7 @@ def flatten_json(df: DataFrame, column: str, key: str) -> DataFrame:
     return df.select(key, column).mapInPandas(rows, f"{key} {df.schema[key].dataType.simpleString()}, path string, type string, part int, value string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ubl_invoice(number: pd.Series, date: pd.Series, currency: pd.Series, lines: pd.Series, payable: pd.Series) -> pd.Series:
     """A minimal UBL invoice text; ``lines`` holds JSON rows of description, quantity, unit and net."""
     def one(n: str, d: object, c: str, ls: str, p: object) -> str:
