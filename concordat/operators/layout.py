@@ -124,3 +124,109 @@ def highlights(sources: DataFrame) -> DataFrame:
     """(doc_id, field, page, region) of a map of field to struct<page, regions>."""
     x = sources.select("doc_id", F.explode("field_sources").alias("field", "s"))
     return x.select("doc_id", "field", F.col("s.page").alias("page"), F.explode("s.regions").alias("region"))
+
+
+def witness_amounts(words: DataFrame, floor: float = 0.6, touch: float = 0.2) -> DataFrame:
+    """(page, line, amounts): touching boxes of a line glued, doubtful glued words left out, amounts in order without repeats.
+
+    words: page, line, x0, x1, y0, y1, text, confidence.
+    """
+    from concordat.functions import money
+
+    w = Window.partitionBy("page", "line").orderBy("x0", "x1")
+    x = words.withColumn("__gap", F.col("x0") - F.lag("x1").over(w))
+    x = islands(x, ["page", "line"], ["x0", "x1"], F.col("__gap") > touch * (F.col("y1") - F.col("y0")), "run")
+    glued = x.groupBy("page", "line", "run").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), "").alias("text"), F.min("confidence").alias("confidence")
+    ).where(F.col("confidence") >= floor)
+    g = glued.groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("run", "text"))).alias("r"))
+    text = F.array_join(F.transform("r", lambda s: s["text"]), " ")
+    return g.select("page", "line", F.array_distinct(money.amounts_in(text)).alias("amounts")).where(F.size("amounts") > 0)
+
+
+def locate_quote(quotes: DataFrame, least: float = 0.8, anchor: int = 3) -> DataFrame:
+    """(doc_id, field, start, end, score) of quotes in a page's character stream (doc_id, field, quote, page_text, all in stream form).
+
+    All exact places, else the one best window of the quote's length that shares an anchor of
+    three characters with it and is at least 0.8 like it.
+    """
+    import difflib
+
+    def find(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                q, t = r.quote or "", r.page_text or ""
+                if not q:
+                    continue
+                at = t.find(q)
+                hits = []
+                while at >= 0:
+                    hits.append((at, at + len(q), 1.0))
+                    at = t.find(q, at + 1)
+                if not hits and len(q) >= anchor:
+                    starts = {p - i for i in range(0, len(q) - anchor + 1, anchor) for p in _places(t, q[i : i + anchor])}
+                    scored = [(difflib.SequenceMatcher(None, q, t[max(s, 0) : s + len(q)], autojunk=False).ratio(), -max(s, 0)) for s in starts if s + len(q) > 0]
+                    best = max(scored, default=(0.0, 0))
+                    if best[0] >= least:
+                        hits = [(-best[1], -best[1] + len(q), best[0])]
+                out += [(r.doc_id, r.field, a, b, s) for a, b, s in hits]
+            yield pd.DataFrame(out, columns=["doc_id", "field", "start", "end", "score"])
+
+    k = quotes.schema["doc_id"].dataType.simpleString()
+    return quotes.mapInPandas(find, f"doc_id {k}, field string, start int, end int, score double")
+
+
+def _places(text: str, part: str) -> list[int]:
+    out, at = [], text.find(part)
+    while at >= 0:
+        out.append(at)
+        at = text.find(part, at + 1)
+    return out
+
+
+def source_status(located: DataFrame, citations: DataFrame) -> DataFrame:
+    """(doc_id, field, status): verified on the page, fuzzy, conflicting where only the witness has it, else unlocated.
+
+    located: doc_id, field, reading ('page' or 'witness'), score.
+    """
+    g = located.groupBy("doc_id", "field").agg(
+        F.max(F.when(F.col("reading") == "page", F.col("score"))).alias("page"), F.max(F.when(F.col("reading") == "witness", F.col("score"))).alias("witness")
+    )
+    status = F.when(F.col("page") == 1.0, "verified").when(F.col("page").isNotNull(), "fuzzy").when(F.col("witness").isNotNull(), "conflicting").otherwise("unlocated")
+    return citations.select("doc_id", "field").join(g, ["doc_id", "field"], "left").select("doc_id", "field", status.alias("status"))
+
+
+def engine_words(rows: DataFrame) -> DataFrame:
+    """Words of an engine's rows: blanks and negative confidences left out, confidence from percent to a share."""
+    return rows.where((F.trim("text") != "") & (F.col("confidence") >= 0)).withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") / 100))
+
+
+def flipped(y0: Column, y1: Column, height: Column) -> tuple[Column, Column]:
+    """Vertical edges of a box from a bottom-left to a top-left origin."""
+    return height - y1, height - y0
+
+
+def rotated(x0: Column, y0: Column, x1: Column, y1: Column, degrees: Column) -> Column:
+    """struct<x0, y0, x1, y1> of a box of the unit square turned clockwise by 0, 90, 180 or 270 degrees."""
+    box = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
+    return (
+        F.when(degrees == 90, box(1 - y1, x0, 1 - y0, x1)).when(degrees == 180, box(1 - x1, 1 - y1, 1 - x0, 1 - y0))
+        .when(degrees == 270, box(y0, 1 - x1, y1, 1 - x0)).otherwise(box(x0, y0, x1, y1))
+    )
+
+
+def rotation_vote(glyphs: DataFrame) -> DataFrame:
+    """The most frequent direction of a page's glyphs; the smallest on a tie."""
+    n = glyphs.groupBy("page", "direction").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("page").agg(F.max_by("direction", F.struct("n", (-F.col("direction")).alias("d"))).alias("direction"))
+
+
+def split_cell(cells: DataFrame) -> DataFrame:
+    """Words of a cell's text, each with a share of the box by its number of characters (cell, x0, x1, text)."""
+    x = cells.select("cell", "x0", "x1", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    upto = Window.partitionBy("cell").orderBy("pos")
+    size = F.length("word")
+    x = x.withColumn("before", F.coalesce(F.sum(size).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum(size).over(Window.partitionBy("cell")))
+    at = lambda c: F.col("x0") + (F.col("x1") - F.col("x0")) * c / F.col("all")
+    return x.select("cell", "pos", "word", at(F.col("before")).alias("w0"), at(F.col("before") + size).alias("w1"))
