@@ -162,3 +162,29 @@ def ubl_invoice(number: pd.Series, date: pd.Series, currency: pd.Series, lines:
         )
 
     return pd.Series([one(*row) for row in zip(number, date, currency, lines, payable, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def cii_invoice(number: pd.Series, date: pd.Series, currency: pd.Series, seller: pd.Series, buyer: pd.Series, lines: pd.Series, payable: pd.Series) -> pd.Series:
+    """A minimal cross-industry invoice; ``date`` as yyyymmdd, ``lines`` as for ``ubl_invoice``."""
+    def one(n: str, d: str, c: str, s: str, b: str, ls: str, p: object) -> str:
+        items = "".join(
+            f"<ram:IncludedSupplyChainTradeLineItem><ram:AssociatedDocumentLineDocument><ram:LineID>{i}</ram:LineID></ram:AssociatedDocumentLineDocument>"
+            f"<ram:SpecifiedTradeProduct><ram:Name>{escape(x['description'])}</ram:Name></ram:SpecifiedTradeProduct><ram:SpecifiedLineTradeDelivery>"
+            f"<ram:BilledQuantity unitCode=\"{escape(x['unit'])}\">{x['quantity']}</ram:BilledQuantity></ram:SpecifiedLineTradeDelivery><ram:SpecifiedLineTradeSettlement>"
+            f"<ram:SpecifiedTradeSettlementLineMonetarySummation><ram:LineTotalAmount>{x['net']}</ram:LineTotalAmount></ram:SpecifiedTradeSettlementLineMonetarySummation>"
+            "</ram:SpecifiedLineTradeSettlement></ram:IncludedSupplyChainTradeLineItem>"
+            for i, x in enumerate(json.loads(ls), 1)
+        )
+        return (
+            '<rsm:CrossIndustryInvoice xmlns:rsm="urn:un:unece:uncefact:data:standard:CrossIndustryInvoice:100" '
+            'xmlns:ram="urn:un:unece:uncefact:data:standard:ReusableAggregateBusinessInformationEntity:100" xmlns:udt="urn:un:unece:uncefact:data:standard:UnqualifiedDataType:100">'
+            f"<rsm:ExchangedDocumentContext><ram:GuidelineSpecifiedDocumentContextParameter><ram:ID>{PROFILES[4][2]}</ram:ID></ram:GuidelineSpecifiedDocumentContextParameter></rsm:ExchangedDocumentContext>"
+            f"<rsm:ExchangedDocument><ram:ID>{escape(n)}</ram:ID><ram:TypeCode>380</ram:TypeCode><ram:IssueDateTime><udt:DateTimeString format=\"102\">{d}</udt:DateTimeString></ram:IssueDateTime></rsm:ExchangedDocument>"
+            f"<rsm:SupplyChainTradeTransaction>{items}<ram:ApplicableHeaderTradeAgreement><ram:SellerTradeParty><ram:Name>{escape(s)}</ram:Name></ram:SellerTradeParty>"
+            f"<ram:BuyerTradeParty><ram:Name>{escape(b)}</ram:Name></ram:BuyerTradeParty></ram:ApplicableHeaderTradeAgreement><ram:ApplicableHeaderTradeDelivery/>"
+            f"<ram:ApplicableHeaderTradeSettlement><ram:InvoiceCurrencyCode>{escape(c)}</ram:InvoiceCurrencyCode><ram:SpecifiedTradeSettlementHeaderMonetarySummation>"
+            f"<ram:GrandTotalAmount>{p}</ram:GrandTotalAmount></ram:SpecifiedTradeSettlementHeaderMonetarySummation></ram:ApplicableHeaderTradeSettlement></rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>"
+        )
+
+    return pd.Series([one(*row) for row in zip(number, date, currency, seller, buyer, lines, payable, strict=True)])
