@@ -77,22 +77,42 @@ def sparse(texts: pa.Array, extra=None) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Sample:
-    """Sparse rows of a bounded sample on the driver: x @ w and x.T @ c."""
+    """Sparse rows of a bounded sample on the driver: x @ w and x.T @ c, a million values at a time."""
+
+    STEP = 1_000_000
 
     def __init__(self, rows: list):
         self.n = len(rows)
-        f = [np.frombuffer(r["f"], np.int32) for r in rows]
-        self.f = np.concatenate(f) if f else np.zeros(0, np.int32)
-        self.v = np.concatenate([np.frombuffer(r["v"], np.float32) for r in rows]) if rows else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in f])
+        size = [len(r["f"]) // 4 for r in rows]
+        self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.f, self.v = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        for i, r in enumerate(rows):
+            self.f[self.start[i] : self.start[i + 1]] = np.frombuffer(r["f"], np.int32)
+            self.v[self.start[i] : self.start[i + 1]] = np.frombuffer(r["v"], np.float32)
         self.y = np.array([r["y"] for r in rows], float)
         self.weight = np.array([r["weight"] for r in rows], float)
+        # Runs of whole rows, about STEP values each.
+        cuts = np.searchsorted(self.start, np.arange(0, self.start[-1], self.STEP), side="right") - 1
+        edges = np.unique(np.append(cuts, self.n)).tolist()
+        self.parts = list(zip(edges, edges[1:], strict=False))
+
+    def values(self, i: int, j: int) -> tuple[slice, np.ndarray]:
+        at = slice(self.start[i], self.start[j])
+        return at, np.repeat(np.arange(i, j), np.diff(self.start[i : j + 1]))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.f] * self.v, self.n)
+        out = np.zeros(self.n)
+        for i, j in self.parts:
+            at, row = self.values(i, j)
+            out[i:j] = np.bincount(row - i, w[self.f[at]] * self.v[at], j - i)
+        return out
 
     def back(self, c: np.ndarray) -> np.ndarray:
-        return np.bincount(self.f, c[self.row] * self.v, ALL)
+        out = np.zeros(ALL)
+        for i, j in self.parts:
+            at, row = self.values(i, j)
+            out += np.bincount(self.f[at], c[row] * self.v[at], ALL)
+        return out
 
 
 def labelled(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, label: str, most: int, seed: int, extra=None) -> Sample:
@@ -119,11 +139,12 @@ def labelled(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, labe
                 ["id", "y", "f", "v"],
             )
 
-    got = two.mapInArrow(extract, "id string, y int, f binary, v binary").collect()
-    got = list({r["id"]: r for r in got}.values())  # rows that repeat an id count once
-    got.sort(key=lambda r: r["id"])
-    have = {y: sum(r["y"] == y for r in got) for y in (0, 1)}
-    return Sample([r.asDict() | {"weight": count[r["y"]] / have[r["y"]]} for r in got])
+    got = two.mapInArrow(extract, "id string, y int, f binary, v binary").toArrow()
+    ids, y = got["id"].to_pylist(), got["y"].to_pylist()
+    rows = sorted({i: k for k, i in enumerate(ids)}.values(), key=lambda k: ids[k])  # rows that repeat an id count once
+    have = {v: sum(y[k] == v for k in rows) for v in (0, 1)}
+    f, v = got["f"].combine_chunks(), got["v"].combine_chunks()
+    return Sample([{"f": f[k].as_buffer(), "v": v[k].as_buffer(), "y": y[k], "weight": count[y[k]] / have[y[k]]} for k in rows])
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from concordat.llm.hashed_text import ALL, Sample, batches_of, descend, labelled, scores, sigmoid
 from concordat.llm.shared import Words
 
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 STEPS = 60
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
