@@ -9,11 +9,12 @@ wildcards. A template is found again in every document that has one of its lines
 the smallest id, so the text that everybody copied remains once.
 
 What moves between tasks is hashes of lines. Line texts are gathered only for leaves in
-which several different lines could form a recurring template, and a leaf of very many
-different lines is dealt to blocks by a hash of the line: a block is a bounded group, and
-templates of one leaf that come out equal in several blocks are added up. The filters that
-pick those lines are broadcast only if they count at most ``SMALL`` rows; beyond that the
-same joins shuffle.
+which several different lines could form a recurring template. A leaf of more than ``BLOCK``
+different lines is split into the components of lines that share a key: words at positions
+of which lines that agree must have some set in common. A line that can join a template
+shares a key with the line that founded it, so parsing each component alone gives what
+parsing the whole leaf gives. The filters that pick those lines are broadcast only if they
+count at most ``SMALL`` rows; beyond that the same joins shuffle.
 
 Lines of fewer than ``least_tokens`` tokens stay: a single word recurs by chance. A
 document that holds k different lines of one template counts k times for it. Nulls: a null
@@ -25,14 +26,22 @@ names.
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concordat.llm.components import components
 from concordat.llm.shared import cut
 
 LEAD = 3
 WILD = "<*>"
 BLOCK = 2000
+KEYS = 32
 SMALL = 2_000_000
 
 
@@ -50,27 +59,68 @@ def leaf(line: Column, least_tokens: int) -> Column:
     return F.when(enough, F.xxhash64(tokens, F.substring_index(line, " ", LEAD))).otherwise(F.lit(0).cast("long"))
 
 
+@cache
+def key_positions(n: int, agreement: float) -> list[tuple[int, ...]]:
+    """Sets of positions, at least one of which is equal throughout in any two lines of n tokens that agree.
+
+    At most k positions differ, so of k + r segments r stay equal: one set for each choice of r segments, with the
+    largest r that makes at most KEYS sets (or r = 1). A leaf's lines share the leading tokens, which are left out.
+    """
+    at = range(LEAD, n)
+    k = n - math.ceil(agreement * n)
+    if k >= len(at):
+        return [()]
+    r = 1
+    while k + r < len(at) and math.comb(k + r + 1, r + 1) <= KEYS:
+        r += 1
+    parts = [at[i * len(at) // (k + r) : (i + 1) * len(at) // (k + r)] for i in range(k + r)]
+    return [tuple(p for part in some for p in part) for some in combinations(parts, r)]
+
+
 def grow(lines: list[list[str]], agreement: float) -> tuple[list[int], list[list[str]]]:
     """Group number of each line of a leaf (one token count), in the given order, and the groups' templates.
 
-    A line joins the group it agrees with best; on a tie, the oldest. Wildcards of a template
-    agree with nothing but a wildcard, so a template does not swallow what it never saw.
+    A line joins the group it agrees with best; on a tie, the oldest. Positions in which a group's lines
+    differ agree with nothing, so a template does not swallow what it never saw.
     """
-    templates: list[list[str]] = []
+    templates: list[list[str | None]] = []
+    found: dict[tuple, list[int]] = {}
     out = []
     for line in lines:
+        keys = [(i, *[line[p] for p in at]) for i, at in enumerate(key_positions(len(line), agreement))]
         best, most = -1, -1
-        for g, t in enumerate(templates):
-            same = sum(a == b for a, b in zip(t, line, strict=True))
+        for g in sorted({g for key in keys for g in found.get(key, ())}):
+            same = sum(a == b for a, b in zip(templates[g], line, strict=True))
             if same > most:
                 best, most = g, same
         if best >= 0 and most >= agreement * len(line):
-            templates[best] = [a if a == b else WILD for a, b in zip(templates[best], line, strict=True)]
+            templates[best] = [a if a == b else None for a, b in zip(templates[best], line, strict=True)]
         else:
             best = len(templates)
             templates.append(line)
+            for key in keys:
+                found.setdefault(key, []).append(best)
         out.append(best)
-    return out, templates
+    return out, [[WILD if a is None else a for a in t] for t in templates]
+
+
+def linked(lines: DataFrame, agreement: float) -> DataFrame:
+    """(h, component) of the lines (leaf, h, line) that share a key with another line of their leaf."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, key = [], []
+            for leaf_, own, line in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                tokens = line.split(" ")
+                for i, at in enumerate(key_positions(len(tokens), agreement)):
+                    words = " ".join([str(leaf_), str(i), *[tokens[p] for p in at]])
+                    h.append(own)
+                    key.append(int.from_bytes(hashlib.blake2b(words.encode(), digest_size=8).digest(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(key, pa.int64())], ["h", "key"])
+
+    key = cut(lines.select("leaf", "h", "line").mapInArrow(keyed, "h bigint, key bigint"))
+    least = cut(key.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key", "low"))
+    return components(key.join(least, "key").select("h", "low"), "h", "low").withColumnRenamed("node", "h")
 
 
 def dropped_lines(
@@ -91,13 +141,21 @@ def dropped_lines(
 
     # Leaves of a single line need no text: the line is the template.
     alone = each.join(leaves.where("lines = 1"), "leaf").select("leaf", "h", "docs", "first", "last", F.lit("").alias("template"), F.col("h").alias("group"))
-    mixed = leaves.where("lines > 1").select("leaf", F.ceil(F.col("lines") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    mixed = checked(mixed)
+    mixed = checked(leaves.where("lines > 1").select("leaf", (F.col("lines") > BLOCK).alias("large")))
     # Here lines are masked inside the array: the join needs the line beside its leaf, and would mask it for each.
     text_of = row.select(F.explode(F.transform(F.split("text", "\n", -1), masked)).alias("line"))
     text_of = text_of.select("line", leaf(F.col("line"), least_tokens).alias("leaf")).join(mixed, "leaf")
-    text_of = text_of.groupBy("leaf", "line", "blocks").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("line"))
-    known = text_of.join(each, ["leaf", "h"]).select("leaf", F.pmod("h", "blocks").cast("int").alias("block"), "h", "line", "docs", F.col("first"), F.col("last"))
+    text_of = text_of.groupBy("leaf", "line", "large").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("line"))
+    known = text_of.join(each, ["leaf", "h"]).select("leaf", F.lit(0).cast("long").alias("block"), "h", "line", "docs", F.col("first"), F.col("last"), "large")
+    if not mixed.where("large").isEmpty():
+        large = cut(known.where("large"))
+        parts = large.drop("block").join(cut(linked(large, agreement)), "h", "left")
+        # A line that shares no key with another is its own template.
+        single = parts.where("component is null").select("leaf", "h", "docs", "first", "last", F.lit("").alias("template"), F.col("h").alias("group"))
+        alone = alone.unionByName(single)
+        parts = parts.where("component is not null").withColumnRenamed("component", "block")
+        known = known.where("not large").unionByName(parts)
+    known = known.drop("large")
 
     def parse(t: pa.Table) -> pa.Table:
         t = t.sort_by([("docs", "descending"), ("line", "ascending")])
