@@ -10,8 +10,9 @@ whole text.
 Equal texts collapse first and are one node, named by their smallest doc_id. Equal
 sketches make a bucket. Candidates of a bucket are its members against one leader, drawn
 by a seeded hash that differs from bucket to bucket, so a bucket of n members gives n - 1
-pairs, whatever its size. Members that turn out not to match their leader are compared
-with each other in blocks, so a bucket that mixes several groups loses none of them. A
+pairs, whatever its size. Members that these links leave outside their leader's component
+are compared with all members of the bucket in blocks, but for pairs that are in one
+component already, so a bucket gives the components that all its pairs would give. A
 candidate counts if the edit distance of the two sequences of runs of five words is at most
 (1 - similarity) times the longer one's length; a length bound and a multiset bound reject
 first, and both are exact. Classes are
@@ -25,6 +26,7 @@ length are read whole; a task holds one slice of texts, or one block of a bucket
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from concordat.llm.components import Forest, components
-from concordat.llm.shared import Words, cut, mix, ranges, slices, strings, word_hashes
+from concordat.llm.shared import Words, cut, mix, ranges, shared_dir, slices, strings, word_hashes
 
 SHINGLE = 5
 SKETCHES = 20
@@ -205,6 +207,14 @@ def sequences(texts: pa.Array) -> list[np.ndarray]:
     return np.split(h, np.searchsorted(row, np.arange(1, len(texts)))) if len(texts) else []
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again. Size estimates start anew from the files: those of ``cut`` multiply
+    in every join, and after two runs of components planning takes longer than the work."""
+    at = f"{shared_dir(df.sparkSession)}/links-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), copies (rows with this very text), kept, for every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -251,12 +261,21 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simi
     checked = cut(two.select("node", "leader", "text", "other").mapInArrow(verify, "node bigint, leader bigint, ok boolean"))
     good = checked.where("ok").select("node", "leader")
 
-    # Members that failed their bucket's leader meet each other, block against block.
-    failed = pairs.join(good.withColumn("linked", F.lit(1)), ["node", "leader"], "left").where("linked is null").select("bucket", "node")
-    size = cut(failed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks")))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = failed.join(size, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node")
+    # Members outside their leader's component meet all members of the bucket, block against block. The leader itself
+    # is left out: each of them failed it. Pairs of one component connect nothing.
+    first = stored(components(good, "node", "leader"))
+    part = first.withColumnRenamed("component", "part")
+    placed = pairs.join(part, "node", "left").join(part.select(F.col("node").alias("leader"), F.col("part").alias("leader_part")), "leader", "left")
+    own = F.coalesce("part", "node")
+    placed = cut(placed.select("bucket", "node", own.alias("part"), (own != F.coalesce("leader_part", "leader")).alias("out")))
+    size = placed.groupBy("bucket").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.min("part").alias("low"), F.max("part").alias("high"))
+    many = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
+    size = cut(size.where("n_out > 0 and low <> high").select("bucket", many("n_out").alias("outs"), many("n_in").alias("ins")))
+    h = F.xxhash64("node")
+    mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
+    last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
+    tiles = placed.join(size, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    tiles = tiles.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "part")
 
     def block(t: pa.Table) -> pa.Table:
         node, own, i = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py()
@@ -266,6 +285,9 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simi
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own != i) if (own != i).any() else left
         forest, a, b = Forest(len(seq)), [], []
+        seen: dict[int, int] = {}
+        for x, c in enumerate(t["part"].to_pylist()):
+            forest.union(seen.setdefault(c, x), x)
         for x in left.tolist():
             others = right[right > x] if right is left else right
             # The multiset bound over hashed words, for a whole row of the block at once: never over the true distance.
@@ -280,7 +302,7 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simi
         return pa.table({"node": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64())})
 
     more = tiles.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, leader bigint")
-    comp = cut(components(good.union(more), "node", "leader"))
+    comp = cut(components(good.union(stored(more)), "node", "leader"))
     named = cut(nodes.select("t1", "t2", "node", "copies").join(comp, "node", "left").select("t1", "t2", "copies", F.coalesce("component", "node").alias("class")))
     # Copies of one text meet their class here; both sides are tables, so a hot text can be split.
     found = all_.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("words") > 0), F.col("t1")).alias("t1"), "t2").join(named, ["t1", "t2"], "left")

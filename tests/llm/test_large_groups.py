@@ -1,8 +1,11 @@
 """Groups beyond the size of one block give what one unsplit group gives."""
 
 import random
+import zlib
 
-from concordat.llm import line_templates
+import pyarrow as pa
+
+from concordat.llm import line_templates, order_minhash
 from tests.llm.helpers import DOCS, prose
 
 
@@ -57,3 +60,32 @@ def test_large_leaf_is_parsed_as_one(spark):
     assert len(order) > line_templates.BLOCK and len(want) > 300
     out = line_templates.dedup(spark.createDataFrame(rows, DOCS)).collect()
     assert {x.doc_id for x in out if x.n_dropped} == want
+
+
+def test_variant_of_a_passed_member_only(spark):
+    """One text is similar to a member that matched the leader, and to no other text of the bucket."""
+    from unittest.mock import patch
+
+    import numpy as np
+
+    base = prose(40, 300).split()
+    edited = lambda words, at: [f"new{p}x{at[0]}" if p in at else w for p, w in enumerate(words)]
+    rows = [(i, " ".join(edited(base, [20 + i % 150, 20 + (7 * i + 3) % 150])), "en", "s", 0) for i in range(300)]
+    near = edited(base, range(200, 240))
+    edge = edited(near, range(260, 300))
+    rows += [(1000, " ".join(near), "en", "s", 0), (1001, " ".join(edge), "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    seq = dict(zip([r[0] for r in rows], order_minhash.sequences(pa.array([r[1] for r in rows]))))
+    fits = [i for i in seq if i != 1001 and order_minhash.similar(seq[i], seq[1001], 0.8)]
+    assert fits == [1000]
+
+    def one_bucket(texts):
+        n = np.array([len(t.split()) for t in texts.to_pylist()], np.int64)
+        own = np.array([zlib.crc32(t.encode()) for t in texts.to_pylist()], np.uint64)
+        out = own[:, None] * np.uint64(100) + np.arange(order_minhash.SKETCHES, dtype=np.uint64)
+        out[:, 0] = 7
+        return n, out
+
+    with patch.object(order_minhash, "sketches", one_bucket):
+        out = {x.doc_id: x.class_id for x in order_minhash.classes(d).collect()}
+    assert set(out.values()) == {0}
