@@ -4,14 +4,20 @@ Vectors are scaled to unit length and turned onto the principal axes of all vect
 leading axis first; the turn keeps inner products. Equal vectors of one label collapse to
 one representative with a count, so a vector that a third of the rows hold is one row.
 
-Two unit vectors with cosine at or over the threshold differ by at most
-sqrt(2 - 2 threshold) on each axis. On the two leading axes the vectors are dealt to cells
-of that width, so a partner lies in the same or in an adjoining cell. Cells of many
-vectors are split into blocks, and a tile is a pair of blocks: a bounded group, whatever
-the label's or the cell's size. In a tile the inner product is accumulated over growing
-runs of leading axes; a pair stays only while the sum so far plus the product of the two
-suffix norms can reach the threshold, and the tile stops when no pair can. What stays is
-decided by the cosine of the original vectors in double precision.
+A label that fits one task is compared there. Beyond that, space is split by a tree over
+the leading axes and the norm of what lies beyond them: each node is cut at a median on the
+axis of most variance. Two unit vectors with cosine at or over the threshold lie within
+sqrt(2 - 2 threshold) of each other, so a vector has its home in one leaf and visits those
+other leaves whose box is that near, on the upper side of the cut that parts them only: a
+pair meets in one leaf, once. The splits come from at most ``SAMPLE`` vectors; any splits
+give the same links. Leaves that still hold more than a task should are split into blocks,
+and a tile is a pair of blocks, so every group is bounded. A vector moves once for its home,
+once for each leaf it visits, and once for each block of a leaf that space cannot part.
+
+In a tile the inner product is accumulated over growing runs of leading axes; a pair stays
+only while the sum so far plus the product of the two suffix norms can reach the threshold,
+and parts of a tile whose boxes are too far apart are skipped. What stays is decided by the
+cosine of the original vectors in double precision.
 
 A tile returns, for each vector, how many links it has there, and only so many links as
 connect the tile's vectors, never all pairs.
@@ -19,7 +25,9 @@ connect the tile's vectors, never all pairs.
 Vectors that are null, empty, zero, or hold null or non-finite components, and vectors
 with a null label, link with nothing. Vectors of different lengths never link. Rows that
 repeat a vec_id are vectors of their own: they link like any two equal vectors (one link
-each), and each of the rows is returned. An empty table gives an empty result.
+each), and each of the rows is returned. A cosine equal to the threshold is a link. Very
+long vectors make smaller blocks. Columns beside the three are not read, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,63 +38,124 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from concordat.llm.components import Forest, components
+from concordat.llm.components import components, spanning
 from concordat.llm.shared import cut
 
-BLOCK = 512
-STEPS = (8, 16, 32)
+#: Bytes of one block of vectors in doubles.
+BLOCK_BYTES = 1 << 24
+SAMPLE = 20_000
+AXES = 24
+DEPTH = 14
+PART = 1024
+STEPS = (16, 32)
 #: Room for rounding in the bounds, far over the error of sums of products of unit vectors in doubles.
 SLACK = 1e-9
 
 
+def block_rows(d: int) -> int:
+    return max(256, BLOCK_BYTES // (8 * d))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 without overflow or underflow on the way."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def by_length(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, unit rows) of an array of lists."""
+    size = np.diff(col.offsets.to_numpy())
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(size)])[:-1]
+    for d in np.unique(size):
+        rows = np.flatnonzero(size == d)
+        yield int(d), rows, unit(flat[at[rows][:, None] + np.arange(d)])
+
+
 def axes(usable: DataFrame) -> dict[int, np.ndarray]:
     """Principal axes, by vector length, from the second moments of all unit vectors (d x d numbers a task)."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            col = b.column(0)
-            size = np.diff(col.offsets.to_numpy())
-            flat = col.flatten().to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(size)])
-            for d in np.unique(size):
-                x = flat[(at[:-1][size == d][:, None] + np.arange(d))]
-                x = unit(x)
-                total[int(d)] = total.get(int(d), 0) + x.T @ x
+            for d, _, x in by_length(b.column(0)):
+                total[d] = total.get(d, 0) + x.T @ x
         yield pa.RecordBatch.from_pydict({"d": pa.array(list(total), pa.int32()), "m": pa.array([m.ravel() for m in total.values()], pa.list_(pa.float64()))})
 
     parts = usable.select("v").mapInArrow(moments, "d int, m array<double>")
-    sums = parts.select("d", F.posexplode("m")).groupBy("d", "pos").agg(F.sum("col").alias("x")).groupBy("d").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("m"))
-    out = {}
+    sums = parts.select("d", F.posexplode("m")).groupBy("d", "pos").agg(F.sum("col").alias("x"))
+    out: dict[int, np.ndarray] = {}
     for r in sums.toLocalIterator():
-        m = np.array([p["x"] for p in r["m"]]).reshape(r["d"], r["d"])
-        out[r["d"]] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
-    return out
+        d = r["d"]
+        out.setdefault(d, np.zeros((d, d)))[r["pos"] // d, r["pos"] % d] = r["x"]
+    return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy() for d, m in out.items()}
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1 without overflow or underflow on the way."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def leading(turned: np.ndarray, k: int) -> np.ndarray:
+    """The first k axes and the norm of the rest: inner products of these are never under those of the vectors."""
+    return np.concatenate([turned[:, :k], np.sqrt(np.maximum(0, (turned[:, k:] ** 2).sum(axis=1, keepdims=True)))], axis=1)
+
+
+class Tree:
+    """Binary splits of space: node n has children ``down[n]`` and ``down[n] + 1``, or is a leaf (-1)."""
+
+    def __init__(self, points: np.ndarray | None, share: float):
+        self.axis, self.cut, self.down = [0], [0.0], [-1]
+        todo = [(0, np.arange(len(points)), 0, 1.0)] if points is not None else []
+        while todo:
+            n, mine, depth, part = todo.pop()
+            if depth == DEPTH or part <= share or len(mine) < 16:
+                continue
+            p = points[mine]
+            axis = int(p.std(axis=0).argmax())
+            at = float(np.median(p[:, axis]))
+            right = p[:, axis] >= at
+            if right.all() or not right.any():
+                continue
+            self.axis[n], self.cut[n], self.down[n] = axis, at, len(self.down)
+            for side in (~right, right):
+                todo.append((len(self.down), mine[side], depth + 1, part / 2))
+                self.axis.append(0), self.cut.append(0.0), self.down.append(-1)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.axis), np.array(self.cut), np.array(self.down)
+
+
+def places(tree: tuple, p: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home) of all leaves that a row lives in or visits."""
+    axis, at, down = tree
+    row, node, home = np.arange(len(p)), np.zeros(len(p), np.int64), np.ones(len(p), bool)
+    gap = np.zeros((len(p), p.shape[1]))
+    done: list[tuple] = []
+    while len(row):
+        leaf = down[node] < 0
+        done.append((row[leaf], node[leaf], home[leaf]))
+        row, node, home, gap = row[~leaf], node[~leaf], home[~leaf], gap[~leaf]
+        a = axis[node]
+        v = p[row, a] - at[node]
+        right = v >= 0
+        # The other side: always for a visitor, only upwards from home.
+        far = gap.copy()
+        far[np.arange(len(row)), a] = np.maximum(far[np.arange(len(row)), a], np.abs(v))
+        goes = (~home | ~right) & ((far * far).sum(axis=1) <= reach * reach + SLACK)
+        row = np.concatenate([row, row[goes]])
+        node = np.concatenate([down[node] + right, down[node[goes]] + ~right[goes]])
+        home = np.concatenate([home, np.zeros(goes.sum(), bool)])
+        gap = np.concatenate([gap, far[goes]])
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (row, node, home)
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, turned_x: np.ndarray, turned_y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) with cosine >= threshold. ``x`` and ``y`` are unit rows, turned_* the same on principal axes."""
-    d = x.shape[1]
-    i = j = None
-    done = 0
+def part_links(x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) with cosine >= threshold. ``x`` and ``y`` are unit rows, tx and ty the same on principal axes."""
+    d, i, j = x.shape[1], None, None
     for k in [s for s in STEPS if s < d]:
-        sx = np.sqrt(np.maximum(0, (turned_x[:, k:] ** 2).sum(axis=1)))
-        sy = np.sqrt(np.maximum(0, (turned_y[:, k:] ** 2).sum(axis=1)))
+        px, py = leading(tx, k), leading(ty, k)
         if i is None:
-            sums = turned_x[:, :k] @ turned_y[:, :k].T
-            i, j = np.nonzero(sums + sx[:, None] * sy[None, :] >= threshold - SLACK)
-            sums = sums[i, j]
+            i, j = np.nonzero(px @ py.T >= threshold - SLACK)
         else:
-            sums = sums + np.einsum("ij,ij->i", turned_x[i, done:k], turned_y[j, done:k])
-            stay = sums + sx[i] * sy[j] >= threshold - SLACK
-            i, j, sums = i[stay], j[stay], sums[stay]
-        done = k
+            stay = np.einsum("ij,ij->i", px[i], py[j]) >= threshold - SLACK
+            i, j = i[stay], j[stay]
         if not len(i):
             return i, j
     if i is None:
@@ -95,94 +164,128 @@ def tile_links(x: np.ndarray, y: np.ndarray, turned_x: np.ndarray, turned_y: np.
     return i[stay], j[stay]
 
 
+def tile_links(x: np.ndarray, turned: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of the left positions with the right ones (with each other, if both are one array), part by part."""
+    near, k = 2 - 2 * threshold + SLACK, min(8, turned.shape[1])
+    parts = []
+    for side in (left, right):
+        side = side[np.argsort(turned[side, 0], kind="stable")]
+        cuts = [side[n : n + PART] for n in range(0, len(side), PART)]
+        parts.append([(c, turned[c, :k].min(axis=0), turned[c, :k].max(axis=0)) for c in cuts])
+    for m, (a, low_a, high_a) in enumerate(parts[0]):
+        for q, (b, low_b, high_b) in enumerate(parts[1]):
+            if left is right and q < m:
+                continue
+            apart = np.maximum(0, np.maximum(low_a - high_b, low_b - high_a))
+            if (apart * apart).sum() > near:
+                continue
+            i, j = part_links(x[a], x[b], turned[a], turned[b], threshold)
+            if left is right and q == m:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield a[i], b[j]
+
+
 def near_duplicates(
-    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98,
+    vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, block=block_rows,
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors``."""
+    """vec_id, n_links, component_id, kept for every row of ``vectors``. ``block`` gives the rows of a block by vector length."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    v = F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("v"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    v = F.col(embedding) if single else F.col(embedding).cast("array<double>")
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("v"))
     good = (
         F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     good = F.coalesce(good, F.lit(False))
     # Two hashes of 64 bits, in which -0.0 and 0.0 are one value, name a class of equal vectors.
-    key = F.concat_ws("/", F.xxhash64(F.lit(1), "label", "v"), F.xxhash64(F.lit(2), "v", "label"))
-    rows = rows.withColumn("key", F.when(good, key))
-    reps = rows.where("key is not null").groupBy("key").agg(
+    key = [F.when(good, h).alias(k) for k, h in (("k1", F.xxhash64(F.lit(1), "label", "v")), ("k2", F.xxhash64(F.lit(2), "v", "label")))]
+    rows = rows.select("*", *key)
+    reps = rows.where("k1 is not null").groupBy("k1", "k2").agg(
         F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v")
     )
-    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
-
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("v")))
     turn = axes(reps)
-    width = float(np.sqrt(max(2 - 2 * threshold, 1e-12)))
+    reach = float(np.sqrt(2 - 2 * threshold))
+
+    # A tree for each vector length of which some label is too large for one task.
+    most = {r["d"]: r["n"] for r in reps.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n")).collect()}
+    trees: dict[int, tuple] = {}
+    for d, n in most.items():
+        points = None
+        if n > block(d):
+            total = reps.where(F.col("d") == d).count()
+            some = reps.where((F.col("d") == d) & (F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / total) * (1 << 30))))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def drawn(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for _, _, x in by_length(b.column(0)):
+                        yield pa.RecordBatch.from_arrays([pa.array(list(leading(x @ turn[d], min(AXES, d))), pa.list_(pa.float64()))], ["p"])
+
+            got = some.select("v").mapInArrow(drawn, "p array<double>").toArrow()["p"]
+            points = np.stack(got.to_numpy()) if len(got) else None
+        trees[d] = Tree(points, block(d) / (2 * n)).arrays()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = b.column(0)
-            size, flat = np.diff(col.offsets.to_numpy()), col.flatten().to_numpy(zero_copy_only=False)
-            at, c = np.concatenate([[0], np.cumsum(size)]), np.zeros((len(size), 2), np.int32)
-            for d in np.unique(size):
-                x = unit(flat[at[:-1][size == d][:, None] + np.arange(d)]) @ turn[int(d)][:, :2]
-                c[size == d, : x.shape[1]] = np.floor(x / width)
-            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(c[:, 0]), pa.array(c[:, 1]), *b.columns], ["d", "c0", "c1", *b.schema.names])
-
-    named = reps.select("key", "copies", "rep", "node")
-    reps = cut(reps.select("v", "label", "node", "copies").mapInArrow(cells, "d int, c0 int, c1 int, v array<double>, label string, node bigint, copies bigint"))
-    by = ["label", "d", "c0", "c1"]
-    full = cut(reps.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks")))
-    # A cell meets itself and the four adjoining cells that come after it; the other four meet it.
-    offsets = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    other = full.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("c0").alias("e0"), F.col("c1").alias("e1"), F.col("blocks").alias("others"))
-    pairs = full.select("*", offsets.alias("o")).select(*by, "blocks", (F.col("c0") + F.col("o.p")).alias("f0"), (F.col("c1") + F.col("o.q")).alias("f1"))
-    pairs = cut(pairs.join(other, (F.col("label") == F.col("l2")) & (F.col("d") == F.col("d2")) & (F.col("f0") == F.col("e0")) & (F.col("f1") == F.col("e1"))).select(*by, "e0", "e1", "blocks", "others"))
-    # A row goes, as the left side, to all blocks of the other cell (from its own on in its own cell), and as the right side likewise.
-    same = (F.col("c0") == F.col("e0")) & (F.col("c1") == F.col("e1"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tile = lambda i, j: F.struct(*by, "e0", "e1", i.alias("i"), j.alias("j"))
-    left = reps.join(pairs, by).withColumn("mine", mine)
-    left = left.select("node", "copies", "v", F.lit(0).alias("side"), F.col("mine"), "others", same.alias("same"), *by, "e0", "e1")
-    left = left.withColumn("j", F.explode(F.sequence(F.when(F.col("same"), F.col("mine")).otherwise(F.lit(0)), F.col("others") - 1)))
-    left = left.select(tile(F.col("mine"), F.col("j")).alias("tile"), "side", "node", "copies", "v")
-    into = pairs.select(F.col("label"), F.col("d"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("e0").alias("c0"), F.col("e1").alias("c1"), F.col("blocks").alias("lefts"), F.col("others").alias("blocks"))
-    right = reps.join(into, by).withColumn("mine", mine).withColumn("same", (F.col("b0") == F.col("c0")) & (F.col("b1") == F.col("c1")))
-    right = right.where(~F.col("same") | (F.col("mine") > 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("same"), F.col("mine") - 1).otherwise(F.col("lefts") - 1))))
-    right = right.select(F.struct("label", "d", F.col("b0").alias("c0"), F.col("b1").alias("c1"), F.col("c0").alias("e0"), F.col("c1").alias("e1"), "i", F.col("mine").alias("j")).alias("tile"), F.lit(1).alias("side"), "node", "copies", "v")
+            at = [(rows[r], leaf, home) for d, rows, x in by_length(b.column(0)) for r, leaf, home in [places(trees[d], leading(x @ turn[d], min(AXES, d)), reach)]]
+            r, leaf, home = (np.concatenate(c) for c in zip(*at, strict=True)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+            out = b.take(pa.array(r, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(leaf, pa.int64()), pa.array(home, pa.bool_())], [*b.schema.names, "leaf", "home"])
+
+    by = ["label", "d", "leaf"]
+    if any(len(t[2]) > 1 for t in trees.values()):
+        placed = reps.select("v", "label", "d", "node", "copies").mapInArrow(place, f"v {kind}, label string, d int, node bigint, copies bigint, leaf bigint, home boolean")
+    else:
+        placed = reps.select("v", "label", "d", "node", "copies", F.lit(0).cast("long").alias("leaf"), F.lit(True).alias("home"))
+    tiles = placed.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), (~F.col("home")).cast("int").alias("mine"))
+    if any(n > block(d) for d, n in most.items()):
+        # Groups beyond a block, at most rows / block of them.
+        full = F.create_map(*[F.lit(x) for d in most for x in (d, float(block(d)))])
+        blocks = lambda own: F.ceil(F.count_if(own) / F.first(full[F.col("d")])).cast("int")
+        large = placed.groupBy(*by).agg(blocks(F.col("home")).alias("hb"), blocks(~F.col("home")).alias("vb")).where("hb > 1 or vb > 1")
+        t = placed.join(cut(large), by, "left")
+        h = F.xxhash64("node")
+        mine = F.when(F.col("hb").isNull(), (~F.col("home")).cast("int")).when(F.col("home"), F.pmod(h, F.greatest("hb", F.lit(1)))).otherwise(F.col("hb") + F.pmod(h, F.greatest("vb", F.lit(1)))).cast("int")
+        # A home block meets all blocks of the leaf, a visiting one the home blocks.
+        last = F.when(F.col("home"), F.col("hb") + F.col("vb") - 1).otherwise(F.col("hb") - 1)
+        t = t.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("hb").isNull(), F.array(F.lit(-1))).when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))))
+        own = F.col("other") < 0
+        tiles = t.select("*", F.when(own, 0).otherwise(F.least("mine", "other")).alias("i"), F.when(own, 0).otherwise(F.greatest("mine", "other")).alias("j"))
 
     def compare(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        x = unit(np.stack(t["v"].to_numpy()))
-        node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
+        x = next(by_length(t["v"].combine_chunks() if t["v"].num_chunks != 1 else t["v"].chunk(0)))[2]
+        node, copies, mine = t["node"].to_numpy(), t["copies"].to_numpy(), t["mine"].to_numpy()
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
         turned = x @ turn[x.shape[1]]
-        l, r = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        if len(r):
-            i, j = tile_links(x[l], x[r], turned[l], turned[r], threshold)
-            i, j = l[i], r[j]
-        else:  # a block with itself
-            i, j = tile_links(x, x, turned, turned, threshold)
-            i, j = i[i < j], j[i < j]
-        n = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
-        forest = Forest(len(x))
-        links = [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if forest.union(a, b)]
-        at = np.nonzero(n)[0]
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine != i)
+        n, comp, a, b = np.zeros(len(x)), np.arange(len(x)), [], []
+        for one, two in ([(left, left)] if i == j else []) + [(left, right)]:
+            for p, q in tile_links(x, turned, one, two, threshold):
+                n += np.bincount(p, copies[q], len(x)) + np.bincount(q, copies[p], len(x))
+                used = spanning(comp, p, q)
+                a.append(node[p[used]])
+                b.append(node[q[used]])
+        at = np.flatnonzero(n)
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
         return pa.table({
-            "a": pa.array(np.concatenate([node[at], node[[a for a, _ in links]]]) if len(at) else [], pa.int64()),
-            "b": pa.array([None] * len(at) + [int(node[b]) for _, b in links], pa.int64()),
-            "n": pa.array(n[at].astype(np.int64).tolist() + [0] * len(links), pa.int64()),
+            "a": pa.array(np.concatenate([node[at], a])), "b": pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(b, pa.int64())]),
+            "n": pa.array(np.concatenate([n[at].astype(np.int64), np.zeros(len(a), np.int64)])),
         })
 
-    # Tiles of one block hold only left rows of it; two-sided tiles hold both.
-    found = cut(left.unionByName(right).groupBy("tile").applyInArrow(compare, "a bigint, b bigint, n bigint"))
-    degree = cut(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")))
-    comp = cut(components(found.where("b is not null")))
+    tiles = tiles.select("v", "node", "copies", "mine", "i", "j", *by)
+    found = cut(tiles.groupBy(*by, "i", "j").applyInArrow(compare, "a bigint, b bigint, n bigint"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    comp = components(found.where("b is not null"))
 
-    named = named.join(degree, "node", "left").join(comp, "node", "left")
-    named = cut(named.select("key", "copies", "rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("component")))
-    least = cut(named.groupBy("component").agg(F.min("rep").alias("component_id")))
-    named = cut(named.join(least, "component").select("key", (F.col("n") + F.col("copies") - 1).alias("n"), "component_id"))
-    return rows.select("vec_id", "key").join(named, "key", "left").select(
+    named = reps.select("k1", "k2", "copies", "rep", "node").join(degree, "node", "left").join(comp, "node", "left")
+    named = cut(named.select("k1", "k2", "copies", "rep", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("component")))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("k1", "k2", (F.col("n") + F.col("copies") - 1).alias("n"), "component_id")
+    return rows.select("vec_id", "k1", "k2").join(named, ["k1", "k2"], "left").select(
         "vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
     )

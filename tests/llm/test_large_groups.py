@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from concordat.llm import line_templates, order_minhash
 from tests.llm.helpers import DOCS, prose
@@ -89,3 +90,31 @@ def test_variant_of_a_passed_member_only(spark):
     with patch.object(order_minhash, "sketches", one_bucket):
         out = {x.doc_id: x.class_id for x in order_minhash.classes(d).collect()}
     assert set(out.values()) == {0}
+
+
+def test_vectors_beyond_one_block(spark):
+    """Leaves, visits, blocks of a leaf and links across them, against all pairs."""
+    import numpy as np
+
+    from concordat.llm import embeddings
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)) * np.linspace(2, 0.5, 16)
+    x[700:900] = x[3] + rng.normal(size=(200, 16)) * 0.15  # a dense group, larger than a block
+    x[900:1200] = x[rng.integers(0, 700, 300)] + rng.normal(size=(300, 16)) * 0.12
+    x[1200:1210] = x[5] * 3
+    label = np.where(np.arange(1500) % 3 > 0, 1, 2)
+    rows = [(int(i), x[i].tolist(), int(label[i])) for i in range(1500)] + [(2000, rng.normal(size=40_000).tolist(), 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.98) & (label[:, None] == label) & ~np.eye(1500, dtype=bool)
+    comp = np.arange(1500)
+    for i, j in zip(*np.nonzero(linked)):
+        comp[comp == max(comp[i], comp[j])] = min(comp[i], comp[j])
+    assert linked.sum() > 2000
+    for size in (30, 100, 10_000):
+        out = {r.vec_id: r for r in embeddings.near_duplicates(d.where("vec_id < 2000"), block=lambda n, size=size: size).collect()}
+        assert [out[i].n_links for i in range(1500)] == linked.sum(axis=1).tolist()
+        assert [out[i].component_id for i in range(1500)] == comp.tolist()
+    long_ = embeddings.near_duplicates(d.where("vec_id = 2000").select("vec_id", F.slice("embedding", 1, 3000).alias("embedding"), "label")).collect()
+    assert [tuple(r) for r in long_] == [(2000, 0, 2000, True)]
