@@ -76,24 +76,3 @@ def spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         while (up[up] != up).any():
             up = up[up]
         comp[:] = up[comp]
-
-
-class Forest:
-    """Union-find over a task's local positions; used to pass on no more links than connect a group."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def union(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True

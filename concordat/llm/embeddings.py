@@ -26,7 +26,7 @@ Vectors that are null, empty, zero, or hold null or non-finite components, and v
 with a null label, link with nothing. Vectors of different lengths never link. Rows that
 repeat a vec_id are vectors of their own: they link like any two equal vectors (one link
 each), and each of the rows is returned. A cosine equal to the threshold is a link. Very
-long vectors make smaller blocks. Columns beside the three are not read, whatever their
+long vectors make smaller blocks, and only their first ``TURNED`` coordinates are turned. Columns beside the three are not read, whatever their
 names. An empty table gives an empty result.
 """
 
@@ -46,6 +46,8 @@ BLOCK_BYTES = 1 << 24
 SAMPLE = 20_000
 AXES = 24
 DEPTH = 14
+#: Longer vectors have only so many of their coordinates turned; any orthogonal turn gives the same links.
+TURNED = 1024
 PART = 1024
 STEPS = (16, 32)
 #: Room for rounding in the bounds, far over the error of sums of products of unit vectors in doubles.
@@ -74,12 +76,13 @@ def by_length(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def axes(usable: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes, by vector length, from the second moments of all unit vectors (d x d numbers a task)."""
+    """Principal axes, by vector length, from the second moments of all unit vectors (at most TURNED x TURNED numbers a task)."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for d, _, x in by_length(b.column(0)):
+                x = x[:, :TURNED]
                 total[d] = total.get(d, 0) + x.T @ x
         yield pa.RecordBatch.from_pydict({"d": pa.array(list(total), pa.int32()), "m": pa.array([m.ravel() for m in total.values()], pa.list_(pa.float64()))})
 
@@ -87,11 +90,16 @@ def axes(usable: DataFrame) -> dict[int, np.ndarray]:
     sums = parts.select("d", F.posexplode("m")).groupBy("d", "pos").agg(F.sum("col").alias("x"))
     out: dict[int, np.ndarray] = {}
     for r in sums.toLocalIterator():
-        d = r["d"]
-        out.setdefault(d, np.zeros((d, d)))[r["pos"] // d, r["pos"] % d] = r["x"]
+        d, k = r["d"], min(r["d"], TURNED)
+        out.setdefault(d, np.zeros((k, k)))[r["pos"] // k, r["pos"] % k] = r["x"]
     return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy() for d, m in out.items()}
 
 
+def turn_by(x: np.ndarray, axes_: np.ndarray) -> np.ndarray:
+    k = len(axes_)
+    return x @ axes_ if k == x.shape[1] else np.concatenate([x[:, :k] @ axes_, x[:, k:]], axis=1)
+
+
 def leading(turned: np.ndarray, k: int) -> np.ndarray:
     """The first k axes and the norm of the rest: inner products of these are never under those of the vectors."""
     return np.concatenate([turned[:, :k], np.sqrt(np.maximum(0, (turned[:, k:] ** 2).sum(axis=1, keepdims=True)))], axis=1)
@@ -223,7 +231,7 @@ def near_duplicates(
             def drawn(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     for _, _, x in by_length(b.column(0)):
-                        yield pa.RecordBatch.from_arrays([pa.array(list(leading(x @ turn[d], min(AXES, d))), pa.list_(pa.float64()))], ["p"])
+                        yield pa.RecordBatch.from_arrays([pa.array(list(leading(turn_by(x, turn[d]), min(AXES, d))), pa.list_(pa.float64()))], ["p"])
 
             got = some.select("v").mapInArrow(drawn, "p array<double>").toArrow()["p"]
             points = np.stack(got.to_numpy()) if len(got) else None
@@ -231,7 +239,7 @@ def near_duplicates(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [(rows[r], leaf, home) for d, rows, x in by_length(b.column(0)) for r, leaf, home in [places(trees[d], leading(x @ turn[d], min(AXES, d)), reach)]]
+            at = [(rows[r], leaf, home) for d, rows, x in by_length(b.column(0)) for r, leaf, home in [places(trees[d], leading(turn_by(x, turn[d]), min(AXES, d)), reach)]]
             r, leaf, home = (np.concatenate(c) for c in zip(*at, strict=True)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
             out = b.take(pa.array(r, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(leaf, pa.int64()), pa.array(home, pa.bool_())], [*b.schema.names, "leaf", "home"])
@@ -260,7 +268,7 @@ def near_duplicates(
         x = next(by_length(t["v"].combine_chunks() if t["v"].num_chunks != 1 else t["v"].chunk(0)))[2]
         node, copies, mine = t["node"].to_numpy(), t["copies"].to_numpy(), t["mine"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        turned = x @ turn[x.shape[1]]
+        turned = turn_by(x, turn[x.shape[1]])
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine != i)
         n, comp, a, b = np.zeros(len(x)), np.arange(len(x)), [], []
         for one, two in ([(left, left)] if i == j else []) + [(left, right)]:

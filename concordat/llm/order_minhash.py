@@ -7,21 +7,27 @@ the text: two documents agree in a sketch with a probability that falls with edi
 similarity, not only with overlap. Documents of fewer than five words have one k-mer, the
 whole text.
 
-Equal texts collapse first and are one node, named by their smallest doc_id. Equal
-sketches make a bucket. Candidates of a bucket are its members against one leader, drawn
-by a seeded hash that differs from bucket to bucket, so a bucket of n members gives n - 1
-pairs, whatever its size. Members that these links leave outside their leader's component
-are compared with all members of the bucket in blocks, but for pairs that are in one
-component already, so a bucket gives the components that all its pairs would give. A
-candidate counts if the edit distance of the two sequences of runs of five words is at most
-(1 - similarity) times the longer one's length; a length bound and a multiset bound reject
-first, and both are exact. Classes are
-the connected components of the verified links.
+Two documents are near-duplicates if the edit distance of their sequences of words is at
+most (1 - similarity) times the longer one's length. Alignment runs inside the band that
+this allows; a length bound and a multiset bound reject first, and all three are exact.
+Classes are the connected components of the verified links.
+
+Equal texts collapse first and are one node, named in the result by the smallest doc_id.
+Equal sketches make a bucket. Candidates of a bucket are its members against one leader,
+the first in one order of all nodes, so that the buckets of a group of copies share their
+leader and a bucket of n members gives n - 1 pairs, whatever its size. Members that these
+links leave outside their leader's component meet all members of the bucket, block against
+block, as counts of hashed words (``BINS`` bytes each, no text): each member is aligned with
+the nearest member of every other component that the multiset bound leaves possible, then,
+where that connects nothing, with all that are possible. So a bucket gives the components
+that all its pairs would give.
 
 Nulls: a null, empty or wordless text is a class of its own, and so is a row with a null
-doc_id. Rows that repeat a doc_id are one document and stay or go together. Empty tables
-give an empty result. Columns beside the id and the text are not read. Texts of any
-length are read whole; a task holds one slice of texts, or one block of a bucket.
+doc_id. Ids keep their type. Each row is judged by its own text: rows that repeat an id and
+a text stay or go together. Of equal texts the smallest id stays, on ties all rows that have
+it. Empty tables give an empty result. Columns beside the id and the text are not read,
+whatever their names. Texts of any length are read whole; a task holds one slice of texts,
+or two blocks of a bucket.
 """
 
 from __future__ import annotations
@@ -32,24 +38,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from concordat.llm.components import Forest, components
+from concordat.llm.components import components
 from concordat.llm.shared import Words, cut, mix, ranges, shared_dir, slices, strings, word_hashes
 
 SHINGLE = 5
-SKETCHES = 20
-DRAWN = 3
-BLOCK = 128
-BINS = 256
+SKETCHES = 48
+DRAWN = 2
+BLOCK = 1024
+BINS = 1024
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 RNG = np.random.default_rng(20240607)
 SEEDS = RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 FACTORS = RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: Words, hashes: np.ndarray, k: int = SHINGLE, labelled: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-mers with their occurrence numbers (or without), and the row of each, in text order."""
+def shingles(words: Words, hashes: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-mers with their occurrence numbers, and the row of each, in text order."""
     n = words.n
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     row = np.repeat(np.arange(len(n)), count)
@@ -65,8 +71,6 @@ def shingles(words: Words, hashes: np.ndarray, k: int = SHINGLE, labelled: bool
         h = (h + part) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
     h = mix(h + size.astype(np.uint64))
-    if not labelled:
-        return h, row
     # Only repeated k-mers need a number; the rest keep 0.
     key = h ^ mix(row.astype(np.uint64) + np.uint64(1))
     again = pd.Series(key).duplicated().to_numpy()
@@ -117,71 +121,45 @@ def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.n, out
 
 
-def same_run(a: np.ndarray, b: np.ndarray, i: int, j: int, la: list, lb: list) -> int:
-    """Length of the common run of a[i:] and b[j:]."""
-    most, n = min(len(la) - i, len(lb) - j), 0
-    while n < most and n < 8:
-        if la[i + n] != lb[j + n]:
-            return n
-        n += 1
-    step = 64
-    while n < most:
-        m = min(step, most - n)
-        differ = a[i + n : i + n + m] != b[j + n : j + n + m]
-        x = int(differ.argmax())
-        if differ[x]:
-            return n + x
-        n, step = n + m, step * 2
-    return n
-
-
-def within(a: np.ndarray, b: np.ndarray, k: int) -> bool:
+def within(a: list, b: list, k: int) -> bool:
     """Whether the edit distance of two sequences is at most k, by alignment inside the band of diagonals |d| <= k.
 
-    Furthest-reaching points by diagonal and number of edits; diagonals from which the end
-    cannot be reached with the edits left are dropped.
+    A column of the band is two integers of 2k + 1 bits: where the distance grows, and where it falls, from one row
+    to the next (bit-parallel alignment after Myers and Hyyro). The longer sequence stands for the rows.
     """
-    if abs(len(a) - len(b)) > k:
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if n - m > k:
         return False
-    la, lb = a.tolist(), b.tolist()
-    n, m = len(la), len(lb)
-    goal = m - n
-    reach = {0: same_run(a, b, 0, 0, la, lb)}
-    if goal == 0 and reach[0] >= n:
+    if n <= k:
         return True
-    for e in range(1, k + 1):
-        new = {}
-        for d in range(max(-e, goal - (k - e)), min(e, goal + (k - e)) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            i = min(i, n, m - d)
-            if i < 0 or i + d < 0:
-                continue
-            new[d] = i + same_run(a, b, i, i + d, la, lb) if i < n and i + d < m else i
-        if new.get(goal, -1) >= n:
-            return True
-        reach = new
-    return False
-
-
-def chain_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """An alignment's cost, so never under the edit distance: k-mers that stand once in each text and keep their order are
-    matched, and what lies between two of them costs the longer gap."""
-    (x, i, n), (y, j, m) = (np.unique(s, return_index=True, return_counts=True) for s in (a, b))
-    x, i, y, j = x[n == 1], i[n == 1], y[m == 1], j[m == 1]
-    _, p, q = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    i, j = i[p], j[q]
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    fits = (j >= np.maximum.accumulate(j)) & (j <= np.minimum.accumulate(j[::-1])[::-1]) if len(j) else np.zeros(0, bool)
-    i, j = i[fits], j[fits]
-    gaps = [np.diff(np.concatenate([[-1], at, [end]])) - 1 for at, end in ((i, len(a)), (j, len(b)))]
-    return int(np.maximum(*gaps).sum())
+    rows: dict = {}
+    for r, x in enumerate(a):
+        rows[x] = rows.get(x, 0) | 1 << r
+    mask, top = (1 << (2 * k + 1)) - 1, 1 << (2 * k)
+    up, down, dist = mask ^ ((1 << k) - 1), 0, k
+    most, last = k + m - (n - k), top >> 1
+    for i, x in enumerate(b):
+        hit = rows.get(x, 0)
+        hit = (hit >> (i - k) if i >= k else hit << (k - i)) & mask
+        same = ((((hit & up) + up) ^ up) | hit | down) & mask
+        grows, falls = down | (mask & ~(same | up)), same & up
+        if i < n - k:  # along the band's lowest diagonal
+            dist += not same & top
+            if dist > most:
+                return False
+        else:  # along the last row
+            dist += bool(grows & last) - bool(falls & last)
+            last >>= 1
+        same >>= 1
+        up, down = falls | (mask & ~(same | grows)), same & grows
+    return dist <= k
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """1 - edit distance / longer length >= similarity, exactly."""
-    longer = max(len(a), len(b))
-    k = int((1 - similarity) * longer + 1e-9)
+    k = allowed(max(len(a), len(b)), similarity)
     if abs(len(a) - len(b)) > k:
         return False
     m = min(len(a), len(b))
@@ -197,14 +175,37 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     surplus = np.bincount(inv[: len(a)], minlength=inv.max() + 1) - np.bincount(inv[len(a) :], minlength=inv.max() + 1)
     if max(surplus[surplus > 0].sum(), -surplus[surplus < 0].sum()) > k:
         return False
-    return chain_bound(a, b) <= k or within(a, b, k)
+    return within(inv[: len(a)].tolist(), inv[len(a) :].tolist(), k)
+
+
+def allowed(longer: int | np.ndarray, similarity: float) -> int | np.ndarray:
+    return ((1 - similarity) * longer + 1e-9).astype(np.int64) if isinstance(longer, np.ndarray) else int((1 - similarity) * longer + 1e-9)
 
 
 def sequences(texts: pa.Array) -> list[np.ndarray]:
-    """The k-mers of each text, in order."""
+    """The hashed words of each text, in order."""
+    words = Words(texts)
+    return np.split(word_hashes(words), words.start[1:]) if len(texts) else []
+
+
+def bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words by row, and counts of hashed words by row and bin, at most 255: no difference of two grows by that."""
     words = Words(texts)
-    h, row = shingles(words, word_hashes(words), labelled=False)
-    return np.split(h, np.searchsorted(row, np.arange(1, len(texts)))) if len(texts) else []
+    at = words.doc * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
+    return words.n, np.minimum(np.bincount(at, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
+def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, positions j, least distances) of the pairs of rows that the length and the multiset bound leave."""
+    for i in range(len(left)):
+        room = allowed(np.maximum(n_right, n_left[i]), similarity)
+        j = np.flatnonzero(np.abs(n_right - n_left[i]) <= room)
+        gap = right[j].astype(np.int16) - left[i]
+        over = np.maximum(gap, 0).sum(axis=1)
+        least = np.maximum(over, over - gap.sum(axis=1))
+        stay = least <= room[j]
+        if stay.any():
+            yield i, j[stay], least[stay]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -215,10 +216,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), copies (rows with this very text), kept, for every row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    keyed = rows.withColumn("t1", F.xxhash64(F.lit(1), "text")).withColumn("t2", F.xxhash64("text", F.lit(2), F.length("text")))
+def text_keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(1), text), F.xxhash64(text, F.lit(2), F.length(text))
+
+
+def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), class_id, copies and kept for every row."""
+    t = F.col(text).cast("string")
+    t1, t2 = text_keys(t)
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), t1.alias("t1"), t2.alias("t2"))
+    kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -227,87 +234,112 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simi
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCHES), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n), lists], ["doc_id", "t1", "t2", "words", "sketch"])
 
-    all_ = cut(keyed.mapInArrow(sketch, "doc_id bigint, t1 bigint, t2 bigint, words bigint, sketch array<bigint>"))
-    nodes = cut(
-        all_.where("doc_id is not null and words > 0").groupBy("t1", "t2")
-        .agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("sketch").alias("sketch"))
+    all_ = cut(keyed.mapInArrow(sketch, f"doc_id {kind}, t1 bigint, t2 bigint, words bigint, sketch array<bigint>"))
+    nodes = all_.where("doc_id is not null and words > 0").groupBy("t1", "t2").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("sketch").alias("sketch")
     )
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    member = nodes.select("node", "words", F.explode("sketch").alias("bucket"))
-    # Leaders differ from bucket to bucket; buckets of one member go here, after a partial count.
-    lead = cut(
-        member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("bucket", "node")).alias("leader"), F.min_by("words", F.xxhash64("bucket", "node")).alias("leader_words"))
-        .where("n > 1").drop("n")
-    )
+    member = nodes.select("node", F.explode("sketch").alias("bucket"))
+    # Buckets of one member go here, after a partial minimum.
+    lead = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("high")).where("leader < high").drop("high")
     pairs = cut(member.join(lead, "bucket").where("node <> leader"))
-    kmers = lambda c: F.greatest(F.col(c) - (SHINGLE - 1), F.lit(1))
-    room = F.floor((1 - similarity) * F.greatest(kmers("words"), kmers("leader_words")) + 1e-9)
-    near = pairs.where(F.abs(kmers("words") - kmers("leader_words")) <= room)
-    near = cut(near.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n")))
-
-    wanted = cut(pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct())
-    texts = keyed.join(wanted, keyed["doc_id"] == wanted["node"]).select("node", "text")
+    words = nodes.select("node", "words")
+    near = pairs.select("node", "leader").distinct().join(words, "node").join(words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader")
+    room = F.floor((1 - similarity) * F.greatest("words", "leader_words") + 1e-9)
+    near = near.where(F.abs(F.col("words") - F.col("leader_words")) <= room).select("node", F.col("leader").alias("other"))
+    near = cut(near)
+
+    wanted = pairs.select("node").union(pairs.select(F.col("leader").alias("node"))).distinct()
+    wanted = wanted.join(nodes.select("node", F.col("rep").alias("doc_id"), "t1", "t2"), "node")
+    # A row that stands often gives its text once.
+    texts = keyed.join(wanted, ["doc_id", "t1", "t2"]).groupBy("doc_id", "t1", "t2").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = cut(texts.select("node", "text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             for at, n in ranges(b.column(3)):
                 part = b.slice(at, n)
-                left, right = sequences(strings(part, "text")), sequences(strings(part, "other"))
-                ok = [similar(x, y, similarity) for x, y in zip(left, right, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], ["node", "leader", "ok"])
-
-    texts = cut(texts)
-    two = near.join(texts, "node").select("node", "leader", "text").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader")
-    checked = cut(two.select("node", "leader", "text", "other").mapInArrow(verify, "node bigint, leader bigint, ok boolean"))
-    good = checked.where("ok").select("node", "leader")
-
-    # Members outside their leader's component meet all members of the bucket, block against block. The leader itself
-    # is left out: each of them failed it. Pairs of one component connect nothing.
-    first = stored(components(good, "node", "leader"))
-    part = first.withColumnRenamed("component", "part")
-    placed = pairs.join(part, "node", "left").join(part.select(F.col("node").alias("leader"), F.col("part").alias("leader_part")), "leader", "left")
-    own = F.coalesce("part", "node")
-    placed = cut(placed.select("bucket", "node", own.alias("part"), (own != F.coalesce("leader_part", "leader")).alias("out")))
-    size = placed.groupBy("bucket").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.min("part").alias("low"), F.max("part").alias("high"))
-    many = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
-    size = cut(size.where("n_out > 0 and low <> high").select("bucket", many("n_out").alias("outs"), many("n_in").alias("ins")))
-    h = F.xxhash64("node")
-    mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
-    last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
-    tiles = placed.join(size, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    tiles = tiles.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "part")
-
-    def block(t: pa.Table) -> pa.Table:
-        node, own, i = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py()
-        seq = sequences(pa.concat_arrays(t["text"].chunks) if t["text"].num_chunks else pa.array([], pa.string()))
-        size = np.array([len(s) for s in seq])
-        bins = np.stack([np.bincount((s % np.uint64(BINS)).astype(np.int64), minlength=BINS) for s in seq]).astype(np.int32)
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own != i) if (own != i).any() else left
-        forest, a, b = Forest(len(seq)), [], []
-        seen: dict[int, int] = {}
-        for x, c in enumerate(t["part"].to_pylist()):
-            forest.union(seen.setdefault(c, x), x)
-        for x in left.tolist():
-            others = right[right > x] if right is left else right
-            # The multiset bound over hashed words, for a whole row of the block at once: never over the true distance.
-            gap = bins[others] - bins[x]
-            bound = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
-            room = np.floor((1 - similarity) * np.maximum(size[others], size[x]) + 1e-9)
-            for y in others[bound <= room].tolist():
-                if forest.find(x) != forest.find(y) and similar(seq[x], seq[y], similarity):
-                    forest.union(x, y)
-                    a.append(int(node[x]))
-                    b.append(int(node[y]))
-        return pa.table({"node": pa.array(a, pa.int64()), "leader": pa.array(b, pa.int64())})
-
-    more = tiles.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, leader bigint")
-    comp = cut(components(good.union(stored(more)), "node", "leader"))
-    named = cut(nodes.select("t1", "t2", "node", "copies").join(comp, "node", "left").select("t1", "t2", "copies", F.coalesce("component", "node").alias("class")))
+                left, right = sequences(strings(part, "text")), sequences(strings(part, "partner"))
+                ok = pa.array([similar(x, y, similarity) for x, y in zip(left, right, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["node", "other"])
+
+    def aligned(candidates: DataFrame) -> DataFrame:
+        two = candidates.join(texts, "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("partner")), "other")
+        return cut(two.select("node", "other", "text", "partner").mapInArrow(verify, "node bigint, other bigint"))
+
+    good = aligned(near)
+    comp = stored(components(good, "node", "other"))
+
+    def block(nearest: bool):
+        def run(t: pa.Table) -> pa.Table:
+            node, own, i, part = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["part"].to_numpy()
+            n, count = t["words"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in t["bins"].to_pylist()])
+            left = np.flatnonzero(own == i)
+            right = np.flatnonzero(own != i) if (own != i).any() else left
+            a, b, gap = [], [], []
+            for x, at, least in possible(count[left], count[right], n[left], n[right], similarity):
+                x, y = left[x], right[at]
+                apart = (part[y] != part[x]) & ((right is not left) | (y > x))
+                y, least = y[apart], least[apart]
+                if nearest and len(y):  # of each component the nearest
+                    y, least = y[np.argsort(least, kind="stable")], np.sort(least)
+                    first = np.unique(part[y], return_index=True)[1]
+                    y, least = y[first], least[first]
+                a.append(np.full(len(y), node[x])), b.append(node[y]), gap.append(least)
+            a, b, gap = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, gap))
+            return pa.table({"node": np.minimum(a, b), "other": np.maximum(a, b), "gap": gap})
+
+        return run
+
+    # Members outside their leader's component meet all members of the bucket but the leader, which each of them failed.
+    # Pairs of one component connect nothing.
+    for nearest in (True, False):
+        part = comp.withColumnRenamed("component", "part")
+        placed = pairs.join(part, "node", "left").join(part.select(F.col("node").alias("leader"), F.col("part").alias("leader_part")), "leader", "left")
+        own = F.coalesce("part", "node")
+        placed = cut(placed.select("bucket", "node", own.alias("part"), (own != F.coalesce("leader_part", "leader")).alias("out")))
+        size = placed.groupBy("bucket").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.min("part").alias("low"), F.max("part").alias("high"))
+        many = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
+        size = cut(size.where("n_out > 0 and low <> high").select("bucket", many("n_out").alias("outs"), many("n_in").alias("ins")))
+        if size.isEmpty():
+            break
+        h = F.xxhash64("node")
+        mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
+        last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
+        tiles = placed.join(size, "bucket").withColumn("mine", mine)
+        counted = texts.join(tiles.select("node").distinct(), "node").mapInArrow(count_bins, "node bigint, words bigint, bins binary")
+        tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), last))).select("bucket", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
+        made = tiles.join(cut(counted), "node").groupBy("bucket", "i", "j").applyInArrow(block(nearest), "node bigint, other bigint, gap bigint")
+        found = made.groupBy("node", "other").agg(F.min("gap").alias("gap"))
+        if nearest:  # over all blocks and buckets: of each other component one
+            side = part.select(F.col("node").alias("other"), F.col("part").alias("other_part"))
+            found = found.join(part, "node", "left").join(side, "other", "left")
+            found = found.groupBy(F.coalesce("part", "node").alias("p"), F.coalesce("other_part", "other").alias("q")).agg(F.min_by(F.struct("node", "other"), "gap").alias("best")).select("best.*")
+        more = aligned(cut(found.select("node", "other")))
+        if not more.isEmpty():
+            good = cut(good.union(more))
+            comp = stored(components(good, "node", "other"))
+
+    named = nodes.select("t1", "t2", "node", "rep", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("class"))
+    named = cut(named.join(least, "component").select("t1", "t2", "copies", "class"))
     # Copies of one text meet their class here; both sides are tables, so a hot text can be split.
-    found = all_.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("words") > 0), F.col("t1")).alias("t1"), "t2").join(named, ["t1", "t2"], "left")
+    usable = F.col("doc_id").isNotNull() & (F.col("words") > 0)
+    found = all_.select("doc_id", F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.when(usable, F.col("t1")).alias("t1"), "t2").join(named, ["t1", "t2"], "left")
     class_id = F.coalesce("class", "doc_id")
     return found.select(
-        "doc_id", class_id.alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
+        "doc_id", F.col("k1").alias("t1"), F.col("k2").alias("t2"), class_id.alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
         F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"),
     )
+
+
+def count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, "text"):
+        n, count = bins(strings(b, "text"))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([x.tobytes() for x in count], pa.binary())], ["node", "words", "bins"])
+
+
+def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), copies (rows with this very text), kept, for every row."""
+    return judged(docs, text=text, doc_id=doc_id, similarity=similarity).drop("t1", "t2")

@@ -64,7 +64,7 @@ def test_large_leaf_is_parsed_as_one(spark):
 
 
 def test_variant_of_a_passed_member_only(spark):
-    """One text is similar to a member that matched the leader, and to no other text of the bucket."""
+    """One text is similar to a member that matched the leader, and to no other text of the bucket; small blocks."""
     from unittest.mock import patch
 
     import numpy as np
@@ -72,9 +72,10 @@ def test_variant_of_a_passed_member_only(spark):
     base = prose(40, 300).split()
     edited = lambda words, at: [f"new{p}x{at[0]}" if p in at else w for p, w in enumerate(words)]
     rows = [(i, " ".join(edited(base, [20 + i % 150, 20 + (7 * i + 3) % 150])), "en", "s", 0) for i in range(300)]
-    near = edited(base, range(200, 240))
-    edge = edited(near, range(260, 300))
+    near = edited(base, range(200, 250))
+    edge = edited(near, range(250, 300))
     rows += [(1000, " ".join(near), "en", "s", 0), (1001, " ".join(edge), "en", "s", 0)]
+    rows += [(2000 + i, prose(900 + i, 300), "en", "s", 0) for i in range(40)]  # in the bucket, but like nothing
     d = spark.createDataFrame(rows, DOCS)
     seq = dict(zip([r[0] for r in rows], order_minhash.sequences(pa.array([r[1] for r in rows]))))
     fits = [i for i in seq if i != 1001 and order_minhash.similar(seq[i], seq[1001], 0.8)]
@@ -87,13 +88,16 @@ def test_variant_of_a_passed_member_only(spark):
         out[:, 0] = 7
         return n, out
 
-    with patch.object(order_minhash, "sketches", one_bucket):
+    with patch.object(order_minhash, "sketches", one_bucket), patch.object(order_minhash, "BLOCK", 50):
         out = {x.doc_id: x.class_id for x in order_minhash.classes(d).collect()}
-    assert set(out.values()) == {0}
+    assert {i for i, c in out.items() if c == 0} == set(range(300)) | {1000, 1001}
+    assert all(out[i] == i for i in range(2000, 2040))
 
 
 def test_vectors_beyond_one_block(spark):
     """Leaves, visits, blocks of a leaf and links across them, against all pairs."""
+    from unittest.mock import patch
+
     import numpy as np
 
     from concordat.llm import embeddings
@@ -104,7 +108,7 @@ def test_vectors_beyond_one_block(spark):
     x[900:1200] = x[rng.integers(0, 700, 300)] + rng.normal(size=(300, 16)) * 0.12
     x[1200:1210] = x[5] * 3
     label = np.where(np.arange(1500) % 3 > 0, 1, 2)
-    rows = [(int(i), x[i].tolist(), int(label[i])) for i in range(1500)] + [(2000, rng.normal(size=40_000).tolist(), 1)]
+    rows = [(int(i), x[i].tolist(), int(label[i])) for i in range(1500)] + [(2000, rng.normal(size=1500).tolist(), 1)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     linked = (u @ u.T >= 0.98) & (label[:, None] == label) & ~np.eye(1500, dtype=bool)
@@ -116,5 +120,6 @@ def test_vectors_beyond_one_block(spark):
         out = {r.vec_id: r for r in embeddings.near_duplicates(d.where("vec_id < 2000"), block=lambda n, size=size: size).collect()}
         assert [out[i].n_links for i in range(1500)] == linked.sum(axis=1).tolist()
         assert [out[i].component_id for i in range(1500)] == comp.tolist()
-    long_ = embeddings.near_duplicates(d.where("vec_id = 2000").select("vec_id", F.slice("embedding", 1, 3000).alias("embedding"), "label")).collect()
-    assert [tuple(r) for r in long_] == [(2000, 0, 2000, True)]
+    with patch.object(embeddings, "TURNED", 8):
+        long_ = embeddings.near_duplicates(d.where("vec_id = 2000 or vec_id < 300")).collect()
+        assert {r.vec_id: r.n_links for r in long_} == {2000: 0} | {i: int(linked[i, :300].sum()) for i in range(300)}
