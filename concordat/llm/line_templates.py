@@ -4,9 +4,10 @@ A line is trimmed, white space runs become one space, and tokens with a digit be
 wildcard. The tree has a fixed depth: token count, then the ``LEAD`` leading tokens; that
 path is the leaf. Inside a leaf, lines join the template they agree with in at least
 ``agreement`` of their tokens, position by position, and differing positions become
-wildcards. A template is found again in every document that has one of its lines; those of
-``least_documents`` or more are dropped wherever they stand, except in the document with
-the smallest id, so the text that everybody copied remains once.
+wildcards. A template recurs in every document that has one of its lines. Templates that
+recur in ``least_documents`` different documents, or, from ``long_tokens`` tokens on, in
+``least_long``, are dropped wherever they stand, except in the document with the smallest
+id, so the text that everybody copied remains once.
 
 What moves between tasks is hashes of lines. Line texts are gathered only for leaves in
 which several different lines could form a recurring template. A leaf of more than ``BLOCK``
@@ -16,12 +17,13 @@ shares a key with the line that founded it, so parsing each component alone give
 parsing the whole leaf gives. The filters that pick those lines are broadcast only if they
 count at most ``SMALL`` rows; beyond that the same joins shuffle.
 
-Lines of fewer than ``least_tokens`` tokens stay: a single word recurs by chance. A
-document that holds k different lines of one template counts k times for it. Nulls: a null
-text has no lines and stays null; rows with a null id never are the one that keeps a
-template, unless all are. Rows that repeat count as documents of their own and are changed
-alike. An empty table gives an empty result. Other columns pass through, whatever their
-names.
+Lines of fewer than ``least_tokens`` tokens stay: a single word recurs by chance. Lines of
+any length are parsed whole. Nulls: a null text has no lines and stays null; rows with a
+null id never are the one that keeps a template, unless all are. Ties: of templates that a
+line agrees with equally the oldest takes it, lines being parsed by falling frequency and
+then by text; all rows of the smallest id keep a template. Rows that repeat count as
+documents of their own and are changed alike. An empty table gives an empty result. Other
+columns pass through, but for n_lines, n_dropped and dropped_at, which the result's replace.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ LEAD = 3
 WILD = "<*>"
 BLOCK = 2000
 KEYS = 32
-SMALL = 2_000_000
+SMALL = 50_000
 
 
 def masked(line: Column) -> Column:
@@ -52,11 +54,12 @@ def masked(line: Column) -> Column:
     return F.when(x.rlike(r"[0-9\x09-\x0D]|\x20\x20"), F.regexp_replace(spaced, r"[^\x20]*[0-9][^\x20]*", WILD)).otherwise(x)
 
 
-def leaf(line: Column, least_tokens: int) -> Column:
-    """Hash of token count and leading tokens; 0 for a line of fewer than ``least_tokens`` tokens."""
+def leaf(line: Column, least_tokens: int, long_tokens: int) -> Column:
+    """Hash of token count and leading tokens, odd for long lines; 0 for a line of fewer than ``least_tokens`` tokens."""
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     enough = F.substring_index(line, " ", least_tokens - 1) != line if least_tokens > 1 else line != ""
-    return F.when(enough, F.xxhash64(tokens, F.substring_index(line, " ", LEAD))).otherwise(F.lit(0).cast("long"))
+    h = F.xxhash64(tokens, F.substring_index(line, " ", LEAD)).bitwiseAND(-2) + (tokens >= long_tokens).cast("long")
+    return F.when(enough, h).otherwise(F.lit(0).cast("long"))
 
 
 @cache
@@ -125,6 +128,7 @@ def linked(lines: DataFrame, agreement: float) -> DataFrame:
 
 def dropped_lines(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least_documents: int = 3, least_tokens: int = 3, agreement: float = 0.8,
+    long_tokens: int = 50, least_long: int = 2,
 ) -> DataFrame:
     """Row hashes r1, r2, position and leaf of every line to be dropped."""
     row = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
@@ -132,11 +136,13 @@ def dropped_lines(
     # Lines are exploded before they are masked, so masking is generated code and runs once for each line;
     # short lines are left out after the cut, as a filter before it would mask each line again.
     lines = row.select("doc", "r1", "r2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).withColumn("line", masked(F.col("raw")))
-    slim = cut(lines.select("doc", "r1", "r2", "pos", leaf(F.col("line"), least_tokens).alias("leaf"), F.xxhash64("line").alias("h"))).where("leaf <> 0")
+    slim = cut(lines.select("doc", "r1", "r2", "pos", leaf(F.col("line"), least_tokens, long_tokens).alias("leaf"), F.xxhash64("line").alias("h"))).where("leaf <> 0")
+
+    need = F.when(F.col("leaf").bitwiseAND(1) == 1, least_long).otherwise(least_documents)
 
     by_row = slim.groupBy("leaf", "h", "r1", "r2", "doc", "pos").agg(F.count(F.lit(1)).alias("rows")).groupBy("leaf", "h", "r1", "r2", "doc").agg(F.max("rows").alias("rows"))
     each = cut(by_row.groupBy("leaf", "h").agg(F.sum("rows").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last")))
-    leaves = each.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= least_documents)
+    leaves = each.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= need)
     leaves = cut(leaves.select("leaf", "lines"))
 
     # Leaves of a single line need no text: the line is the template.
@@ -144,7 +150,7 @@ def dropped_lines(
     mixed = checked(leaves.where("lines > 1").select("leaf", (F.col("lines") > BLOCK).alias("large")))
     # Here lines are masked inside the array: the join needs the line beside its leaf, and would mask it for each.
     text_of = row.select(F.explode(F.transform(F.split("text", "\n", -1), masked)).alias("line"))
-    text_of = text_of.select("line", leaf(F.col("line"), least_tokens).alias("leaf")).join(mixed, "leaf")
+    text_of = text_of.select("line", leaf(F.col("line"), least_tokens, long_tokens).alias("leaf")).join(mixed, "leaf")
     text_of = text_of.groupBy("leaf", "line", "large").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("line"))
     known = text_of.join(each, ["leaf", "h"]).select("leaf", F.lit(0).cast("long").alias("block"), "h", "line", "docs", F.col("first"), F.col("last"), "large")
     if not mixed.where("large").isEmpty():
@@ -168,8 +174,14 @@ def dropped_lines(
     formed = known.groupBy("leaf", "block").applyInArrow(parse, f"leaf bigint, h bigint, docs bigint, first {kind}, last {kind}, template string")
     formed = formed.withColumn("group", F.xxhash64("template"))
     member = cut(alone.unionByName(formed).select("leaf", "h", "docs", "first", "last", "group"))
-    total = member.groupBy("leaf", "group").agg(F.sum("docs").alias("all"), F.min("first").alias("keeper"), F.max("last").alias("last"))
-    total = cut(total.where(F.col("all") >= least_documents).where(~F.col("keeper").eqNullSafe(F.col("last"))).select("leaf", "group", "keeper"))
+    total = member.groupBy("leaf", "group").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("docs"), F.min("first").alias("keeper"), F.max("last").alias("last"))
+    total = cut(total.where(F.col("docs") >= need).where(~F.col("keeper").eqNullSafe(F.col("last"))).drop("last"))
+    # A template of several lines may stand twice in one document, which counts once.
+    several = checked(member.join(total.where("lines > 1").select("leaf", "group"), ["leaf", "group"]).select("leaf", "h", "group"))
+    rows = slim.join(several, ["leaf", "h"]).groupBy("leaf", "group", "r1", "r2", "h", "pos").agg(F.count(F.lit(1)).alias("rows"))
+    rows = rows.groupBy("leaf", "group", "r1", "r2").agg(F.max("rows").alias("rows")).groupBy("leaf", "group").agg(F.sum("rows").alias("rows"))
+    rows = rows.where(F.col("rows") >= need).select("leaf", "group")
+    total = total.where("lines = 1").select("leaf", "group", "keeper").unionByName(total.join(rows, ["leaf", "group"]).select("leaf", "group", "keeper"))
     drop = checked(member.join(total, ["leaf", "group"]).select("leaf", "h", "keeper"))
     return slim.join(drop, ["leaf", "h"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("r1", "r2", "pos", "leaf")
 
@@ -180,8 +192,11 @@ def checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **rules: float) -> DataFrame:
-    """``docs`` with the recurring lines gone from ``text``, and n_lines, n_dropped and dropped_at (line numbers from 0)."""
+def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", most_dropped: float = 1.0, **rules: float) -> DataFrame:
+    """``docs`` with the recurring lines gone from ``text``, and n_lines, n_dropped and dropped_at (line numbers from 0).
+
+    A document that would lose more than ``most_dropped`` of its characters is left whole (1: none is).
+    """
     gone = dropped_lines(docs, text=text, doc_id=doc_id, **rules)
     gone = gone.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("dropped_at"))
     t = F.col(text).cast("string")
@@ -189,6 +204,9 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **rule
     keyed = keep.withColumn("__r1", F.xxhash64(F.lit(1), F.col(doc_id), t)).withColumn("__r2", F.xxhash64(t, F.col(doc_id)))
     gone = gone.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), "dropped_at")
     out = keyed.join(gone, ["__r1", "__r2"], "left").drop("__r1", "__r2")
+    if most_dropped < 1:
+        lost = F.aggregate(F.filter(F.split(t, "\n", -1), lambda x, i: F.array_contains("dropped_at", i)), F.lit(0), lambda n, x: n + F.length(x))
+        out = out.withColumn("dropped_at", F.when(lost <= most_dropped * F.length(t), F.col("dropped_at")))
     left = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains("dropped_at", i)), "\n")
     return out.select(
         *[F.when(F.col("dropped_at").isNull(), t).otherwise(left).alias(text) if c == text else F.col(c) for c in keep.columns],
