@@ -2,7 +2,8 @@
 
 Candidates are found by pattern in every whole text, with positions in code points: the
 pieces between matches (``split``) and the matches (``regexp_extract_all``) of one pattern
-alternate, so running sums of their lengths are the positions. Their SHA-256 hashes are
+alternate, so running sums of their lengths are the positions; very long texts with very
+many matches take work in proportion to them. Their SHA-256 hashes are
 then counted over the corpus by distinct repository and owner. What many owners hold is a
 copied example; what few hold looks like a live credential. Candidates of the pattern
 kinds are always reported, with that verdict; long mixed tokens that no pattern kind covers
@@ -14,8 +15,9 @@ each map task. The join back to the candidates has plain shuffles of tables cut
 it on both sides, which adaptive execution can split where a hash is hot.
 
 Nulls: a null text is empty; a null repository or owner counts as one more value. A
-candidate repeated in rows of one owner counts that owner once. Empty tables give an
-empty result. Rows that repeat are reported each. Other columns are not read.
+candidate repeated in rows of one owner counts that owner once. Spans that start together
+are listed by kind. Empty tables give an empty result. Rows that repeat are reported each.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,17 +34,22 @@ HEX = r"[0-9a-f]{16,}"
 MIXED = r"[A-Za-z0-9_-]{20,}"
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "mixed")
+CHUNK = 256
 ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9_-]{20}"
 
 
 def located(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """array<struct<start, kind, end, value>> of the matches whose ``group`` has ``least`` characters."""
+    """array<struct<start, kind, end, value>> of the matches whose ``group`` has ``least`` characters.
+
+    Lengths are summed over runs of CHUNK matches first, then inside each run, so the work is in proportion to the matches.
+    """
     p = F.lit(pattern)
     found = F.arrays_zip(
         F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.regexp_extract_all(text, p, F.lit(group)).alias("v"),
         F.split(text, pattern, -1).alias("before"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
+    width = lambda x: F.char_length(x["before"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + F.char_length(x["before"])
@@ -51,9 +58,18 @@ def located(text: Column, pattern: str, kind: int, group: int = 0, least: int =
         keep = F.coalesce(F.char_length(x["v"]) >= least, F.lit(False))
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    # Assignments keep their value for the count; the span is the whole match.
-    found = F.when(text.rlike(pattern), F.aggregate(found, start, step)["out"])
-    return F.coalesce(found, start["out"])
+    def offsets(runs: Column) -> Column:
+        """Each run with the length of all before it."""
+        add = lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(r, F.lit(0).cast("long"), lambda n, x: n + width(x))))
+        return F.arrays_zip(runs.alias("run"), F.aggregate(runs, F.array(F.lit(0).cast("long")), add).alias("at"))
+
+    def spans(f: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / CHUNK).cast("int")), lambda c: F.slice(f, c * CHUNK + 1, CHUNK))
+        each = F.filter(offsets(runs), lambda z: z["run"].isNotNull())
+        return F.flatten(F.transform(each, lambda z: F.aggregate(z["run"], F.struct(z["at"].alias("at"), none.alias("out")), step)["out"]))
+
+    # Assignments keep their value for the count; the span is the whole match. The one-element array names ``found`` once.
+    return F.coalesce(F.when(text.rlike(pattern), F.flatten(F.transform(F.array(found), spans))), none)
 
 
 def scan(
