@@ -16,11 +16,15 @@ Each level groups by (host, prefix, child) after a partial aggregation, never by
 alone, and joins tables that were cut off before, which adaptive execution can split: a
 host that holds a third of all rows is no single task.
 
+A node under which a single path is left is closed with all of it, so the levels follow
+the branching, not the longest path; paths of any depth are parsed to their end.
+
 Labels are urls with a verdict. Without a table of them, the urls that the rules decide
-are the labelled ones. Nulls: a null url, or one without ``://``, has an empty host and
+are labelled, and those of the others that hold one of ``WORDS`` as a word of the host or
+path are labelled bad; the tree then carries that to the templates. Nulls: a null url, or one without ``://``, has an empty host and
 path and is judged like any other. A host is what the url says, with port or user if any.
-Empty tables give an empty result. Rows that repeat are judged each, and count each.
-Other columns are not read.
+Of rules of one length the first given wins. Empty tables give an empty result. Rows that
+repeat are judged each, and count each. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,11 +41,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-LEVELS = 4
-WIDE = 32
-RARE = 0.05
-SAME_Z = 2.0
-LEAST_LABELLED = 5
+#: Words of urls that mark them as bad where nothing else labels them; a parameter of ``judge``.
+WORDS = ("adult", "ads", "bets", "casino", "cialis", "escort", "gambling", "lottery", "pills", "poker", "porn", "replica", "slots", "viagra", "xxx")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,39 +72,56 @@ def shape(segment: Column) -> Column:
 
 
 def steps(path: Column) -> Column:
-    """Shapes of the first LEVELS segments; what lies deeper is one more wildcard."""
-    all_ = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), shape)
-    return F.when(F.size(all_) > LEVELS, F.concat(F.slice(all_, 1, LEVELS), F.array(F.lit("{rest}")))).otherwise(all_)
+    """Shapes of all segments."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), shape)
+
+
+def suspicious(host: Column, path: Column, words: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
 
 
-def templates(counted: DataFrame) -> DataFrame:
-    """host, steps -> template, from host, steps, n, labelled, bad."""
+def templates(counted: DataFrame, *, wide: int, rare: float, same_z: float, least_labelled: int) -> DataFrame:
+    """host, steps -> template, from host, steps, n, labelled, bad.
+
+    A node with more than ``wide`` children joins those with less than a ``rare`` share of it into one; siblings with
+    ``least_labelled`` labels whose shares of bad ones differ by at most ``same_z`` deviations become one.
+    """
     t = cut(counted.withColumn("template", F.lit("")))
-    for level in range(LEVELS + 1):
-        here = t.withColumn("child", F.get("steps", F.lit(level)))
-        nodes = cut(here.where("child is not null").groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    ended: list[DataFrame] = []
+    level = 0
+    while True:
+        here = t.where(F.size("steps") > level).withColumn("child", F.get("steps", F.lit(level)))
+        nodes = here.groupBy("host", "template", "child").agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        nodes = cut(nodes)
         if nodes.isEmpty():
             break
         above = nodes.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("children"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
+            F.count(F.lit(1)).alias("children"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
         )
         x = nodes.join(cut(above), ["host", "template"])
         others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         share = F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0))
         deviation = F.sqrt(share * (1 - share) * (1 / F.nullif(F.col("labelled"), F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
         apart = F.abs(F.col("bad") / F.nullif(F.col("labelled"), F.lit(0)) - others_bad / F.nullif(others, F.lit(0)))
-        alike = (F.col("labelled") >= LEAST_LABELLED) & (others >= LEAST_LABELLED) & (apart <= SAME_Z * deviation)
-        rare = (F.col("children") > WIDE) & (F.col("n") < RARE * F.col("all"))
-        branch = F.when(rare, "{*}").when(F.coalesce(alike, F.lit(False)), "{~}").otherwise(F.col("child"))
-        made = cut(x.select("host", "template", "child", branch.alias("branch")))
-        t = here.join(made, ["host", "template", "child"], "left")
-        t = cut(t.withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))).drop("child", "branch"))
-    return t
+        alike = (F.col("labelled") >= least_labelled) & (others >= least_labelled) & (apart <= same_z * deviation)
+        few = (F.col("children") > wide) & (F.col("n") < rare * F.col("all"))
+        branch = F.when(few, "{*}").when(F.coalesce(alike, F.lit(False)), "{~}").otherwise(F.col("child"))
+        made = x.select("host", "template", "child", branch.alias("branch"), (F.col("all_paths") == 1).alias("alone"))
+        ended.append(t.where(F.size("steps") <= level))
+        on = cut(here.join(made, ["host", "template", "child"]))
+        rest = F.array_join(F.slice("steps", level + 1, F.size("steps")), "/")
+        ended.append(on.where("alone").withColumn("template", F.concat("template", F.lit("/"), rest)).drop("child", "branch", "alone"))
+        t = on.where("not alone").withColumn("template", F.concat("template", F.lit("/"), "branch")).drop("child", "branch", "alone")
+        level += 1
+    for part in ended:
+        t = t.unionByName(part)
+    return cut(t)
 
 
 def judge(
     pages: DataFrame, labels: DataFrame | None = None, *, rules: tuple = RULES, url: str = "url", page_id: str = "page_id",
-    purity: float = 0.9, weight: float = 2.0,
+    purity: float = 0.9, weight: float = 2.0, words: tuple[str, ...] = WORDS,
+    wide: int = 32, rare: float = 0.05, same_z: float = 2.0, least_labelled: int = 5,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template and the template's smoothed purity for every row.
 
@@ -116,20 +134,22 @@ def judge(
         return df.withColumn("rule", rule).withColumn("decided", verdict).withColumn("steps", steps(F.col("path")))
 
     rows = parsed(pages, F.col(page_id).alias("page_id"))
-    known = F.col("decided").isNotNull() if labels is None else F.lit(False)
+    marked = suspicious(F.col("host"), F.col("path"), words)
+    known = F.col("decided").isNotNull() | marked if labels is None else F.lit(False)
+    is_bad = F.coalesce(F.col("decided") == "block", marked)
     count = rows.groupBy("host", "steps").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("labelled"), F.count_if(known & (F.col("decided") == "block")).alias("bad")
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("labelled"), F.count_if(known & is_bad).alias("bad")
     )
     if labels is not None:
         marked = parsed(labels.where("bad in (0, 1)"), F.col("bad").cast("long").alias("bad"))
         marked = marked.groupBy("host", "steps").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("labelled"), F.sum("bad").alias("bad"))
         count = count.unionByName(marked).groupBy("host", "steps").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    t = templates(count)
+    t = templates(count, wide=wide, rare=rare, same_z=same_z, least_labelled=least_labelled)
     total = t.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = total["bad"] / total["labelled"] if total["labelled"] else 0.0
     smooth = (F.col("bad") + weight * prior) / (F.col("labelled") + weight)
     worth = t.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).select(
-        "host", "template", smooth.alias("purity"), ((F.col("labelled") >= LEAST_LABELLED) & (smooth >= purity)).alias("reject")
+        "host", "template", smooth.alias("purity"), ((F.col("labelled") >= least_labelled) & (smooth >= purity)).alias("reject")
     )
     # A template belongs to (host, steps); the shapes are one string in the join back.
     key = F.array_join("steps", "/")
