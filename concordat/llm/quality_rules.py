@@ -10,7 +10,9 @@ with the fitted weights, a constant 256 KB.
 Nulls: a null text is empty, has no words and fails the base rules; a null id passes
 through and is never a labelled row. Without any label, or with labels of one value only,
 the classifier keeps everything the base rules keep. An empty table gives an empty result.
-Rows that repeat are scored each. Other columns are not read.
+Rows that repeat are scored each; a probability at the threshold is kept. Texts of any length
+are counted and scored whole. Other columns are not read; with ``carry`` those that have the
+name of a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from concordat.llm.hashed_text import ALL, Sample, batches_of, descend, labelled, scores, sigmoid
 from concordat.llm.shared import Words
 
-FIT_ROWS = 2000
+FIT_ROWS = 3000
 STEPS = 60
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
