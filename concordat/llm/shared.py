@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared folder; Spark drops the files with the last reference."""
+    """Compute ``df`` once, into the shared folder. Spark deletes the files with the last reference to them where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true, as ``concordat.session`` sets it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -257,8 +257,13 @@ def test_line_templates(spark):
     rows += [(20 + i, near.format(w) + "\n" + prose(500 + i, 8), "en", "s", 0) for i, w in enumerate(("red", "green", "blue", "pink"))]
     rows.append((40, "two documents share this line\n" + prose(800, 7), "en", "s", 0))
     rows.append((41, "two documents share this line\n" + prose(801, 7), "en", "s", 0))
+    # Two documents, three lines of one template: short ones stay, long ones go.
+    rows += [(50, near.format("x").replace("alpha", "omega") + "\n" + near.format("y").replace("alpha", "omega"), "en", "s", 0), (51, near.format("z").replace("alpha", "omega"), "en", "s", 0)]
+    passage = prose(900, 60)
+    rows += [(60, prose(901, 9) + "\n" + passage, "en", "s", 0), (61, passage.replace(passage.split()[30], "other") + "\n" + prose(902, 9), "en", "s", 0)]
     d = spark.createDataFrame(rows, DOCS)
     out = {r.doc_id: r for r in line_templates.dedup(d).collect()}
+    assert out[50].n_dropped == out[51].n_dropped == out[60].n_dropped == 0 and list(out[61].dropped_at) == [0]
     for i in range(8):  # the first document keeps its lines; short lines and lines of its own stay everywhere
         assert list(out[i].dropped_at) == ([] if i == 0 else [1, 2] if i < 4 else [1])
     assert [list(out[20 + i].dropped_at) for i in range(4)] == [[], [0], [0], [0]]
@@ -290,9 +295,99 @@ def test_url_templates_reject_by_purity(spark):
     assert len({out[200 + i].template for i in range(60)}) < 60
 
 
-def test_language_model_learns(spark, docs):
-    w = pseudo_likelihood.train(docs)
-    before, after = (pseudo_likelihood.score(docs, x).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0] for x in (pseudo_likelihood.initial(), w))
+def plain_templates(paths, wide=32, rare=0.05, z=2.0, least=5):
+    """{(host, steps): template} of counted paths {(host, steps): (n, labelled, bad)}, level by level in plain Python."""
+    template, level = dict.fromkeys(paths, ""), 0
+    while any(len(k[1]) > level for k in paths):
+        nodes = {}
+        for k, v in paths.items():
+            if len(k[1]) > level:
+                children = nodes.setdefault((k[0], template[k]), {})
+                children[k[1][level]] = [a + b for a, b in zip(children.get(k[1][level], (0, 0, 0)), v)]
+        new = dict(template)
+        for k in paths:
+            if len(k[1]) > level:
+                children = nodes[k[0], template[k]]
+                n, lab, bad = children[k[1][level]]
+                all_, all_lab, all_bad = (sum(x) for x in zip(*children.values()))
+                branch, o = k[1][level], all_lab - lab
+                if len(children) > wide and n < rare * all_:
+                    branch = "{*}"
+                elif lab >= least and o >= least and abs(bad / lab - (all_bad - bad) / o) <= z * (all_bad / all_lab * (1 - all_bad / all_lab) * (1 / lab + 1 / o)) ** 0.5:
+                    branch = "{~}"
+                new[k] = template[k] + "/" + branch
+        template, level = new, level + 1
+    return template
+
+
+def test_url_tree_by_plain_python(spark):
+    r = random.Random(8)
+    urls = []
+    for i in range(3000):
+        depth = r.choice((1, 2, 3, 3, 7))
+        parts = [r.choice(("spam", "news", "shop", f"u{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"))] + [r.choice(("a", "b", "page", "x", str(r.randrange(999)))) for _ in range(depth)]
+        urls.append((i, f"http://h{r.randrange(3)}.test/" + "/".join(parts)))
+    labels = [(u, int("spam" in u or r.random() < 0.1)) for i, u in urls if r.random() < 0.4]
+    step = lambda u: tuple(re.sub("[0-9]+", "{n}", x) for x in u.split("/")[3:])
+    paths = {}
+    for _, u in urls:
+        k = (u.split("/")[2], step(u))
+        paths[k] = (paths.get(k, (0, 0, 0))[0] + 1, 0, 0)
+    for u, bad in labels:
+        k = (u.split("/")[2], step(u))
+        n, a, b = paths[k]
+        paths[k] = (n, a + 1, b + bad)
+    template = plain_templates(paths)
+    worth = {}
+    for k, (n, a, b) in paths.items():
+        w = worth.setdefault((k[0], template[k]), [0, 0])
+        w[0] += a
+        w[1] += b
+    prior = sum(b for _, b in labels) / len(labels)
+    d, l = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "url string, bad int")
+    out = url_templates.judge(d, l, rules=(), purity=0.7).collect()
+    assert len(out) == 3000 and len({x.verdict for x in out}) == 2 and any("{*}" in x.template for x in out) and any("{~}" in x.template for x in out)
+    for x in out:
+        k = (x.host, step(dict(urls)[x.page_id]))
+        a, b = worth[k[0], template[k]]
+        p = (b + 2 * prior) / (a + 2)
+        assert x.template == template[k] and np.isclose(x.purity, p) and x.verdict == ("block" if a >= 5 and p >= 0.7 - 1e-12 else "allow")
+
+
+def test_language_model_learns(spark, docs, texts):
+    model = pseudo_likelihood.train(docs)
+    start = pseudo_likelihood.Model(pseudo_likelihood.initial())
+    start.inside = model.inside
+    before, after = (pseudo_likelihood.score(docs, x).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0] for x in (start, model))
     assert after > before + 0.1
-    total = np.exp(pseudo_likelihood.log_probs(pseudo_likelihood.views(w), np.arange(1024), np.full((4, 1024), 5, np.int16))).sum()
+    total = np.exp(pseudo_likelihood.log_probs(pseudo_likelihood.views(model.flat), np.arange(1024), np.full((4, 1024), 5, np.int16))).sum()
     assert abs(total - 1) < 1e-3
+    assert np.allclose(np.exp(model.inside.astype(float)).reshape(1024, -1).sum(axis=1), 1, atol=1e-3)
+    again = pseudo_likelihood.train(docs.repartition(7))
+    assert (again.flat == model.flat).all() and (again.inside == model.inside).all()
+
+
+def test_language_model_by_single_words(spark, docs, texts):
+    """Each document's score is the sum over its words, each predicted alone from its four neighbours by plain arithmetic."""
+    model = pseudo_likelihood.train(docs)
+    w = {k: v.astype(float) for k, v in pseudo_likelihood.views(model.flat).items()}
+    count = Counter(x for t in texts.values() for x in code_list(t))
+    in_class = Counter()
+    for code in range(1 << pseudo_likelihood.BITS):
+        in_class[code >> pseudo_likelihood.BITS - 10] += count.get(code, 1)
+    got = {r.doc_id: r for r in pseudo_likelihood.score(docs, model).collect()}
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[20:26]:
+        codes = code_list(texts[i])
+        cls = [c >> pseudo_likelihood.BITS - 10 for c in codes]
+        total = 0.0
+        for p, c in enumerate(cls):
+            near = [cls[p + s] if 0 <= p + s < len(cls) else 1024 for s in (-2, -1, 1, 2)]
+            h = np.tanh(sum(w["e"][k][n] for k, n in enumerate(near)))
+            total += np.log(softmax(h @ w["g"] + w["gb"])[c // 32]) + np.log(softmax(h @ w["p"][c // 32] + w["pb"][c // 32])[c % 32])
+            total += np.log(count[codes[p]] / in_class[c])
+        assert got[i].n_tokens == len(codes) and np.isclose(got[i].log_prob, total, rtol=1e-4)
+
+
+def code_list(t):
+    return pseudo_likelihood.codes(shared.Words(pa.array([t or ""]))).tolist()
