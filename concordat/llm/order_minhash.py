@@ -15,12 +15,12 @@ Classes are the connected components of the verified links.
 Equal texts collapse first and are one node, named in the result by the smallest doc_id.
 Equal sketches make a bucket. Candidates of a bucket are its members against one leader,
 the first in one order of all nodes, so that the buckets of a group of copies share their
-leader and a bucket of n members gives n - 1 pairs, whatever its size. Members that these
-links leave outside their leader's component meet all members of the bucket, block against
-block, as counts of hashed words (``BINS`` bytes each, no text): each member is aligned with
-the nearest member of every other component that the multiset bound leaves possible, then,
-where that connects nothing, with all that are possible. So a bucket gives the components
-that all its pairs would give.
+leader and a bucket of n members gives n - 1 pairs, whatever its size. Where links leave
+members outside their leader's component, a second leader is drawn from those. Members that
+are outside still meet the others of the bucket that share a rare word with them (a prefix
+filter, which loses no pair within the distance), block against block, as counts of hashed
+words (``BINS`` bytes each, no text); pairs of different components that the multiset bound
+leaves are aligned. So a bucket gives the components that all its pairs would give.
 
 Nulls: a null, empty or wordless text is a class of its own, and so is a row with a null
 doc_id. Ids keep their type. Each row is judged by its own text: rows that repeat an id and
@@ -48,6 +48,7 @@ SKETCHES = 48
 DRAWN = 2
 BLOCK = 1024
 BINS = 1024
+SLOTS = 1 << 20
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 RNG = np.random.default_rng(20240607)
 SEEDS = RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -188,15 +189,14 @@ def sequences(texts: pa.Array) -> list[np.ndarray]:
     return np.split(word_hashes(words), words.start[1:]) if len(texts) else []
 
 
-def bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bins(words: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Words by row, and counts of hashed words by row and bin, at most 255: no difference of two grows by that."""
-    words = Words(texts)
     at = words.doc * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
-    return words.n, np.minimum(np.bincount(at, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+    return words.n, np.minimum(np.bincount(at, minlength=rows * BINS), 255).astype(np.uint8).reshape(-1, BINS)
 
 
-def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, positions j, least distances) of the pairs of rows that the length and the multiset bound leave."""
+def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, positions j) of the pairs of rows that the length and the multiset bound leave."""
     for i in range(len(left)):
         room = allowed(np.maximum(n_right, n_left[i]), similarity)
         j = np.flatnonzero(np.abs(n_right - n_left[i]) <= room)
@@ -205,7 +205,7 @@ def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
         least = np.maximum(over, over - gap.sum(axis=1))
         stay = least <= room[j]
         if stay.any():
-            yield i, j[stay], least[stay]
+            yield i, j[stay]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -271,55 +271,29 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
     good = aligned(near)
     comp = stored(components(good, "node", "other"))
 
-    def block(nearest: bool):
-        def run(t: pa.Table) -> pa.Table:
-            node, own, i, part = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["part"].to_numpy()
-            n, count = t["words"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in t["bins"].to_pylist()])
-            left = np.flatnonzero(own == i)
-            right = np.flatnonzero(own != i) if (own != i).any() else left
-            a, b, gap = [], [], []
-            for x, at, least in possible(count[left], count[right], n[left], n[right], similarity):
-                x, y = left[x], right[at]
-                apart = (part[y] != part[x]) & ((right is not left) | (y > x))
-                y, least = y[apart], least[apart]
-                if nearest and len(y):  # of each component the nearest
-                    y, least = y[np.argsort(least, kind="stable")], np.sort(least)
-                    first = np.unique(part[y], return_index=True)[1]
-                    y, least = y[first], least[first]
-                a.append(np.full(len(y), node[x])), b.append(node[y]), gap.append(least)
-            a, b, gap = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, gap))
-            return pa.table({"node": np.minimum(a, b), "other": np.maximum(a, b), "gap": gap})
-
-        return run
-
-    # Members outside their leader's component meet all members of the bucket but the leader, which each of them failed.
-    # Pairs of one component connect nothing.
-    for nearest in (True, False):
+    def unresolved() -> DataFrame:
+        """(bucket, node, part, out) of the members but the leader of buckets where a member is outside its leader's component."""
         part = comp.withColumnRenamed("component", "part")
         placed = pairs.join(part, "node", "left").join(part.select(F.col("node").alias("leader"), F.col("part").alias("leader_part")), "leader", "left")
         own = F.coalesce("part", "node")
         placed = cut(placed.select("bucket", "node", own.alias("part"), (own != F.coalesce("leader_part", "leader")).alias("out")))
-        size = placed.groupBy("bucket").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.min("part").alias("low"), F.max("part").alias("high"))
-        many = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
-        size = cut(size.where("n_out > 0 and low <> high").select("bucket", many("n_out").alias("outs"), many("n_in").alias("ins")))
-        if size.isEmpty():
-            break
-        h = F.xxhash64("node")
-        mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
-        last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
-        tiles = placed.join(size, "bucket").withColumn("mine", mine)
-        counted = texts.join(tiles.select("node").distinct(), "node").mapInArrow(count_bins, "node bigint, words bigint, bins binary")
-        tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), last))).select("bucket", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
-        made = tiles.join(cut(counted), "node").groupBy("bucket", "i", "j").applyInArrow(block(nearest), "node bigint, other bigint, gap bigint")
-        found = made.groupBy("node", "other").agg(F.min("gap").alias("gap"))
-        if nearest:  # over all blocks and buckets: of each other component one
-            side = part.select(F.col("node").alias("other"), F.col("part").alias("other_part"))
-            found = found.join(part, "node", "left").join(side, "other", "left")
-            found = found.groupBy(F.coalesce("part", "node").alias("p"), F.coalesce("other_part", "other").alias("q")).agg(F.min_by(F.struct("node", "other"), "gap").alias("best")).select("best.*")
-        more = aligned(cut(found.select("node", "other")))
-        if not more.isEmpty():
-            good = cut(good.union(more))
-            comp = stored(components(good, "node", "other"))
+        # Pairs of one component connect nothing.
+        mixed = placed.groupBy("bucket").agg(F.max("out").alias("some"), F.min("part").alias("low"), F.max("part").alias("high")).where("some and low <> high")
+        return cut(placed.join(mixed.select("bucket"), "bucket"))
+
+    # A second leader, from those that are outside, meets all members in other components.
+    placed = unresolved()
+    again = placed.where("out").groupBy("bucket").agg(F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(3), "node")).alias("l"))
+    second = placed.join(again, "bucket").where(F.col("part") != F.col("l.part")).select(F.least("node", "l.node").alias("node"), F.greatest("node", "l.node").alias("other"))
+    more = aligned(cut(second.distinct()))
+    if not more.isEmpty():
+        good = cut(good.union(more))
+        comp = stored(components(good, "node", "other"))
+        placed = unresolved()
+
+    if not placed.isEmpty():
+        good = cut(good.union(aligned(possible_pairs(placed, texts, similarity))))
+        comp = stored(components(good, "node", "other"))
 
     named = nodes.select("t1", "t2", "node", "rep", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("class"))
@@ -334,10 +308,67 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
     )
 
 
-def count_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
-        n, count = bins(strings(b, "text"))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([x.tobytes() for x in count], pa.binary())], ["node", "words", "bins"])
+def possible_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, other) of the pairs of a bucket, one of them ``out`` and in different components, that the bounds leave.
+
+    Two texts within the distance share one of the words that are rarest in an order of all words (numbered where they
+    repeat), among as many as may differ and one more. So members of a bucket meet by such a word, and what only shares
+    common passages never does. Groups of one bucket and word are dealt to blocks and compared as counts of words.
+    """
+
+    def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in slices(batches, "text"):
+            words = Words(strings(b, "text"))
+            total += np.bincount((shingles(words, word_hashes(words), 1)[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    met = texts.select("text").mapInArrow(count_slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[met["slot"].to_numpy()] = met["n"].to_numpy()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            text = strings(b, "text")
+            words = Words(text)
+            n, count = bins(words, len(text))
+            h, row = shingles(words, word_hashes(words), 1)
+            times = often[(h % np.uint64(SLOTS)).astype(np.int64)]
+            order = np.lexsort((h, times, row))
+            rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            order = order[(rank <= allowed(n, similarity)[row]) & (times[order] > 1)]
+            size = np.concatenate([[0], np.cumsum(np.bincount(row[order], minlength=len(n)))]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(size), pa.array(h[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([x.tobytes() for x in count], pa.binary()), tokens], ["node", "words", "bins", "tokens"])
+
+    known = cut(texts.join(placed.select("node").distinct(), "node").mapInArrow(rare, "node bigint, words bigint, bins binary, tokens array<bigint>"))
+    keyed = placed.join(known.select("node", F.explode("tokens").alias("token")), "node").select(F.xxhash64("bucket", "token").alias("group"), "node", "part", "out")
+    keyed = cut(keyed)
+    size = keyed.groupBy("group").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.min("part").alias("low"), F.max("part").alias("high"))
+    many = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
+    size = size.where("n_out > 0 and low <> high").select("group", many("n_out").alias("outs"), many("n_in").alias("ins"))
+    h = F.xxhash64("node")
+    mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
+    last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
+    tiles = keyed.join(size, "group").withColumn("mine", mine).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    tiles = tiles.select("group", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
+
+    def block(t: pa.Table) -> pa.Table:
+        node, own, i, part = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["part"].to_numpy()
+        n, count = t["words"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in t["bins"].to_pylist()])
+        left = np.flatnonzero(own == i)
+        right = np.flatnonzero(own != i) if (own != i).any() else left
+        a, b = [], []
+        for x, at in possible(count[left], count[right], n[left], n[right], similarity):
+            x, y = left[x], right[at]
+            y = y[(part[y] != part[x]) & ((right is not left) | (y > x))]
+            a.append(np.full(len(y), node[x])), b.append(node[y])
+        a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"node": np.minimum(a, b), "other": np.maximum(a, b)})
+
+    made = tiles.join(known.select("node", "words", "bins"), "node").groupBy("group", "i", "j").applyInArrow(block, "node bigint, other bigint")
+    return cut(made.distinct())
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
