@@ -7,29 +7,28 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Function words by language.
+# Function words by language, and the letters that words are made of.
 FUNCTION_WORDS = {
-    "en": "the and of to in for is are be with this that shall from by on as at or an".split(),
-    "es": "de la el los las y en que por con del para se un una al es son su lo".split(),
+    "en": ("the", "and", "of", "to", "in", "for", "is", "are", "be", "with", "this", "that", "shall", "from", "by", "on", "as", "at", "or", "an"),
+    "es": ("de", "la", "el", "los", "las", "y", "en", "que", "por", "con", "del", "para", "se", "un", "una", "al", "es", "son", "su", "lo"),
 }
-LETTERS = "[a-záéíóúüñçàèòïA-ZÁÉÍÓÚÜÑÇÀÈÒÏ]+"
+LETTER = "[a-záéíóúüñçàèòïA-ZÁÉÍÓÚÜÑÇÀÈÒÏ]"
 MARGIN = 2.0
 
 
 def function_word_hits(text: Column, language: str) -> Column:
-    words = F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), lambda w: F.lower(w))
-    stops = F.array(*[F.lit(w) for w in FUNCTION_WORDS[language]])
-    return F.size(F.filter(words, lambda w: F.array_contains(stops, w))).cast("long")
+    """Runs of letters that are a function word; one pattern, no array of words."""
+    return F.regexp_count(text, F.lit(f"(?<!{LETTER})(?i:{'|'.join(FUNCTION_WORDS[language])})(?!{LETTER})")).cast("long")
 
 
-def detected(text: Column) -> tuple[Column, Column]:
-    """(language, share of hits on two digits); 'unknown' and 0 without hits, English on a tie."""
-    hits = {k: function_word_hits(text, k) for k in FUNCTION_WORDS}
-    total = hits["en"] + hits["es"]
-    best = F.when(hits["en"] >= hits["es"], "en").otherwise("es")
-    share = F.round((F.greatest(hits["en"], hits["es"]) / total).cast("decimal(12,8)"), 2).cast("decimal(4,2)")
-    none = F.coalesce(total, F.lit(0)) == 0
-    return F.when(none, "unknown").otherwise(best), F.when(none, F.lit(0).cast("decimal(4,2)")).otherwise(share)
+def with_language(docs: DataFrame, text: str = "text", language: str = "detected", share: str = "share") -> DataFrame:
+    """``docs`` with the language and its share of hits on two digits; 'unknown' and 0 without hits, English on a tie."""
+    x = docs.withColumns({f"__{k}": function_word_hits(F.col(text), k) for k in FUNCTION_WORDS})
+    en, es = F.col("__en"), F.col("__es")
+    part = F.round((F.greatest(en, es) / F.nullif(en + es, F.lit(0))).cast("decimal(12,8)"), 2).cast("decimal(4,2)")
+    none = F.coalesce(en + es, F.lit(0)) == 0
+    best = F.when(none, "unknown").when(en >= es, "en").otherwise("es")
+    return x.withColumns({language: best, share: F.when(none, F.lit(0).cast("decimal(4,2)")).otherwise(part)}).drop("__en", "__es")
 
 
 class Keyword(NamedTuple):
@@ -65,6 +64,12 @@ def keyword_scores(docs: DataFrame, keywords: Sequence[Keyword] = KEYWORDS, text
     return wide.select(doc_id, F.expr(f"stack({len(schemas)}, {pairs}) as (schema, score)")).where("score > 0")
 
 
+def gated(scores: DataFrame, docs: DataFrame, schema: str = "invoice", parts: str = INVOICE_PARTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Scores without those of ``schema`` for texts that show none of its parts."""
+    shows = docs.select(doc_id, F.coalesce(F.col(text).rlike(f"(?iU){parts}"), F.lit(False)).alias("__shows"))
+    return scores.join(shows, doc_id, "left").where((F.col("schema") != schema) | F.coalesce("__shows", F.lit(False))).drop("__shows")
+
+
 def decide(scores: DataFrame, margin: float = MARGIN, doc_id: str = "doc_id") -> DataFrame:
     """doc_id, doc_type, confidence: the top schema if it leads the runner-up by ``margin``."""
     g = scores.groupBy(doc_id).agg(

@@ -8,8 +8,6 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from concordat.functions.bind import let
-
 # Legal forms that end a company's name.
 LEGAL_FORMS = (
     "inc", "incorporated", "corp", "corporation", "company", "co", "ltd", "limited", "llc", "llp", "lp", "plc", "sa", "sau", "sl", "slu",
@@ -31,19 +29,14 @@ def core_name(c: Column) -> Column:
 
     A name of legal forms only, or without ASCII letters, becomes empty.
     """
-    end = r"(?:^| )([a-z0-9] [a-z0-9])$"
-
-    def core(n: Column) -> Column:
-        tail = F.regexp_extract(n, end, 1)
-        glued = F.when(tail != "", F.concat(F.substring(n, F.lit(1), F.length(n) - 3), F.replace(tail, F.lit(" "), F.lit("")))).otherwise(n)
-        return F.trim(F.regexp_replace(glued, rf"(?:(?:^| )(?:{'|'.join(LEGAL_FORMS)}))+$", ""))
-
-    return F.when(c.isNotNull(), let(normalize(c), core))
+    glued = F.regexp_replace(normalize(c), "(^| )([a-z0-9]) ([a-z0-9])$", "$1$2$3")
+    return F.trim(F.regexp_replace(glued, rf"(?:(?:^| )(?:{'|'.join(LEGAL_FORMS)}))+$", ""))
 
 
 def same_entity(a: Column, b: Column, guarded: bool = True) -> Column:
     """Equal core names; ``guarded`` asks for one that is not empty."""
-    return let(F.struct(core_name(a).alias("a"), core_name(b).alias("b")), lambda x: (x["a"] == x["b"]) & (F.lit(not guarded) | (x["a"] != "")))
+    same = core_name(a) == core_name(b)
+    return same & (core_name(a) != "") if guarded else same
 
 
 def alnum_key(c: Column) -> Column:

@@ -76,29 +76,32 @@ def invoice_to_order(
     ``guarded`` compares names only where a core name is left; without it two names in other
     scripts compare equal, as the plain rule has it.
     """
-    o = orders.select("id", *[F.col(c).alias(f"o_{c}") for c in ("po_number", "currency", "seller", "buyer", "total")])
-    h = invoices.join(o, "id")
-    differ = lambda a, b: (text.core_name(a) != text.core_name(b)) & (F.lit(not guarded) | (text.core_name(a) != "") | (text.core_name(b) != ""))
-    head = long(
-        h,
+    sides = ("po_number", "currency", "seller", "buyer", "total")
+    cores = lambda df: df.withColumns({f"{c}_core": text.core_name(F.col(c)) for c in ("seller", "buyer")})
+    o = cores(orders).select("id", *[F.col(c).alias(f"o_{c}") for c in (*sides, "seller_core", "buyer_core")])
+    h = cores(invoices).join(o, "id")
+    differ = lambda c: (F.col(f"{c}_core") != F.col(f"o_{c}_core")) & (F.lit(not guarded) | (F.col(f"{c}_core") != "") | (F.col(f"o_{c}_core") != ""))
+    head = F.array_compact(F.array(
         F.when((F.coalesce(F.col("po_number"), F.lit("")) != "") & (key_of(F.col("po_number")) != key_of(F.col("o_po_number"))), discrepancy("po_number_mismatch", "purchase_order_number", F.col("o_po_number"), F.col("po_number"))),
         F.when(F.upper("currency") != F.upper("o_currency"), discrepancy("currency_mismatch", "currency", F.col("o_currency"), F.col("currency"))),
-        F.when(differ(F.col("seller"), F.col("o_seller")), discrepancy("party_mismatch", "seller.name", F.col("o_seller"), F.col("seller"))),
-        F.when(differ(F.col("buyer"), F.col("o_buyer")), discrepancy("party_mismatch", "buyer.name", F.col("o_buyer"), F.col("buyer"))),
+        F.when(differ("seller"), discrepancy("party_mismatch", "seller.name", F.col("o_seller"), F.col("seller"))),
+        F.when(differ("buyer"), discrepancy("party_mismatch", "buyer.name", F.col("o_buyer"), F.col("buyer"))),
         F.when(money.exceeds(F.col("total"), F.col("o_total")), discrepancy("total_mismatch", "total_amount", F.col("o_total"), F.col("total"), F.col("total") - F.col("o_total"))),
-    )
-    found = head.unionByName(line_discrepancies(matched_lines(invoice_lines, order_lines), price_percent, quantity_percent))
-    return found, statuses(h, found)
+    ))
+    h = h.select("id", "total", "o_total", head.alias("head"))
+    lines = line_discrepancies(matched_lines(invoice_lines, order_lines), price_percent, quantity_percent)
+    return h.select("id", F.explode("head").alias("d")).select("id", "d.*").unionByName(lines), statuses(h, lines)
 
 
-def statuses(headers: DataFrame, found: DataFrame) -> DataFrame:
-    """id, status, matched_amount, variance_amount, n_discrepancies from headers with total and o_total."""
-    errors = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("bad"))
+def statuses(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, status, matched_amount, variance_amount, n_discrepancies from headers (total, o_total, own discrepancies in ``head``) and lines' ones."""
+    errors = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("bad"))
     x = headers.join(errors, "id", "left")
+    bad = (F.coalesce("bad", F.lit(0)) == 1) | F.exists("head", lambda d: d["severity"] == "error")
     return x.select(
-        "id", F.when(F.coalesce("bad", F.lit(0)) == 1, "discrepancy").otherwise("matched").alias("status"),
+        "id", F.when(bad, "discrepancy").otherwise("matched").alias("status"),
         F.least("total", "o_total").alias("matched_amount"), F.abs(F.col("total") - F.col("o_total")).alias("variance_amount"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_discrepancies"),
+        (F.coalesce("n", F.lit(0)) + F.size("head")).cast("long").alias("n_discrepancies"),
     )
 
 

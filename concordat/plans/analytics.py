@@ -155,7 +155,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_acceptable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as readings of a page, in order of id."""
-    return layout.first_acceptable(readings(spark, sf_dir).where("ordinal % 40 < 2"), 0.9)
+    return layout.first_acceptable(readings(spark, sf_dir), 0.9)
 
 
 def escalation_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,16 +182,27 @@ def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_confidence(e, 0.5).select("page", F.col("confidence").cast("decimal(8,6)").alias("confidence"))
 
 
-def review_queue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a review log: views enqueue, clicks claim, carts update, purchases approve, the rest release."""
+def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a review log: by id an event queues a user's task, claims, corrects, releases, approves or rejects it."""
     e = table(spark, sf_dir, "events")
-    kinds = sorted(KINDS)
-    kind = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % 5).cast("int"))
-    log = e.select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("r"), F.col("event_id") % 3).alias("who"), F.col("ts").alias("at"), F.lit(600).alias("lease_s"))
-    return review.queue_state(log).select("task", "state", "version", "locked_by", "revisions")
+    k = F.col("event_id")
+    kind = F.get(F.array(*[F.lit(x) for x in KINDS]), (k % len(KINDS)).cast("int"))
+    return e.select(
+        F.col("user_id").alias("task"), k.alias("seq"), F.when(k % 101 == 0, "enqueue").otherwise(kind).alias("kind"), F.concat(F.lit("r"), k % 3 % 2).alias("who"), F.col("ts").alias("at"),
+        F.when(k % 29 == 0, 5).otherwise(3600).cast("int").alias("lease_s"), F.when(k % 13 == 0, 3).cast("long").alias("expected_version"),
+        F.when(k % 4 == 0, F.concat(F.lit('{"v": '), k, F.lit("}"))).alias("corrections"), (k % 7 == 0).cast("int").alias("errors"),
+    )
+
+
+def review_queue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.queue_state(review_log(spark, sf_dir)).select("task", "state", "version", "locked_by", "corrections", "revisions", "refused")
+
 
+def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.revisions(review_log(spark, sf_dir)).groupBy("kind", "refusal").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("last_version"))
 
-KINDS = ("enqueue", "claim", "update", "release", "approve")
+
+KINDS = ("enqueue", "claim", "corrected", "claim", "approved", "claim", "release", "corrected", "claim", "rejected", "claim")
 
 
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +228,7 @@ def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     field_prf, error_breakdown, review_safety, detection_metrics, bag_of_words_f1, batch_rollup, run_agreement, tier_benchmark, citation_coverage, vat_breakdown, semantic_totals,
-    summary_rows, line_item_rows, unit_codes, csv_guard, implied_rate, json_flatten, first_acceptable, escalation_winner, gap_segments, merge_bands, page_confidence, review_queue_state,
+    summary_rows, line_item_rows, unit_codes, csv_guard, implied_rate, json_flatten, first_acceptable, escalation_winner, gap_segments, merge_bands, page_confidence, review_queue_state, review_history,
     review_reasons, tumbling_events,
 )}
 
@@ -238,6 +249,28 @@ PG = LAB + """, p as (select doc_id, 'quality' field, case when n_chars < 400 th
 g as (select doc_id, 'quality' field, cast(quality as varchar) v from x union all select doc_id, 'toxic', cast(toxic as varchar) from x),
 j as (select coalesce(p.field, g.field) field, p.v p, g.v g from p full join g on p.doc_id = g.doc_id and p.field = g.field)"""
 LI = "with li as (select l_orderkey id, cast(l_extendedprice as decimal(18,2)) net, cast(l_tax as decimal(6,2)) t from lineitem)"
+#: The queue's rules as a recursion over each task's events in order; locks by owner and end of lease.
+QUEUE_SQL = """with recursive log as (select user_id task, event_id seq, row_number() over (partition by user_id order by event_id) n, event_id k, ts moment,
+  case when event_id % 101 = 0 then 'enqueue' else (['enqueue', 'claim', 'corrected', 'claim', 'approved', 'claim', 'release', 'corrected', 'claim', 'rejected', 'claim'])[event_id % 11 + 1] end kind,
+  'r' || (event_id % 3 % 2) who, case when event_id % 29 = 0 then 5 else 3600 end lease, case when event_id % 13 = 0 then 3 end expected,
+  case when event_id % 4 = 0 then '{"v": ' || event_id || '}' end fix, event_id % 7 = 0 bad from events),
+s as (select task, n, kind, case when kind = 'enqueue' then 'pending' end state, cast(case when kind = 'enqueue' then 1 else 0 end as bigint) as version, cast(null as varchar) locked_by, cast(null as timestamp) until,
+  cast(null as varchar) corrections, cast(case when kind = 'enqueue' then 1 else 0 end as bigint) revisions, cast(case when kind = 'enqueue' then 0 else 1 end as bigint) refused, case when kind <> 'enqueue' then 'missing' end refusal from log where n = 1
+ union all
+ select task, n, kind, case when refusal is not null then state when kind = 'enqueue' then 'pending' when kind = 'claim' then 'in_review' when kind = 'release' then case when corrections is null then 'pending' else 'corrected' end else kind end,
+  case when refusal is null then version + 1 else version end,
+  case when refusal is not null then locked_by when kind = 'claim' then who when kind = 'corrected' then locked_by end,
+  case when refusal is not null then until when kind = 'claim' then moment + to_seconds(lease) when kind = 'corrected' then until end,
+  case when refusal is not null or kind in ('claim', 'release') then corrections when kind = 'enqueue' then null else coalesce(fix, corrections) end,
+  case when refusal is null then revisions + 1 else revisions end, case when refusal is null then refused else refused + 1 end, refusal
+ from (select s.task, log.n, log.kind, s.state, s.version, s.locked_by, s.until, s.corrections, s.revisions, s.refused, log.who, log.moment, log.lease, log.fix,
+   case when log.kind = 'enqueue' then null when s.version = 0 then 'missing'
+    when log.kind = 'claim' then case when lease < 10 or lease > 3600 then 'lease' when s.until > log.moment and s.locked_by <> log.who then 'locked' end
+    when s.locked_by is null or s.until <= log.moment or s.locked_by <> log.who then 'no_lock' when log.kind = 'release' then null
+    when expected <> s.version then 'version' when log.kind = 'approved' and bad then 'errors' end refusal
+  from s join log on log.task = s.task and log.n = s.n + 1))
+"""
+
 ORACLE = {
     "field_prf": PG + f""", c as (select case when grouping(field) = 1 then '_micro' else field end field, count(*) filter (p = g) tp, count(*) filter (p is not null and (g is null or p <> g)) fp, count(*) filter (g is not null and (p is null or p <> g)) fn from j group by grouping sets ((field), ()))
 select field, tp, fp, fn, {ratio('tp', 'tp + fp')} "precision", {ratio('tp', 'tp + fn')} recall, {ratio('2 * tp', '2 * tp + fp + fn')} f1 from c""",
@@ -278,7 +311,7 @@ select id, line_total, cast(line_total - discount as decimal(18,2)) tax_exclusiv
 y as (select *, cast(round(s * r, 2) + case when l_partkey % 2 = 0 then 0.37 else 0 end as decimal(18,2)) tax from x),
 z as (select *, cast((cast(tax * 100 as hugeint) * 20000 // cast(s * 100 as hugeint) + 1) // 2 / 100.0 as decimal(8,2)) k from y)
 select l_orderkey, l_partkey, l_linenumber, s, tax, case when tax = 0 then cast(0 as decimal(8,2)) when {cents('s', 'k')} = tax then k end rate from z""",
-    "first_acceptable": """with r as (select user_id page, event_id o, case when event_type = 'view' then '' else event_type end t, cast(value / 500 as decimal(6,4)) c, event_id % 2 = 0 geo from events where event_id % 40 < 2),
+    "first_acceptable": """with r as (select user_id page, event_id o, case when event_type = 'view' then '' else event_type end t, cast(value / 500 as decimal(6,4)) c, event_id % 2 = 0 geo from events),
 g as (select page, min(o) filter (t <> '' and c >= 0.9) acc from r group by 1),
 b as (select page, o from (select page, o, row_number() over (partition by page order by c desc, o) k from r where t <> '') where k = 1),
 w as (select r.page, max(r.o) w from r join g on r.page = g.page where r.t <> '' and r.c < 0.9 and r.geo and (g.acc is null or r.o < g.acc) group by 1)
@@ -293,11 +326,8 @@ b as (select *, sum(case when lo > m then 1 else 0 end) over (partition by l_sup
 select l_suppkey, min(lo) lo, max(hi) hi, count(*) n from b group by l_suppkey, k""",
     "page_confidence": """with l as (select user_id p, cast(ts as date) d, avg(cast(cast(value / 500 as decimal(8,4)) as double)) m, sum(length(event_type)) c from events group by 1, 2),
 g as (select p, sum(case when m >= 0.5 then c else 0 end) a, sum(c) b from l group by 1) select p page, cast(cast(a as double) / cast(b as double) as decimal(8,6)) confidence from g""",
-    "review_queue_state": """with k as (select user_id t, event_id s, (['approve', 'claim', 'enqueue', 'release', 'update'])[event_id % 5 + 1] k, 'r' || (event_id % 3) who from events),
-r as (select *, sum(case when k in ('enqueue', 'update', 'approve') then 1 else 0 end) over (partition by t order by s) v, sum(case when k = 'enqueue' then 1 else 0 end) over (partition by t order by s) rd, count(*) over (partition by t) n, row_number() over (partition by t order by s desc) z from k),
-c as (select *, max(case when k = 'update' then 1 else 0 end) over (partition by t, rd order by s) cor from r)
-select t task, case k when 'enqueue' then 'pending' when 'claim' then 'claimed' when 'approve' then 'approved' when 'update' then 'corrected' when 'release' then case when cor = 1 then 'corrected' else 'pending' end end state,
- cast(v as bigint) as version, case when k in ('claim', 'update') then who end locked_by, n revisions from c where z = 1""",
+    "review_queue_state": QUEUE_SQL + """select task, state, version, locked_by, corrections, revisions, refused from (select *, row_number() over (partition by task order by n desc) z from s) where z = 1""",
+    "review_history": QUEUE_SQL + "select kind, refusal, count(*) n, max(case when refusal is null then version end) last_version from s group by 1, 2",
     "review_reasons": """with d as (select doc_id k from documents), r as (
  select k, 'failed' code from d where k % 50 = 0 union all select k, 'incomplete' from d where k % 50 <> 0 and k % 11 = 0 union all select k, 'low_classification' from d where k % 50 <> 0 and k % 100 < 55
  union all select k, 'unknown_type' from d where k % 50 <> 0 and k % 13 = 0 union all select k, 'degraded' from d where k % 50 <> 0 and k % 17 = 0 union all select k, 'no_extraction' from d where k % 50 <> 0 and k % 19 = 0

@@ -125,12 +125,15 @@ def test_date_contradiction(spark):
 
 
 def test_language(spark):
-    def run(c):
-        a, b = language.detected(c)
-        return F.struct(a.alias("a"), b.cast("double").alias("b"))
+    rows = [(k, x) for k, x in enumerate(["the house of the king", "la casa de los reyes", "xyz", "", "the de", None, "Thesis oftén THE_of-in ñde dé", "a the9of"])]
+    out = language.with_language(spark.createDataFrame(rows, "k int, text string")).orderBy("k").collect()
+    assert [(x.detected, float(x.share)) for x in out] == [("en", 1.0), ("es", 1.0), ("unknown", 0.0), ("unknown", 0.0), ("en", 0.5), ("unknown", 0.0), ("en", 1.0), ("en", 1.0)]
 
-    got = [(x.a, x.b) for x in col(spark, ["the house of the king", "la casa de los reyes", "xyz", "", "the de", None], run)]
-    assert got == [("en", 1.0), ("es", 1.0), ("unknown", 0.0), ("unknown", 0.0), ("en", 0.5), ("unknown", 0.0)]
+
+def test_invoice_gate(spark):
+    docs = spark.createDataFrame([(1, "Invoice, IBAN DE1"), (2, "An invoice of words"), (3, None)], "doc_id int, text string")
+    scores = spark.createDataFrame([(1, "invoice", 3.0), (2, "invoice", 3.0), (2, "receipt", 1.0), (3, "invoice", 3.0)], "doc_id int, schema string, score double")
+    assert sorted((r.doc_id, r.schema) for r in language.gated(scores, docs).collect()) == [(1, "invoice"), (2, "receipt")]
 
 
 def test_text_keys(spark):

@@ -58,12 +58,26 @@ def test_weak_fields_and_reconciled(spark):
 
 def test_queue_and_merge(spark):
     at = dt.datetime(2024, 1, 1, 12)
-    log = [(1, 1, "enqueue", "s"), (1, 2, "claim", "ann"), (1, 3, "update", "ann"), (1, 4, "release", "ann"), (2, 1, "enqueue", "s"), (2, 2, "claim", "bob"), (3, 1, "enqueue", "s"), (3, 2, "update", "x"), (3, 3, "enqueue", "s"), (3, 4, "release", "x")]
-    e = spark.createDataFrame([(t, s, k, w, at, 60) for t, s, k, w in log], "task int, seq int, kind string, who string, at timestamp, lease_s int")
+    fix = '{"a": {"b": 1}}'
+    log = [  # task, seq, kind, who, seconds, lease, expected version, corrections, errors
+        (1, 1, "enqueue", "s", 0, None, None, None, None), (1, 2, "claim", "ann", 0, 60, None, None, None), (1, 3, "claim", "bob", 30, 60, None, None, None), (1, 4, "corrected", "ann", 40, None, 2, fix, 0),
+        (1, 5, "corrected", "ann", 41, None, 2, fix, 0), (1, 6, "approved", "ann", 50, None, None, None, 1), (1, 7, "release", "bob", 55, None, None, None, None), (1, 8, "release", "ann", 56, None, None, None, None),
+        (2, 1, "enqueue", "s", 0, None, None, None, None), (2, 2, "claim", "ann", 0, 20, None, None, None), (2, 3, "claim", "bob", 20, 60, None, None, None), (2, 4, "corrected", "ann", 21, None, None, fix, 0),
+        (3, 1, "claim", "x", 0, 60, None, None, None), (3, 2, "enqueue", "s", 1, None, None, None, None), (3, 3, "claim", "x", 2, 5, None, None, None), (3, 4, "claim", "x", 3, 3600, None, None, None),
+        (3, 5, "approved", "x", 4, None, 2, '{"a": {"c": 2}}', 0), (4, 1, "enqueue", "s", 0, None, None, None, None), (4, 2, "claim", "x", 1, 60, None, None, None), (4, 3, "enqueue", "s", 2, None, None, None, None), (4, 4, "moved", "x", 3, None, None, None, None),
+    ]
+    kinds = "task int, seq int, kind string, who string, at timestamp, lease_s int, expected_version bigint, corrections string, errors int"
+    e = spark.createDataFrame([(*x[:4], at + dt.timedelta(seconds=x[4]), *x[5:]) for x in log], kinds)
     state = review.queue_state(e)
-    assert rows(state.select("task", "state", "version", "locked_by"), "task") == [(1, "corrected", 2, None), (2, "claimed", 1, "bob"), (3, "pending", 3, None)]
+    assert rows(state.select("task", "state", "version", "locked_by", "corrections", "refused"), "task") == [
+        (1, "corrected", 4, None, fix, 4), (2, "in_review", 3, "bob", None, 1), (3, "approved", 3, None, '{"a": {"c": 2}}', 2), (4, "pending", 3, None, None, 1),
+    ]
+    assert [r.refusal for r in review.revisions(e).where("task < 4").orderBy("task", "seq").collect()] == [
+        None, None, "locked", None, "version", "errors", "no_lock", None, None, None, None, "no_lock", "missing", None, "lease", None, None,
+    ]
+    assert [r.task for r in review.pending(state).collect()] == [1, 2, 4]
     locked = lambda s: [r.locked for r in review.with_lock(state, F.lit(at + dt.timedelta(seconds=s))).orderBy("task").collect()]
-    assert locked(59) == [False, True, False] and locked(61) == [False] * 3
+    assert locked(79) == [False, True, False, False] and locked(81) == [False] * 4
     d = spark.createDataFrame([('{"a": {"b": 1, "c": [1]}, "d": 2}', '{"a": {"b": 5, "c": [2, 3]}}')], "x string, y string")
     assert rows(d.select(review.deep_merge("x", "y"))) == [('{"a": {"b": 5, "c": [2, 3]}, "d": 2}',)]
 
