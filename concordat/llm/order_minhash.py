@@ -17,8 +17,7 @@ Equal sketches make a bucket. Candidates of a bucket are its members against one
 the first in one order of all nodes, so that the buckets of a group of copies share their
 leader and a bucket of n members gives n - 1 pairs, whatever its size. Where links leave
 members outside their leader's component, a second leader is drawn from those. Members that
-are outside still meet the others of the bucket that share a rare word with them (a prefix
-filter, which loses no pair within the distance), block against block, as counts of hashed
+are outside still meet all others of the bucket, block against block, as counts of hashed
 words (``BINS`` bytes each, no text); pairs of different components that the multiset bound
 leaves are aligned. So a bucket gives the components that all its pairs would give.
 
@@ -46,9 +45,8 @@ from concordat.llm.shared import Words, cut, mix, ranges, shared_dir, slices, st
 SHINGLE = 5
 SKETCHES = 48
 DRAWN = 2
-BLOCK = 1024
-BINS = 1024
-SLOTS = 1 << 20
+BLOCK = 2048
+BINS = 512
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 RNG = np.random.default_rng(20240607)
 SEEDS = RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -189,10 +187,11 @@ def sequences(texts: pa.Array) -> list[np.ndarray]:
     return np.split(word_hashes(words), words.start[1:]) if len(texts) else []
 
 
-def bins(words: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words by row, and counts of hashed words by row and bin, at most 255: no difference of two grows by that."""
+    words = Words(texts)
     at = words.doc * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
-    return words.n, np.minimum(np.bincount(at, minlength=rows * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+    return words.n, np.minimum(np.bincount(at, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
 
 
 def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -311,63 +310,38 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
 def possible_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, other) of the pairs of a bucket, one of them ``out`` and in different components, that the bounds leave.
 
-    Two texts within the distance share one of the words that are rarest in an order of all words (numbered where they
-    repeat), among as many as may differ and one more. So members of a bucket meet by such a word, and what only shares
-    common passages never does. Groups of one bucket and word are dealt to blocks and compared as counts of words.
+    Members are dealt to blocks and compared, block against block, as counts of hashed words.
     """
 
-    def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = Words(strings(b, "text"))
-            total += np.bincount((shingles(words, word_hashes(words), 1)[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    met = texts.select("text").mapInArrow(count_slots, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(SLOTS, np.int64)
-    often[met["slot"].to_numpy()] = met["n"].to_numpy()
+            n, counts = bins(strings(b, "text"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary())], ["node", "words", "bins"])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            text = strings(b, "text")
-            words = Words(text)
-            n, count = bins(words, len(text))
-            h, row = shingles(words, word_hashes(words), 1)
-            times = often[(h % np.uint64(SLOTS)).astype(np.int64)]
-            order = np.lexsort((h, times, row))
-            rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            order = order[(rank <= allowed(n, similarity)[row]) & (times[order] > 1)]
-            size = np.concatenate([[0], np.cumsum(np.bincount(row[order], minlength=len(n)))]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(size), pa.array(h[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([x.tobytes() for x in count], pa.binary()), tokens], ["node", "words", "bins", "tokens"])
-
-    known = cut(texts.join(placed.select("node").distinct(), "node").mapInArrow(rare, "node bigint, words bigint, bins binary, tokens array<bigint>"))
-    keyed = placed.join(known.select("node", F.explode("tokens").alias("token")), "node").select(F.xxhash64("bucket", "token").alias("group"), "node", "part", "out")
-    keyed = cut(keyed)
-    size = keyed.groupBy("group").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in"), F.min("part").alias("low"), F.max("part").alias("high"))
-    many = lambda c: F.ceil(F.col(c) / F.lit(float(BLOCK))).cast("int")
-    size = size.where("n_out > 0 and low <> high").select("group", many("n_out").alias("outs"), many("n_in").alias("ins"))
+    known = cut(texts.join(placed.select("node").distinct(), "node").mapInArrow(count, "node bigint, words bigint, bins binary"))
+    many = lambda c: F.ceil(F.count_if(c) / F.lit(float(BLOCK))).cast("int")
+    size = placed.groupBy("bucket").agg(many(F.col("out")).alias("outs"), many(~F.col("out")).alias("ins"))
     h = F.xxhash64("node")
     mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
+    # A block of outside members meets all blocks, one of the others the outside ones.
     last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
-    tiles = keyed.join(size, "group").withColumn("mine", mine).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
-    tiles = tiles.select("group", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
+    tiles = placed.join(size, "bucket").withColumn("mine", mine).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    tiles = tiles.select("bucket", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
 
     def block(t: pa.Table) -> pa.Table:
         node, own, i, part = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["part"].to_numpy()
-        n, count = t["words"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in t["bins"].to_pylist()])
+        n, counts = t["words"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in t["bins"].to_pylist()])
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own != i) if (own != i).any() else left
         a, b = [], []
-        for x, at in possible(count[left], count[right], n[left], n[right], similarity):
+        for x, at in possible(counts[left], counts[right], n[left], n[right], similarity):
             x, y = left[x], right[at]
             y = y[(part[y] != part[x]) & ((right is not left) | (y > x))]
             a.append(np.full(len(y), node[x])), b.append(node[y])
         a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.table({"node": np.minimum(a, b), "other": np.maximum(a, b)})
 
-    made = tiles.join(known.select("node", "words", "bins"), "node").groupBy("group", "i", "j").applyInArrow(block, "node bigint, other bigint")
+    made = tiles.join(known, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint")
     return cut(made.distinct())
 
 
