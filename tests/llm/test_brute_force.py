@@ -122,6 +122,22 @@ def test_packing_round_trip(spark, docs, texts):
     assert short < 0.01 * out.length.sum()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(
+    st.text(max_size=80),
+    st.text(alphabet=st.characters(categories=("Zs", "Zl", "Zp", "Cc", "Nd", "Nl", "No", "Mn", "Lo", "Pd", "So", "Cf")), max_size=60),
+    st.lists(st.sampled_from(["a", " ", "  ", "\n", "\r\n", "\t", "'s", "'LL", "ſ", "\u00a0", "\u2028", "\u3000", "1", "²", "é", "e\u0301", "中", "😀", "👩‍👩‍👧", "<|endoftext|>", "<|", "|>", "\x00", "\ufeff", "--", "_"]), max_size=40).map("".join),
+    st.tuples(st.sampled_from(["a", " ", "\n", "0", "é", "-", "中", " a"]), st.integers(1, 5000)).map(lambda x: x[0] * x[1]),
+))
+def test_fast_ids_are_those_of_tokenizers(text):
+    encode = ENCODERS.get(0) or ENCODERS.setdefault(0, packing.Encoder(**tokenizer_files()))
+    text = text.encode("utf-8", "replace").decode()
+    assert list(encode(text)) == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+ENCODERS: dict = {}
+
+
 def fair_targets(sizes):
     total, target, names = sum(sizes.values()), {}, sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
