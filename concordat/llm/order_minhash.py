@@ -17,9 +17,9 @@ Equal sketches make a bucket. Candidates of a bucket are its members against one
 the first in one order of all nodes, so that the buckets of a group of copies share their
 leader and a bucket of n members gives n - 1 pairs, whatever its size. Where links leave
 members outside their leader's component, a second leader is drawn from those. Members that
-are outside still meet all others of the bucket, block against block, as counts of hashed
-words (``BINS`` bytes each, no text); pairs of different components that the multiset bound
-leaves are aligned. So a bucket gives the components that all its pairs would give.
+are outside still meet all others of the bucket, block against block, as hashed words; pairs
+of different components that the words in common leave possible are aligned, once however
+many buckets they share. So a bucket gives the components that all its pairs would give.
 
 Nulls: a null, empty or wordless text is a class of its own, and so is a row with a null
 doc_id. Ids keep their type. Each row is judged by its own text: rows that repeat an id and
@@ -45,8 +45,8 @@ from concordat.llm.shared import Words, cut, mix, ranges, shared_dir, slices, st
 SHINGLE = 5
 SKETCHES = 48
 DRAWN = 2
-BLOCK = 2048
-BINS = 512
+BLOCK = 1024
+BITS = 2048
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 RNG = np.random.default_rng(20240607)
 SEEDS = RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -187,24 +187,22 @@ def sequences(texts: pa.Array) -> list[np.ndarray]:
     return np.split(word_hashes(words), words.start[1:]) if len(texts) else []
 
 
-def bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words by row, and counts of hashed words by row and bin, at most 255: no difference of two grows by that."""
-    words = Words(texts)
-    at = words.doc * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
-    return words.n, np.minimum(np.bincount(at, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+def marks(seq: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Bit maps of the words of each sequence, numbered where they repeat, and how many words share a bit with another."""
+    n = np.array([len(x) for x in seq])
+    row, h = np.repeat(np.arange(len(seq)), n), np.concatenate(seq).astype(np.uint64)
+    again = pd.Series(h ^ (row.astype(np.uint64) << np.uint64(40))).groupby(h ^ (row.astype(np.uint64) << np.uint64(40))).cumcount().to_numpy().astype(np.uint64)
+    out = np.zeros((len(seq), BITS), np.float32)
+    out[row, (mix(h * np.uint64(31) + again) % np.uint64(BITS)).astype(np.int64)] = 1
+    return out, n - out.sum(axis=1)
 
 
-def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, positions j) of the pairs of rows that the length and the multiset bound leave."""
-    for i in range(len(left)):
-        room = allowed(np.maximum(n_right, n_left[i]), similarity)
-        j = np.flatnonzero(np.abs(n_right - n_left[i]) <= room)
-        gap = right[j].astype(np.int16) - left[i]
-        over = np.maximum(gap, 0).sum(axis=1)
-        least = np.maximum(over, over - gap.sum(axis=1))
-        stay = least <= room[j]
-        if stay.any():
-            yield i, j[stay]
+def possible(one: tuple, two: tuple, n_one: np.ndarray, n_two: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that may be within the distance: words in common are at most bits in common and words that share a bit."""
+    longer = np.maximum(n_one[:, None], n_two[None, :])
+    room = allowed(longer, similarity)
+    common = one[0] @ two[0].T + np.minimum(one[1][:, None], two[1][None, :])
+    return np.nonzero((longer - np.minimum(n_one[:, None], n_two[None, :]) <= room) & (common >= longer - room))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -291,7 +289,7 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
         placed = unresolved()
 
     if not placed.isEmpty():
-        good = cut(good.union(aligned(possible_pairs(placed, texts, similarity))))
+        good = cut(good.union(rest_links(placed, texts, similarity)))
         comp = stored(components(good, "node", "other"))
 
     named = nodes.select("t1", "t2", "node", "rep", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -307,18 +305,20 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
     )
 
 
-def possible_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(node, other) of the pairs of a bucket, one of them ``out`` and in different components, that the bounds leave.
+def rest_links(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(node, other): links that connect what all pairs of each bucket would, from (bucket, node, part, out).
 
-    Members are dealt to blocks and compared, block against block, as counts of hashed words.
+    Members are dealt to blocks and move as hashed words. A block pair is filtered at once by words in common, then
+    aligned where the two are not connected yet. A pair that meets in several buckets is looked at in the first of them.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            n, counts = bins(strings(b, "text"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array([x.tobytes() for x in counts], pa.binary())], ["node", "words", "bins"])
+            seq = pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in sequences(strings(b, "text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), seq, b.column(2)], ["node", "seq", "buckets"])
 
-    known = cut(texts.join(placed.select("node").distinct(), "node").mapInArrow(count, "node bigint, words bigint, bins binary"))
+    own = placed.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    known = cut(texts.join(own, "node").select("node", "text", "buckets").mapInArrow(sequence, "node bigint, seq binary, buckets array<bigint>"))
     many = lambda c: F.ceil(F.count_if(c) / F.lit(float(BLOCK))).cast("int")
     size = placed.groupBy("bucket").agg(many(F.col("out")).alias("outs"), many(~F.col("out")).alias("ins"))
     h = F.xxhash64("node")
@@ -329,20 +329,21 @@ def possible_pairs(placed: DataFrame, texts: DataFrame, similarity: float) -> Da
     tiles = tiles.select("bucket", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
 
     def block(t: pa.Table) -> pa.Table:
-        node, own, i, part = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["part"].to_numpy()
-        n, counts = t["words"].to_numpy(), np.stack([np.frombuffer(x, np.uint8) for x in t["bins"].to_pylist()])
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own != i) if (own != i).any() else left
+        node, mine, i, bucket = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["bucket"][0].as_py()
+        seq, buckets = [np.frombuffer(x, "<u4") for x in t["seq"].to_pylist()], [set(x) for x in t["buckets"].to_pylist()]
+        n, comp = np.array([len(x) for x in seq]), np.unique(t["part"].to_numpy(), return_inverse=True)[1]
+        left = np.flatnonzero(mine == i)
+        right = np.flatnonzero(mine != i) if (mine != i).any() else left
+        one = marks([seq[x] for x in left])
+        two = one if right is left else marks([seq[y] for y in right])
         a, b = [], []
-        for x, at in possible(counts[left], counts[right], n[left], n[right], similarity):
-            x, y = left[x], right[at]
-            y = y[(part[y] != part[x]) & ((right is not left) | (y > x))]
-            a.append(np.full(len(y), node[x])), b.append(node[y])
-        a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"node": np.minimum(a, b), "other": np.maximum(a, b)})
-
-    made = tiles.join(known, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint")
-    return cut(made.distinct())
+        for x, y in zip(*(at[p].tolist() for at, p in zip((left, right), possible(one, two, n[left], n[right], similarity), strict=True)), strict=True):
+            if comp[x] != comp[y] and min(buckets[x] & buckets[y]) == bucket and similar(seq[x], seq[y], similarity):
+                comp[comp == comp[y]] = comp[x]
+                a.append(node[x]), b.append(node[y])
+        return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64())})
+
+    return cut(tiles.join(known, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint"))
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:

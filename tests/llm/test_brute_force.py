@@ -407,3 +407,16 @@ def test_language_model_by_single_words(spark, docs, texts):
 
 def code_list(t):
     return pseudo_likelihood.codes(shared.Words(pa.array([t or ""]))).tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=60), min_size=2, max_size=6))
+def test_words_in_common_reject_no_link(lists):
+    seq = [np.array(x, np.uint32) for x in lists]
+    n = np.array([len(x) for x in seq])
+    for bits in (8, 64, 2048):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(order_minhash, "BITS", bits)
+            both = order_minhash.marks(seq)
+            found = set(zip(*(x.tolist() for x in order_minhash.possible(both, both, n, n, 0.8))))
+        assert all((i, j) in found for i in range(len(seq)) for j in range(len(seq)) if edit_distance(lists[i], lists[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9))
