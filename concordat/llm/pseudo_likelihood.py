@@ -214,7 +214,8 @@ def train(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed:
         met = count if met is None else met.unionByName(count)
         parts = done.select("part", "flat", "words")
         while parts.count() > FAN:
-            parts = cut(parts.groupBy(F.floor(F.col("part") / FAN).alias("part")).applyInArrow(join, "part bigint, flat binary, words bigint"))
+            group = F.floor(F.col("part") / FAN)
+            parts = cut(parts.withColumn("group", group).groupBy("group").applyInArrow(join, "part bigint, flat binary, words bigint"))
         sets = sorted(parts.collect(), key=lambda r: r["part"])
         flat = average([(r["flat"], r["words"]) for r in sets])[0] if sets else flat
     met = met.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()

@@ -381,6 +381,11 @@ def test_language_model_learns(spark, docs, texts):
     assert np.allclose(np.exp(model.inside.astype(float)).reshape(1024, -1).sum(axis=1), 1, atol=1e-3)
     again = pseudo_likelihood.train(docs.repartition(7))
     assert (again.flat == model.flat).all() and (again.inside == model.inside).all()
+    with pytest.MonkeyPatch.context() as m:  # many tasks: averages in a tree
+        m.setattr(pseudo_likelihood, "TASK_BYTES", 20_000)
+        m.setattr(pseudo_likelihood, "FAN", 3)
+        small = pseudo_likelihood.train(docs)
+    assert (small.inside == model.inside).all() and np.isfinite(small.flat).all() and not (small.flat == model.flat).all()
 
 
 def test_language_model_by_single_words(spark, docs, texts):
