@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# How dates are printed, in digits, with dots, and the signs of currencies whose users write the day first.
 NUMERIC = r"(?<!\d)(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})(?!\d)"
 ISO = r"(?<!\d)(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})(?!\d)"
 DOTTED = r"(?<![\d.])\d{1,2}\.(\d{1,2})\.(?:\d{4}|\d{2})(?![\d.])"
@@ -16,6 +17,7 @@ MONTHS = (
     "september sep sept septembre septiembre", "october oct oktober okt octobre octubre", "november nov novembre noviembre",
     "december dec dezember dez decembre décembre diciembre dic",
 )
+# Dates with a month's name.
 WORD = r"([^\W\d_]+)"
 DAY_MONTH = r"(?U)(?<!\d)(\d{1,2})(?:st|nd|rd|th)?\.?\s+(?:de\s+)?" + WORD + r"\.?,?\s+(?:de\s+)?(\d{4})(?!\d)"
 MONTH_DAY = r"(?U)" + WORD + r"\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?!\d)"

@@ -14,9 +14,11 @@ SUMMARY = ("number", "issue_date", "counterparty", "currency", "subtotal", "tax"
 LINE = ("description", "quantity", "unit_price", "total", "sku", "unit_of_measure", "tax_rate_percent")
 # Units as printed and their UN/ECE Recommendation 20 codes.
 UNITS = {
-    "C62": "pcs pc piece pieces unit units ea each stk stück st x", "HUR": "h hr hrs hour hours std", "DAY": "day days", "MON": "month months", "ANN": "year",
-    "WEE": "week", "KGM": "kg", "GRM": "g", "TNE": "t", "MTR": "m", "KMT": "km", "CMT": "cm", "MTK": "m2", "MTQ": "m3", "LTR": "l litre liter", "KWH": "kwh",
-    "SET": "set", "PK": "pack", "BX": "box", "PF": "pallet pallets", "LS": "ls",
+    "pcs": "C62", "pc": "C62", "piece": "C62", "pieces": "C62", "unit": "C62", "units": "C62", "ea": "C62", "each": "C62", "stk": "C62",
+    "stück": "C62", "st": "C62", "x": "C62", "h": "HUR", "hr": "HUR", "hrs": "HUR", "hour": "HUR", "hours": "HUR", "std": "HUR", "day": "DAY",
+    "days": "DAY", "month": "MON", "months": "MON", "year": "ANN", "week": "WEE", "kg": "KGM", "g": "GRM", "t": "TNE", "m": "MTR", "km": "KMT",
+    "cm": "CMT", "m2": "MTK", "m3": "MTQ", "l": "LTR", "litre": "LTR", "liter": "LTR", "kwh": "KWH", "set": "SET", "pack": "PK", "box": "BX",
+    "pallet": "PF", "pallets": "PF", "ls": "LS", "lump sum": "LS",
 }
 # Identifiers of the six e-invoice profiles (name, syntax, specification, process).
 PEPPOL = "urn:fdc:peppol.eu:2017:poacc:billing:01:1.0"
@@ -68,7 +70,7 @@ def export_gate(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def unit_code(unit: Column) -> Column:
     u = F.trim(F.coalesce(unit, F.lit("")))
-    pairs = [x for code, names in UNITS.items() for name in names.split() for x in (F.lit(name), F.lit(code))] + [F.lit("lump sum"), F.lit("LS")]
+    pairs = [F.lit(x) for name, code in UNITS.items() for x in (name, code)]
     known = F.try_element_at(F.create_map(*pairs), F.regexp_replace(F.lower(u), r"\.+$", ""))
     return F.when(u.rlike("^[A-Z0-9]{2,3}$"), u).otherwise(F.coalesce(known, F.lit("C62")))
 

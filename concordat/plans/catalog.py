@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concordat.plans import analytics, matching, three_way, validation
+from concordat.plans import analytics, matching, runs, three_way, validation
 
-MODULES = (three_way, matching, validation, analytics)
+MODULES = (three_way, matching, validation, analytics, runs)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in MODULES for k, q in m.ORACLE.items()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.window import Window
 
 # Suffixes by kind of document.
 SUFFIXES = {"pdf": ("pdf",), "image": ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"), "text": ("txt", "md")}
@@ -49,18 +48,27 @@ def within_page_limit(pages: DataFrame, most: int, key: str = "document_id") ->
 
 
 def vendor_json(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of JSON lines under a schema."""
+    """(documents, rejects) of JSON lines under a schema; a line is parsed where its result is used."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").json(path).cache()  # the corrupt column may not be queried alone from the file
-    return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
+    rows = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
+    bad = F.col("d").isNull() | F.col("d._corrupt_record").isNotNull()
+    return rows.where(~bad).select(*[F.col(f"d.{f.name}") for f in schema.fields]), rows.where(bad).select(F.col("value").alias("_corrupt_record"))
 
 
 def checkpoint_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The last complete row of each source in a JSON lines file; a torn line is left out."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("source is not null")
-    rows = rows.withColumn("__at", F.monotonically_increasing_id())
-    w = Window.partitionBy("source").orderBy(F.desc("__at"))
-    return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__at", "__k")
+    """The last complete row of each source in JSON lines files; a torn line is left out.
+
+    Files follow each other by the time they were written, then by name; lines inside a file by their place, which is
+    that of the file's block and then of the row in it.
+    """
+    at = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(at.alias("at"), "value")
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = lines.withColumn("d", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    good = lines.where("d is not null and d._corrupt_record is null and d.source is not null")
+    last = good.groupBy(F.col("d.source").alias("__source")).agg(F.max_by("d", "at").alias("d"))
+    return last.select(*[F.col(f"d.{f.name}") for f in schema.fields])
 
 
 def einvoice_fields(xml: Column) -> dict[str, Column]:
