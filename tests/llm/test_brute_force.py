@@ -425,3 +425,63 @@ def test_words_in_common_reject_no_link(lists):
             both = order_minhash.marks(seq)
             found = set(zip(*(x.tolist() for x in order_minhash.possible(both, both, n, n, 0.8))))
         assert all((i, j) in found for i in range(len(seq)) for j in range(len(seq)) if edit_distance(lists[i], lists[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9))
+
+
+def test_scores_are_those_of_plain_counts():
+    """A linear score by means of weights equals the sum over counted features, and the fitted cut is the quantile."""
+    from concordat.llm import hashed_text
+
+    r = random.Random(12)
+    texts = [prose(i, r.randrange(1, 80)) + " the good end" * (i % 2) for i in range(80)] + ["", " ", "é😀 é"]
+    arr = pa.array(texts)
+    w = np.random.default_rng(1).normal(size=hashed_text.ALL)
+    plain = [float((w[f] * v).sum()) + 0.5 for f, v in hashed_text.sparse(arr, preference.shape)]
+    assert np.allclose(hashed_text.scores(arr, w, 0.5, extra=preference.shape), plain, atol=1e-4)
+    rows = [{"f": f.tobytes(), "v": v.tobytes(), "y": i % 2 if i % 11 else 1 - i % 2, "weight": (1.0, 3.0)[i % 2]} for i, (f, v) in enumerate(hashed_text.sparse(arr, preference.shape))]
+    sample = hashed_text.Sample(rows)
+    weights, cut, spread = preference.fit(sample)
+    left_out = np.arange(sample.n) % 4 == 3
+    s, y, weight = sample.dot(weights)[left_out], sample.y[left_out], sample.weight[left_out]
+    share, below = weight[y == 0].sum() / weight.sum(), weight[s < cut].sum() / weight.sum()
+    assert below >= share - 1e-9 and below - share <= weight.max() / weight.sum() + 1e-9 and spread > 0
+
+
+def test_ownership_by_plain_counts(spark):
+    """Owners and repositories of each candidate, and the verdict, against sets."""
+    r = random.Random(13)
+    keys = ["AKIA" + c * 16 for c in "ABCDEFGH"]
+    rows = [(i, " ".join(r.choice(keys[: 1 + i % 8]) for _ in range(r.randrange(4))), "en", r.choice(["a", "b", "c", "d", None]), 0) for i in range(200)]
+    owners, repositories = {}, {}
+    for i, t, _, s, _ in rows:
+        for k in set(t.split()):
+            owners.setdefault(k, set()).add(s)
+            repositories.setdefault(k, set()).add((i, s))
+    out = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(rows, DOCS), most_owners=3).collect()}
+    for i, t, *_ in rows:
+        assert [(x.start, x.end, x.owners, x.repositories, x.live) for x in out[i]] == [
+            (m.start(), m.end(), len(owners[m[0]]), len(repositories[m[0]]), len(owners[m[0]]) <= 3) for m in re.finditer(r"\S+", t)
+        ]
+
+
+def test_overlapping_sources_by_linear_programme(spark):
+    """The flow over sets of sources against the least cost of all whole assignments of small tables."""
+    from itertools import product
+
+    r = random.Random(14)
+    for _ in range(40):
+        patterns = [(tuple(sorted(r.sample(range(3), r.randrange(1, 3)))), r.randrange(1, 4)) for _ in range(3)]
+        target = [float(r.randrange(0, 5)) for _ in range(3)]
+        flow = mixing.min_cost_flow(patterns, target, 3)
+        got = sum(flow.values())
+        used = [sum(v for (p, _), v in flow.items() if p == i) for i in range(3)]
+        cost = lambda u: sum(sum(min(max(x - k * n, 0), n) * (k + 1) for k in range(3)) for x, (_, n) in zip(u, patterns))
+        arcs = [(p, s) for p, (srcs, _) in enumerate(patterns) for s in srcs]
+        best = None
+        for x in product(range(5), repeat=len(arcs)):
+            to, u = [0] * 3, [0] * 3
+            for (p, s), v in zip(arcs, x):
+                to[s] += v
+                u[p] += v
+            if all(a <= b for a, b in zip(to, target)) and all(a <= 3 * n for a, (_, n) in zip(u, patterns)):
+                best = max(best or (-1, 0), (sum(x), -cost(u)))
+        assert np.isclose(got, best[0]) and np.isclose(cost(used), -best[1])
