@@ -20,8 +20,8 @@ A node under which a single path is left is closed with all of it, so the levels
 the branching, not the longest path; paths of any depth are parsed to their end.
 
 Labels are urls with a verdict. Without a table of them, the urls that the rules decide
-are labelled, and those of the others that hold one of ``WORDS`` as a word of the host or
-path are labelled bad; the tree then carries that to the templates. Nulls: a null url, or one without ``://``, has an empty host and
+are labelled, and all that hold one of ``WORDS`` as a word of the host or path are labelled
+bad, also where a rule allows them; the tree then carries that to the templates. Nulls: a null url, or one without ``://``, has an empty host and
 path and is judged like any other. A host is what the url says, with port or user if any.
 Of rules of one length the first given wins. Empty tables give an empty result. Rows that
 repeat are judged each, and count each. Other columns are not read, whatever their names.
@@ -83,8 +83,9 @@ def suspicious(host: Column, path: Column, words: tuple[str, ...]) -> Column:
 def templates(counted: DataFrame, *, wide: int, rare: float, same_z: float, least_labelled: int) -> DataFrame:
     """host, steps -> template, from host, steps, n, labelled, bad.
 
-    A node with more than ``wide`` children joins those with less than a ``rare`` share of it into one; siblings with
-    ``least_labelled`` labels whose shares of bad ones differ by at most ``same_z`` deviations become one.
+    A node with more than ``wide`` children joins those with less than a ``rare`` share of it into one; labelled siblings
+    whose share of bad ones differs by at most ``same_z`` deviations from that of the others, which have ``least_labelled``
+    labels, become one.
     """
     t = cut(counted.withColumn("template", F.lit("")))
     ended: list[DataFrame] = []
@@ -103,7 +104,7 @@ def templates(counted: DataFrame, *, wide: int, rare: float, same_z: float, leas
         share = F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0))
         deviation = F.sqrt(share * (1 - share) * (1 / F.nullif(F.col("labelled"), F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
         apart = F.abs(F.col("bad") / F.nullif(F.col("labelled"), F.lit(0)) - others_bad / F.nullif(others, F.lit(0)))
-        alike = (F.col("labelled") >= least_labelled) & (others >= least_labelled) & (apart <= same_z * deviation)
+        alike = (F.col("labelled") > 0) & (others >= least_labelled) & (apart <= same_z * deviation)
         few = (F.col("children") > wide) & (F.col("n") < rare * F.col("all"))
         branch = F.when(few, "{*}").when(F.coalesce(alike, F.lit(False)), "{~}").otherwise(F.col("child"))
         made = x.select("host", "template", "child", branch.alias("branch"), (F.col("all_paths") == 1).alias("alone"))
@@ -136,7 +137,7 @@ def judge(
     rows = parsed(pages, F.col(page_id).alias("page_id"))
     marked = suspicious(F.col("host"), F.col("path"), words)
     known = F.col("decided").isNotNull() | marked if labels is None else F.lit(False)
-    is_bad = F.coalesce(F.col("decided") == "block", marked)
+    is_bad = marked | F.coalesce(F.col("decided") == "block", F.lit(False))
     count = rows.groupBy("host", "steps").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(known).alias("labelled"), F.count_if(known & is_bad).alias("bad")
     )

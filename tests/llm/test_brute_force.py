@@ -329,7 +329,7 @@ def plain_templates(paths, wide=32, rare=0.05, z=2.0, least=5):
                 branch, o = k[1][level], all_lab - lab
                 if len(children) > wide and n < rare * all_:
                     branch = "{*}"
-                elif lab >= least and o >= least and abs(bad / lab - (all_bad - bad) / o) <= z * (all_bad / all_lab * (1 - all_bad / all_lab) * (1 / lab + 1 / o)) ** 0.5:
+                elif lab > 0 and o >= least and abs(bad / lab - (all_bad - bad) / o) <= z * (all_bad / all_lab * (1 - all_bad / all_lab) * (1 / lab + 1 / o)) ** 0.5:
                     branch = "{~}"
                 new[k] = template[k] + "/" + branch
         template, level = new, level + 1
