@@ -49,7 +49,7 @@ CLASH = ("kept", "n_words", "base_failed", "p_quality", "n_lines", "n_dropped",
 @pytest.mark.parametrize("k", range(5))
 def test_stage_on_odd_rows(spark, k):
     """Nulls, empty and very long texts, ties, repeated rows, and columns with the names of operators' columns."""
-    line = prose(3, 60)
+    line = prose(4077, 60)
     more = [(100 + i, prose(100 + i, 90) + "\n" + line, "en", "abc"[i % 3], 1) for i in range(12)]
     docs = odd_docs(spark).unionByName(spark.createDataFrame(more, DOCS))
     docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
