@@ -15,11 +15,11 @@ Classes are the connected components of the verified links.
 Equal texts collapse first and are one node, named in the result by the smallest doc_id.
 Equal sketches make a bucket. Candidates of a bucket are its members against one leader,
 the first in one order of all nodes, so that the buckets of a group of copies share their
-leader and a bucket of n members gives n - 1 pairs, whatever its size. Where links leave
-members outside their leader's component, a second leader is drawn from those. Members that
-are outside still meet all others of the bucket, block against block, as hashed words; pairs
-of different components that the words in common leave possible are aligned, once however
-many buckets they share. So a bucket gives the components that all its pairs would give.
+leader and a bucket of n members gives n - 1 pairs, whatever its size. Members that these
+links leave outside their leader's component meet all others of the bucket, block against
+block, as hashed words; pairs of different components that the words in common leave possible
+are aligned, once however many buckets they share. So a bucket gives the components that all
+its pairs would give.
 
 Nulls: a null, empty or wordless text is a class of its own, and so is a row with a null
 doc_id. Ids keep their type. Each row is judged by its own text: rows that repeat an id and
@@ -45,7 +45,7 @@ from concordat.llm.shared import Words, cut, mix, ranges, shared_dir, slices, st
 SHINGLE = 5
 SKETCHES = 48
 DRAWN = 2
-BLOCK = 1024
+BLOCK = 2048
 BITS = 2048
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 RNG = np.random.default_rng(20240607)
@@ -197,12 +197,15 @@ def marks(seq: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, n - out.sum(axis=1)
 
 
-def possible(one: tuple, two: tuple, n_one: np.ndarray, n_two: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def possible(one: tuple, two: tuple, n_one: np.ndarray, n_two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
     """Pairs of positions that may be within the distance: words in common are at most bits in common and words that share a bit."""
-    longer = np.maximum(n_one[:, None], n_two[None, :])
-    room = allowed(longer, similarity)
-    common = one[0] @ two[0].T + np.minimum(one[1][:, None], two[1][None, :])
-    return np.nonzero((longer - np.minimum(n_one[:, None], n_two[None, :]) <= room) & (common >= longer - room))
+    for at in range(0, len(n_one), 256):
+        some = slice(at, at + 256)
+        longer = np.maximum(n_one[some, None], n_two[None, :])
+        least = longer - allowed(longer, similarity)
+        common = one[0][some] @ two[0].T + np.minimum(one[1][some, None], two[1][None, :])
+        i, j = np.nonzero((np.minimum(n_one[some, None], n_two[None, :]) >= least) & (common >= least))
+        yield from zip((i + at).tolist(), j.tolist(), strict=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -278,16 +281,7 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
         mixed = placed.groupBy("bucket").agg(F.max("out").alias("some"), F.min("part").alias("low"), F.max("part").alias("high")).where("some and low <> high")
         return cut(placed.join(mixed.select("bucket"), "bucket"))
 
-    # A second leader, from those that are outside, meets all members in other components.
     placed = unresolved()
-    again = placed.where("out").groupBy("bucket").agg(F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(3), "node")).alias("l"))
-    second = placed.join(again, "bucket").where(F.col("part") != F.col("l.part")).select(F.least("node", "l.node").alias("node"), F.greatest("node", "l.node").alias("other"))
-    more = aligned(cut(second.distinct()))
-    if not more.isEmpty():
-        good = cut(good.union(more))
-        comp = stored(components(good, "node", "other"))
-        placed = unresolved()
-
     if not placed.isEmpty():
         good = cut(good.union(rest_links(placed, texts, similarity)))
         comp = stored(components(good, "node", "other"))
@@ -337,7 +331,8 @@ def rest_links(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
         one = marks([seq[x] for x in left])
         two = one if right is left else marks([seq[y] for y in right])
         a, b = [], []
-        for x, y in zip(*(at[p].tolist() for at, p in zip((left, right), possible(one, two, n[left], n[right], similarity), strict=True)), strict=True):
+        for p, q in possible(one, two, n[left], n[right], similarity):
+            x, y = left[p], right[q]
             if comp[x] != comp[y] and min(buckets[x] & buckets[y]) == bucket and similar(seq[x], seq[y], similarity):
                 comp[comp == comp[y]] = comp[x]
                 a.append(node[x]), b.append(node[y])
