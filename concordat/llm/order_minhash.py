@@ -7,8 +7,8 @@ the text: two documents agree in a sketch with a probability that falls with edi
 similarity, not only with overlap. Documents of fewer than five words have one k-mer, the
 whole text.
 
-Two documents are near-duplicates if the edit distance of their sequences of words is at
-most (1 - similarity) times the longer one's length. Alignment runs inside the band that
+Two documents are near-duplicates if the edit distance of their sequences of words (as
+hashes of 32 bits) is at most (1 - similarity) times the longer one's length. Alignment runs inside the band that
 this allows; a length bound and a multiset bound reject first, and all three are exact.
 Classes are the connected components of the verified links.
 
@@ -187,6 +187,17 @@ def sequences(texts: pa.Array) -> list[np.ndarray]:
     return np.split(word_hashes(words), words.start[1:]) if len(texts) else []
 
 
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, words): the text as hashes of 32 bits of its words."""
+    for b in slices(batches, "text"):
+        words = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in sequences(strings(b, "text"))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], ["node", "words"])
+
+
+def unpacked(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, "<u4")
+
+
 def marks(seq: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bit maps of the words of each sequence, numbered where they repeat, and how many words share a bit with another."""
     n = np.array([len(x) for x in seq])
@@ -254,21 +265,19 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
     wanted = wanted.join(nodes.select("node", F.col("rep").alias("doc_id"), "t1", "t2"), "node")
     # A row that stands often gives its text once.
     texts = keyed.join(wanted, ["doc_id", "t1", "t2"]).groupBy("doc_id", "t1", "t2").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    texts = cut(texts.select("node", "text"))
+    # From here on texts are their hashed words.
+    known = cut(texts.select("node", "text").mapInArrow(hashed, "node bigint, words binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "words"):
             for at, n in ranges(b.column(3)):
                 part = b.slice(at, n)
-                left, right = sequences(strings(part, "text")), sequences(strings(part, "partner"))
-                ok = pa.array([similar(x, y, similarity) for x, y in zip(left, right, strict=True)], pa.bool_())
+                both = zip(*(column.to_pylist() for column in part.columns[2:]), strict=True)
+                ok = pa.array([similar(unpacked(x), unpacked(y), similarity) for x, y in both], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["node", "other"])
 
-    def aligned(candidates: DataFrame) -> DataFrame:
-        two = candidates.join(texts, "node").join(texts.select(F.col("node").alias("other"), F.col("text").alias("partner")), "other")
-        return cut(two.select("node", "other", "text", "partner").mapInArrow(verify, "node bigint, other bigint"))
-
-    good = aligned(near)
+    two = near.join(known, "node").join(known.select(F.col("node").alias("other"), F.col("words").alias("partner")), "other")
+    good = cut(two.select("node", "other", "words", "partner").mapInArrow(verify, "node bigint, other bigint"))
     comp = stored(components(good, "node", "other"))
 
     def unresolved() -> DataFrame:
@@ -283,7 +292,7 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
 
     placed = unresolved()
     if not placed.isEmpty():
-        good = cut(good.union(rest_links(placed, texts, similarity)))
+        good = cut(good.union(rest_links(placed, known, similarity)))
         comp = stored(components(good, "node", "other"))
 
     named = nodes.select("t1", "t2", "node", "rep", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -299,20 +308,14 @@ def judged(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", simil
     )
 
 
-def rest_links(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def rest_links(placed: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """(node, other): links that connect what all pairs of each bucket would, from (bucket, node, part, out).
 
     Members are dealt to blocks and move as hashed words. A block pair is filtered at once by words in common, then
     aligned where the two are not connected yet. A pair that meets in several buckets is looked at in the first of them.
     """
 
-    def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            seq = pa.array([(x >> np.uint64(32)).astype("<u4").tobytes() for x in sequences(strings(b, "text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), seq, b.column(2)], ["node", "seq", "buckets"])
-
     own = placed.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
-    known = cut(texts.join(own, "node").select("node", "text", "buckets").mapInArrow(sequence, "node bigint, seq binary, buckets array<bigint>"))
     many = lambda c: F.ceil(F.count_if(c) / F.lit(float(BLOCK))).cast("int")
     size = placed.groupBy("bucket").agg(many(F.col("out")).alias("outs"), many(~F.col("out")).alias("ins"))
     h = F.xxhash64("node")
@@ -324,7 +327,7 @@ def rest_links(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
 
     def block(t: pa.Table) -> pa.Table:
         node, mine, i, bucket = t["node"].to_numpy(), t["mine"].to_numpy(), t["i"][0].as_py(), t["bucket"][0].as_py()
-        seq, buckets = [np.frombuffer(x, "<u4") for x in t["seq"].to_pylist()], [set(x) for x in t["buckets"].to_pylist()]
+        seq, buckets = [unpacked(x) for x in t["words"].to_pylist()], [set(x) for x in t["buckets"].to_pylist()]
         n, comp = np.array([len(x) for x in seq]), np.unique(t["part"].to_numpy(), return_inverse=True)[1]
         left = np.flatnonzero(mine == i)
         right = np.flatnonzero(mine != i) if (mine != i).any() else left
@@ -338,7 +341,7 @@ def rest_links(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFr
                 a.append(node[x]), b.append(node[y])
         return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64())})
 
-    return cut(tiles.join(known, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint"))
+    return cut(tiles.join(known, "node").join(own, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint"))
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
