@@ -208,14 +208,14 @@ def marks(seq: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, n - out.sum(axis=1)
 
 
-def possible(one: tuple, two: tuple, n_one: np.ndarray, n_two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of positions that may be within the distance: words in common are at most bits in common and words that share a bit."""
+def possible(one: tuple, two: tuple, n_one: np.ndarray, n_two: np.ndarray, part_one: np.ndarray, part_two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of positions of different parts that may be within the distance: words in common are at most bits in common and words that share a bit."""
     for at in range(0, len(n_one), 256):
         some = slice(at, at + 256)
         longer = np.maximum(n_one[some, None], n_two[None, :])
         least = longer - allowed(longer, similarity)
         common = one[0][some] @ two[0].T + np.minimum(one[1][some, None], two[1][None, :])
-        i, j = np.nonzero((np.minimum(n_one[some, None], n_two[None, :]) >= least) & (common >= least))
+        i, j = np.nonzero((np.minimum(n_one[some, None], n_two[None, :]) >= least) & (common >= least) & (part_one[some, None] != part_two[None, :]))
         yield from zip((i + at).tolist(), j.tolist(), strict=True)
 
 
@@ -317,11 +317,12 @@ def rest_links(placed: DataFrame, known: DataFrame, similarity: float) -> DataFr
 
     own = placed.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
     many = lambda c: F.ceil(F.count_if(c) / F.lit(float(BLOCK))).cast("int")
-    size = placed.groupBy("bucket").agg(many(F.col("out")).alias("outs"), many(~F.col("out")).alias("ins"))
+    size = placed.groupBy("bucket").agg(many(F.lit(True)).alias("all"), many(F.col("out")).alias("outs"), many(~F.col("out")).alias("ins"))
     h = F.xxhash64("node")
-    mine = F.when(F.col("out"), F.pmod(h, "outs")).otherwise(F.col("outs") + F.pmod(h, "ins")).cast("int")
-    # A block of outside members meets all blocks, one of the others the outside ones.
-    last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
+    split = F.col("all") > 1
+    mine = F.when(split & F.col("out"), F.pmod(h, "outs")).when(split, F.col("outs") + F.pmod(h, "ins")).otherwise(0).cast("int")
+    # A bucket of one block meets itself. Beyond that, a block of outside members meets all blocks, one of the others the outside ones.
+    last = F.when(~split, 0).when(F.col("out"), F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
     tiles = placed.join(size, "bucket").withColumn("mine", mine).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
     tiles = tiles.select("bucket", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"), "mine", "node", "part")
 
@@ -334,14 +335,14 @@ def rest_links(placed: DataFrame, known: DataFrame, similarity: float) -> DataFr
         one = marks([seq[x] for x in left])
         two = one if right is left else marks([seq[y] for y in right])
         a, b = [], []
-        for p, q in possible(one, two, n[left], n[right], similarity):
+        for p, q in possible(one, two, n[left], n[right], comp[left], comp[right], similarity):
             x, y = left[p], right[q]
             if comp[x] != comp[y] and min(buckets[x] & buckets[y]) == bucket and similar(seq[x], seq[y], similarity):
                 comp[comp == comp[y]] = comp[x]
                 a.append(node[x]), b.append(node[y])
         return pa.table({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64())})
 
-    return cut(tiles.join(known, "node").join(own, "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint"))
+    return cut(tiles.join(cut(known.join(own, "node")), "node").groupBy("bucket", "i", "j").applyInArrow(block, "node bigint, other bigint"))
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:

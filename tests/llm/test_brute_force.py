@@ -423,8 +423,9 @@ def test_words_in_common_reject_no_link(lists):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(order_minhash, "BITS", bits)
             both = order_minhash.marks(seq)
-            found = set(order_minhash.possible(both, both, n, n, 0.8))
-        assert all((i, j) in found for i in range(len(seq)) for j in range(len(seq)) if edit_distance(lists[i], lists[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9))
+            at = np.arange(len(seq))
+            found = set(order_minhash.possible(both, both, n, n, at, at + 10 * (bits == 8), 0.8))
+        assert all((i, j) in found for i in range(len(seq)) for j in range(len(seq)) if i != j and edit_distance(lists[i], lists[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9))
 
 
 def test_scores_are_those_of_plain_counts():
