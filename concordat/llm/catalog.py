@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import embeddings, line_templates, mixing, order_minhash, packing, preference, pseudo_likelihood, quality_rules, secrets, url_templates
+from concordat.llm import embeddings, filter_audit, line_templates, mixing, order_minhash, packing, preference, pseudo_likelihood, quality_rules, secrets, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_quality_rules, op3_secret_scan, op4_url_filter, op5_embedding_neardup, op6_quality_classifier, op7_line_dedup, op8_packing,
-    op9_minhash_neardup, op10_mixing,
+    op9_minhash_neardup, op10_mixing, op11_filter_audit,
 )}
 
 #: Small vectors by brute force: all pairs of a label, then reachability by recursion.
@@ -77,4 +81,32 @@ select e.vec_id, (select count(*) from l where l.a = e.vec_id) n_links,
   least(e.vec_id, coalesce((select min(r.b) from r where r.a = e.vec_id), e.vec_id)) component_id,
   e.vec_id = least(e.vec_id, coalesce((select min(r.b) from r where r.a = e.vec_id), e.vec_id)) kept
 from embeddings e"""
-ORACLE = {"op5_embedding_neardup": EMBEDDING_SQL}
+
+#: Masks of whole texts, then every order and step over the histogram of masks.
+AUDIT_SQL = r"""
+with w as (
+  select doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws,
+    min(doc_id) over (partition by coalesce(text, '')) first_id from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by doc_id),
+m as (
+  select part, coalesce(l.good, 0) good, coalesce(l.toxic, 0) toxic, {
+    'A': (len(ws) < 200)::int, 'B': (100 * len(list_distinct(ws)) < 50 * len(ws))::int,
+    'C': (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int,
+    'D': regexp_matches(t, '[#$%&*|]')::int, 'E': coalesce(w.doc_id > first_id, false)::int} f
+  from w left join l on l.doc_id = w.doc_id),
+h as (select part, map(['A', 'B', 'C', 'D', 'E'], [f['A'], f['B'], f['C'], f['D'], f['E']]) f, count(*) n, sum(good) good, sum(toxic) toxic from m group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) c),
+o as (select a.c || b.c || c.c || d.c || e.c filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) own, substr(filter_order, 1, step - 1) before from o, (select unnest(range(1, 6))::int step)),
+r as (
+  select part, filter_order, step, own, n, good, toxic, f[own] fails, list_sum([f[k] for k in ['A', 'B', 'C', 'D', 'E'] if contains(before, k)]) earlier,
+    list_sum(map_values(f)) all_fails from h, s),
+t as (
+  select part, filter_order, step, any_value(own) own, sum(case when fails = 0 and coalesce(earlier, 0) = 0 then n else 0 end) kept,
+    sum(case when fails = 1 and coalesce(earlier, 0) = 0 then n else 0 end) removed, sum(case when fails = 1 and earlier > 0 then n else 0 end) redundant,
+    sum(case when fails = 1 and all_fails = 1 then n else 0 end) unique_fails,
+    sum(case when fails = 1 and coalesce(earlier, 0) = 0 then good else 0 end) good_lost, sum(case when fails = 1 and coalesce(earlier, 0) = 0 then toxic else 0 end) toxic_lost
+  from r group by part, filter_order, step)
+select part, filter_order, step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost,
+  toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, own))::bigint shapley from t"""
+ORACLE = {"op5_embedding_neardup": EMBEDDING_SQL, "op11_filter_audit": AUDIT_SQL}
