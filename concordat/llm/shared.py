@@ -8,6 +8,7 @@ its own. Words are maximal runs of ``[^\\x20\\x09-\\x0D]`` everywhere.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written under the shared folder as Parquet and read again, so that size estimates start anew from the files.
+
+    The files go with ``discard``, or when the driver's session ends.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranges(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) of slices of at most ``most`` bytes, or of one text."""
     n = len(arr)
