@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from concordat.llm import embeddings, filter_audit, line_templates, mixing, order_minhash, packing, preference, pseudo_likelihood, quality_rules, secrets, token_alignment, url_templates
+from concordat.llm import embeddings, filter_audit, html_regions, line_templates, mixing, order_minhash, packing, preference, pseudo_likelihood, quality_rules, secrets, token_alignment, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_regions.main_text(read(spark, sf_dir, "pages"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -70,7 +74,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_quality_rules, op3_secret_scan, op4_url_filter, op5_embedding_neardup, op6_quality_classifier, op7_line_dedup, op8_packing,
-    op9_minhash_neardup, op10_mixing, op11_filter_audit, op13_token_alignment,
+    op9_minhash_neardup, op10_mixing, op11_filter_audit, op12_html_extraction, op13_token_alignment,
 )}
 
 #: Small vectors by brute force: all pairs of a label, then reachability by recursion.
