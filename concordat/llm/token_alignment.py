@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from concordat.llm.shared import slices, stored, strings
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: An id pair is one long: the A id above these bits, the B id in them.
 B_BITS = 24
 
@@ -145,6 +146,12 @@ class Aligner:
         return [x if s else [] for x, s in zip(a, same, strict=True)], [y if s else [] for y, s in zip(b, same, strict=True)]
 
 
+@cache
+def loaded(**files: str) -> Aligner:
+    """Once in a worker's life."""
+    return Aligner(**files)
+
+
 class Aligned:
     """A block of texts: by text the counts of tokens, groups and links, its groups in writing, and its units; by unit its links."""
 
@@ -232,7 +239,7 @@ def groups(docs: DataFrame, files: dict[str, str]) -> DataFrame:
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Aligner(**files)
+        tools = loaded(**files)
         for b in slices(batches, "text"):
             x = Aligned(tools, strings(b, "text"))
             texts = [str(x.groups(k), "ascii") if v else "" for k, v in enumerate(x.valid.tolist())]
@@ -247,7 +254,7 @@ def blocks(docs: DataFrame, files: dict[str, str], block_bytes: int = BLOCK_BYTE
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Aligner(**files)
+        tools = loaded(**files)
         task = TaskContext.get().partitionId() << 32
         for k, b in enumerate(slices(batches, "text", block_bytes)):
             x = Aligned(tools, strings(b, "text"))
