@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2_000_000
@@ -66,6 +66,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Gathered:
+    """Tables of one schema written one after another into one folder under the shared one, to be read as one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.at)
+
+    def table(self, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.at)
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns under private names, whatever they were called, and the private name of each."""
+    names = {c: f"__column{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in names.items()]), names
+
+
 def ranges(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(start, length) of slices of at most ``most`` bytes, or of one text."""
     n = len(arr)

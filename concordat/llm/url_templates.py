@@ -16,8 +16,10 @@ Each level groups by (host, prefix, child) after a partial aggregation, never by
 alone, and joins tables that were cut off before, which adaptive execution can split: a
 host that holds a third of all rows is no single task.
 
-A node under which a single path is left is closed with all of it, so the levels follow
-the branching, not the longest path; paths of any depth are parsed to their end.
+A node under which a single path is left is closed with all of it, and steps that all paths
+of a node share are taken at once, so the levels follow the branching, not the longest path;
+paths of any depth are parsed to their end. Each level's tables are files under the shared
+folder, with sizes known anew, and go when the next level stands.
 
 Labels are urls with a verdict. Without a table of them, the urls that the rules decide
 are labelled, and all that hold one of ``WORDS`` as a word of the host or path are labelled
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from concordat.llm.shared import cut
+from concordat.llm.shared import Gathered, cut, discard, stored
 
 # The rules of the contract.
 RULES = (
@@ -81,25 +83,38 @@ def suspicious(host: Column, path: Column, words: tuple[str, ...]) -> Column:
 
 
 def templates(counted: DataFrame, *, wide: int, rare: float, same_z: float, least_labelled: int) -> DataFrame:
-    """host, steps -> template, from host, steps, n, labelled, bad.
+    """host, key, template, n, labelled, bad of each path, from host, steps, n, labelled, bad; ``key`` is the path's steps in one string.
 
     A node with more than ``wide`` children joins those with less than a ``rare`` share of it into one; labelled siblings
     whose share of bad ones differs by at most ``same_z`` deviations from that of the others, which have ``least_labelled``
     labels, become one.
     """
-    t = cut(counted.withColumn("template", F.lit("")))
-    ended: list[DataFrame] = []
-    level = 0
+    ended = Gathered(counted.sparkSession)
+    t = stored(counted.select("host", "steps", F.array_join("steps", "/").alias("key"), "n", "labelled", "bad", F.lit("").alias("template")))
+    node = ["host", "template"]
     while True:
-        here = t.where(F.size("steps") > level).withColumn("child", F.get("steps", F.lit(level)))
-        nodes = here.groupBy("host", "template", "child").agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        nodes = cut(nodes)
+        done = F.size("steps") == 0
+        # The steps that all paths of a node share: those that the least and the greatest of them share.
+        nodes = stored(t.where(~done).groupBy(*node).agg(F.count(F.lit(1)).alias("paths"), F.min("steps").alias("low"), F.max("steps").alias("high")))
+        ended.add(t.where(done))
         if nodes.isEmpty():
+            discard(t, nodes)
             break
-        above = nodes.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("children"), F.sum("paths").alias("all_paths"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
-        )
-        x = nodes.join(cut(above), ["host", "template"])
+        size = F.least(F.size("low"), F.size("high"))
+        differs = F.array_position(F.transform(F.sequence(F.lit(1), size), lambda i: F.get("low", i - 1) != F.get("high", i - 1)), True)
+        shared = F.when(differs > 0, differs - 1).otherwise(size).cast("int")
+        on = t.where(~done).join(nodes.select(*node, F.when(F.col("paths") > 1, shared).otherwise(F.lit(2**31 - 1)).alias("shared")), node)
+        name = F.when(F.col("shared") == 0, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.array_join(F.slice("steps", 1, F.col("shared")), "/")))
+        at = F.least("shared", F.size("steps"))
+        rest = F.when(at < F.size("steps"), F.slice("steps", at + 1, F.size("steps"))).otherwise(F.slice("steps", 1, 0))
+        went = stored(on.select("host", rest.alias("steps"), "key", "n", "labelled", "bad", name.alias("template")))
+        discard(t, nodes)
+        ended.add(went.where(done))
+
+        here = went.where(~done).withColumn("child", F.get("steps", F.lit(0)))
+        children = stored(here.groupBy(*node, "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+        above = stored(children.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")))
+        x = children.join(above, node)
         others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         share = F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0))
         deviation = F.sqrt(share * (1 - share) * (1 / F.nullif(F.col("labelled"), F.lit(0)) + 1 / F.nullif(others, F.lit(0))))
@@ -107,16 +122,11 @@ def templates(counted: DataFrame, *, wide: int, rare: float, same_z: float, leas
         alike = (F.col("labelled") > 0) & (others >= least_labelled) & (apart <= same_z * deviation)
         few = (F.col("children") > wide) & (F.col("n") < rare * F.col("all"))
         branch = F.when(few, "{*}").when(F.coalesce(alike, F.lit(False)), "{~}").otherwise(F.col("child"))
-        made = x.select("host", "template", "child", branch.alias("branch"), (F.col("all_paths") == 1).alias("alone"))
-        ended.append(t.where(F.size("steps") <= level))
-        on = cut(here.join(made, ["host", "template", "child"]))
-        rest = F.array_join(F.slice("steps", level + 1, F.size("steps")), "/")
-        ended.append(on.where("alone").withColumn("template", F.concat("template", F.lit("/"), rest)).drop("child", "branch", "alone"))
-        t = on.where("not alone").withColumn("template", F.concat("template", F.lit("/"), "branch")).drop("child", "branch", "alone")
-        level += 1
-    for part in ended:
-        t = t.unionByName(part)
-    return cut(t)
+        made = stored(x.select(*node, "child", branch.alias("branch")))
+        tail = F.slice("steps", 2, F.greatest(F.size("steps"), F.lit(1)))
+        t = stored(here.join(made, [*node, "child"]).select("host", tail.alias("steps"), "key", "n", "labelled", "bad", F.concat("template", F.lit("/"), "branch").alias("template")))
+        discard(went, children, above, made)
+    return ended.table(t.schema).drop("steps")
 
 
 def judge(
@@ -153,9 +163,8 @@ def judge(
         "host", "template", smooth.alias("purity"), ((F.col("labelled") >= least_labelled) & (smooth >= purity)).alias("reject")
     )
     # A template belongs to (host, steps); the shapes are one string in the join back.
-    key = F.array_join("steps", "/")
-    of = cut(t.join(cut(worth), ["host", "template"]).select("host", key.alias("key"), "template", "purity", "reject"))
-    return rows.withColumn("key", key).join(of, ["host", "key"], "left").select(
+    of = cut(t.join(cut(worth), ["host", "template"]).select("host", "key", "template", "purity", "reject"))
+    return rows.withColumn("key", F.array_join("steps", "/")).join(of, ["host", "key"], "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("decided", F.when(F.col("reject"), "block").otherwise("allow")).alias("verdict"), "template", "purity",
     )
