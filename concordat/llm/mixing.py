@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from concordat.llm.shared import WORD, cut
+from concordat.llm.shared import WORD, apart, cut
 
 BUCKETS = 4096
 FILLS = 3
@@ -118,6 +118,9 @@ def mix(
     beyond that the call fails rather than leave any out.
     """
     spark = docs.sparkSession
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    docs, names_of = apart(docs)
+    text, source, doc_id = (names_of[c] for c in (text, source, doc_id))
     many = isinstance(docs.schema[source].dataType, T.ArrayType)
     pattern = F.array_sort(F.array_distinct(F.col(source))) if many else F.array(F.col(source))
     own = docs.withColumn("__size", size_of(F.col(text))).withColumn("__pattern", pattern)
@@ -191,14 +194,13 @@ def mix(
         ))
     plan = plan.alias("q").join(last.alias("e"), F.col("q.__pattern").eqNullSafe(F.col("e.__pattern")), "left").select("q.*", "edge", "last", "fill")
     plan = cut(plan).withColumnRenamed("__pattern", "__of")
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     extra = F.when(
         (F.col("rest") > 0)
         & (F.col("edge").isNull() | (F.col("__bucket") < F.col("edge")) | ((F.col("__bucket") == F.col("edge")) & (F.col("__rank") <= F.col("last"))) | (F.array_contains("fill", F.col("__rank")))),
         1,
     ).otherwise(0)
     return own.join(F.broadcast(plan), F.col("__pattern").eqNullSafe(F.col("__of")), "left").select(
-        *kept, F.col("__size").alias("size"), "source_size", "target",
+        *[F.col(names_of[c]).alias(c) for c in kept], F.col("__size").alias("size"), "source_size", "target",
         (F.col("__size") * (F.col("passes") + extra)).cast("long").alias("taken"),
     )
 
