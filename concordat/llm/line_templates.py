@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from concordat.llm.components import components
-from concordat.llm.shared import cut
+from concordat.llm.shared import apart, cut
 
 LEAD = 3
 WILD = "<*>"
@@ -197,10 +197,13 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", most_d
 
     A document that would lose more than ``most_dropped`` of its characters is left whole (1: none is).
     """
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped_at")]
+    docs, names = apart(docs)
+    text, doc_id = names[text], names[doc_id]
     gone = dropped_lines(docs, text=text, doc_id=doc_id, **rules)
     gone = gone.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("dropped_at"))
     t = F.col(text).cast("string")
-    keep = docs.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "dropped_at")])
+    keep = docs.select(*[names[c] for c in columns])
     keyed = keep.withColumn("__r1", F.xxhash64(F.lit(1), F.col(doc_id), t)).withColumn("__r2", F.xxhash64(t, F.col(doc_id)))
     gone = gone.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), "dropped_at")
     out = keyed.join(gone, ["__r1", "__r2"], "left").drop("__r1", "__r2")
@@ -209,7 +212,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", most_d
         out = out.withColumn("dropped_at", F.when(lost <= most_dropped * F.length(t), F.col("dropped_at")))
     left = F.array_join(F.filter(F.split(t, "\n", -1), lambda x, i: ~F.array_contains("dropped_at", i)), "\n")
     return out.select(
-        *[F.when(F.col("dropped_at").isNull(), t).otherwise(left).alias(text) if c == text else F.col(c) for c in keep.columns],
+        *[(F.when(F.col("dropped_at").isNull(), t).otherwise(left) if names[c] == text else F.col(names[c])).alias(c) for c in columns],
         F.when(t.isNull(), F.lit(0)).otherwise(F.size(F.split(t, "\n", -1))).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped_at"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce("dropped_at", F.array().cast("array<int>")).alias("dropped_at"),
