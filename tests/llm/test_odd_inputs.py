@@ -72,3 +72,36 @@ def test_urls_odd(spark):
     assert len(out) == 10 and got[1] == got[2] == got[3] == ("", "", None, "allow") and got[5] == ("a.example.com", "", None, "allow")
     assert got[6] == ("com", "/en/1", "com/en/", "block") and got[7] == ("notcom", "/en/1", None, "allow") and got[8] == ("x.example.com", "/en/71", "example.com/en/7", "allow")
     assert url_templates.judge(d.limit(0)).collect() == []
+
+
+#: Names that the operators' own tables use, and names that need quotes.
+INNER = ("rest", "passes", "edge", "last", "fill", "source_size", "target", "taken", "__size", "__rank", "__pattern", "__of", "__r1", "__r2", "a.b", "back`tick", "pos", "leaf", "h", "doc", "n_lines", "n_dropped", "dropped_at", "__column0", "with space")
+
+
+def test_columns_of_any_name(spark):
+    d = odd_docs(spark)
+    wide = d.select("*", *[F.lit(name).alias(name) for name in INNER])
+    own = lambda rows: sorted((str((r.doc_id, r["size"], r.source_size, r.target, r.taken)) for r in rows))
+    mixed = mixing.mix(wide)
+    assert own(mixed.collect()) == own(mixing.mix(d).collect())
+    left = [c for c in INNER if c not in ("source_size", "target", "taken")]
+    assert mixed.columns == [*d.columns, *left, "size", "source_size", "target", "taken"] and {tuple(r[c] for c in left) for r in mixed.collect()} == {tuple(left)}
+    lines = line_templates.dedup(wide)
+    texts = lambda rows: sorted(str((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in rows)
+    assert texts(lines.collect()) == texts(line_templates.dedup(d).collect())
+    left = [c for c in INNER if c not in ("n_lines", "n_dropped", "dropped_at")]
+    assert lines.columns == [*d.columns, *left, "n_lines", "n_dropped", "dropped_at"] and {tuple(r[c] for c in left) for r in lines.collect()} == {tuple(left)}
+
+
+def test_deep_paths(spark):
+    """Traps of a crawler: paths that share 60 steps, and paths that branch at every one of 12."""
+    import time
+
+    deep = [f"http://trap.example/{'a/' * 60}{leaf}" for leaf in ("b", "c", "d/e", "d/f")]
+    steps = [f"http://steps.example/{'a/' * k}{leaf}" for k in range(12) for leaf in ("b", "c")]
+    d = spark.createDataFrame(list(enumerate([*deep, *deep[:2], *steps])), "page_id long, url string")
+    began = time.time()
+    out = {r.page_id: r.template for r in url_templates.judge(d).collect()}
+    assert time.time() - began < 120
+    assert [out[k] for k in range(6)] == ["/" + "a/" * 60 + x for x in ("b", "c", "d/e", "d/f", "b", "c")]
+    assert [out[6 + k] for k in range(24)] == [u.partition("steps.example")[2] for u in steps]
