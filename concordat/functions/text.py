@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import unicodedata
 
 import pandas as pd
@@ -108,6 +109,24 @@ def stream_form(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_json(s: pd.Series) -> pd.Series:
+    """JSON with keys in order and fractional numbers to two digits, so that equal values of two runs are equal texts.
+
+    Numbers beyond what a double holds stay as written; null and what is no JSON give null.
+    """
+    def number(x: str) -> float:
+        return round(float(x), 2) + 0.0  # no negative zero
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(json.loads(x, parse_float=number), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return s.map(one)
+
+
 @F.pandas_udf(T.BooleanType())
 def name_printed(name: pd.Series, line: pd.Series) -> pd.Series:
     """The name stands on the line, or a run of about as many words is at least 0.8 like it."""

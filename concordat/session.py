@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,5 +30,15 @@ def build_session(app: str = "concordat", cpus: int | None = None, **conf: str)
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the folder that ``spark.checkpoint.dir`` names; where it is unset, a local session takes a
+    temporary folder and a cluster its warehouse."""
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="concordat-") if local else conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
