@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import unicodedata
 
@@ -17,7 +16,7 @@ LEGAL_FORMS = (
 # Fixed value: what no company's name is written with.
 ILLEGIBLE = r"(?U)[»«¦|~^`¬°{}\[\]<>@#*=\\]|[^\W\d_]:\s*[^\W\d_]"
 MIN_TEXT_CHARS, MAX_CID_SHARE = 20, 0.1
-FUZZY_NAME = 0.8
+MISREAD = 0.2
 
 
 def normalize(c: Column) -> Column:
@@ -127,16 +126,27 @@ def canonical_json(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf(T.BooleanType())
-def name_printed(name: pd.Series, line: pd.Series) -> pd.Series:
-    """The name stands on the line, or a run of about as many words is at least 0.8 like it."""
-    def one(n: str | None, l: str | None) -> bool:
-        key = "".join(ch for ch in (n or "").casefold() if ch.isalnum())
-        words = ["".join(ch for ch in w.casefold() if ch.isalnum()) for w in (l or "").split()]
-        if not key or key in "".join(words):
-            return bool(key)
-        size = len((n or "").split())
-        runs = ("".join(words[i : i + k]) for k in (size - 1, size, size + 1) if k > 0 for i in range(max(1, len(words) - k + 1)))
-        return any(difflib.SequenceMatcher(None, key, r).ratio() >= FUZZY_NAME for r in runs)
+def few_misread(name: Column, words: Column, between: str = " ") -> Column:
+    """Some run of as many ``words`` as the name has, or one more or less, differs from it in at most ``MISREAD`` of the longer one's letters.
 
-    return pd.Series([one(n, l) for n, l in zip(name, line, strict=True)])
+    ``name`` has its own words between single spaces. The edit distance is a function of the JVM; runs that are too long or too
+    short for it are not measured.
+    """
+    n = F.size(F.split(name, " "))
+    key = F.replace(name, F.lit(" "), F.lit(between))
+
+    def near(run: Column) -> Column:
+        room = F.floor(MISREAD * F.greatest(F.length(key), F.length(run)))
+        return F.when(F.abs(F.length(key) - F.length(run)) <= room, F.levenshtein(key, run) <= room).otherwise(False)
+
+    sizes = F.sequence(F.greatest(n - 1, F.lit(1)), n + 1)
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda at: F.array_join(F.slice(words, at, k), between))
+    return F.coalesce(F.exists(sizes, lambda k: F.exists(runs(k), near)), F.lit(False))
+
+
+def name_printed(name: Column, line: Column) -> Column:
+    """The name stands on the line, case, spaces and punctuation aside, or with a few letters misread."""
+    spaced = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), alnum_key), lambda w: w != "")
+    own, words = spaced(name), spaced(line)
+    key = F.array_join(own, "")
+    return (key != "") & (F.contains(F.array_join(words, ""), key) | few_misread(F.array_join(own, " "), words, ""))

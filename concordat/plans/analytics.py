@@ -68,14 +68,13 @@ def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang in ('en', 'de', 'fr', 'es')")
+    d = table(spark, sf_dir, "documents")
     a = d.select(
         F.explode(F.array(F.lit("rules"), F.lit("length"))).alias("tier"), F.col("lang").alias("truth"), "doc_id", "n_chars",
     )
     answer = F.when(F.col("tier") == "rules", F.when(F.col("doc_id") % 3 == 0, F.col("truth"))).otherwise(F.when(F.col("n_chars") > 1000, "en").otherwise("fr"))
     conf = (F.col("n_chars") % 101 / 100).cast("decimal(4,2)")
-    t = metrics.tiers(a.select("tier", "truth", answer.alias("answer"), conf.alias("confidence")))
-    return t.drop("mean_when_right", "mean_when_wrong")
+    return metrics.tiers(a.select("tier", "truth", answer.alias("answer"), conf.alias("confidence")))
 
 
 def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,9 +286,10 @@ select source, count(*) n, count(*) filter (s = 'succeeded') succeeded, count(*)
  cast(sum(cast(n_chars / 1000.0 as decimal(12,3))) as decimal(20,3)) total_seconds, median(cast(cast(n_chars / 1000.0 as decimal(12,3)) as double)) median_seconds from d group by 1""",
     "run_agreement": """with r as (select l_orderkey d, 'flag' field, l_returnflag v from lineitem union all select l_orderkey, 'status', l_linestatus from lineitem union all select l_orderkey, 'tax', cast(cast(l_tax as decimal(6,2)) as varchar) from lineitem),
 g as (select d, field, count(distinct v) k from r group by 1, 2) select field, count(*) n, count(*) filter (k = 1) agree from g group by 1""",
-    "tier_benchmark": f"""with a as (select 'rules' tier, lang truth, case when doc_id % 3 = 0 then lang end answer, n_chars from documents where lang in ('en', 'de', 'fr', 'es') union all select 'length', lang, case when n_chars > 1000 then 'en' else 'fr' end, n_chars from documents where lang in ('en', 'de', 'fr', 'es')),
-c as (select tier, count(*) n, count(answer) answered, count(*) filter (answer = truth) "right", count(*) filter (answer <> truth and n_chars % 101 >= 80) confidently_wrong from a group by 1)
-select tier, n, answered, "right", confidently_wrong, {ratio('"right"', 'answered')} accuracy_answered, {ratio('"right"', 'n')} accuracy_all from c""",
+    "tier_benchmark": f"""with a as (select 'rules' tier, lang truth, case when doc_id % 3 = 0 then lang end answer, n_chars from documents union all select 'length', lang, case when n_chars > 1000 then 'en' else 'fr' end, n_chars from documents),
+c as (select tier, count(*) n, count(answer) answered, count(*) filter (answer = truth) "right", count(*) filter (answer is not null and answer is distinct from truth and n_chars % 101 >= 80) confidently_wrong,
+ sum(n_chars % 101) filter (answer = truth) rs, count(*) filter (answer = truth) rn, sum(n_chars % 101) filter (answer is not null and answer is distinct from truth) ws, count(*) filter (answer is not null and answer is distinct from truth) wn from a group by 1)
+select tier, n, answered, "right", confidently_wrong, case when rn > 0 then {ratio('rs', '100 * rn')}::decimal(8,6) end mean_when_right, case when wn > 0 then {ratio('ws', '100 * wn')}::decimal(8,6) end mean_when_wrong, {ratio('"right"', 'answered')} accuracy_answered, {ratio('"right"', 'n')} accuracy_all from c""",
     "citation_coverage": """with n as (select o_orderkey d, unnest(['A', 'N', 'R']) f from orders), c as (select l_orderkey d, l_returnflag f, max(case when l_linestatus = 'O' then 0 else 1 end) l from lineitem group by 1, 2)
 select count(*) required, count(l) cited, cast(coalesce(sum(l), 0) as bigint) located from n left join c using (d, f)""",
     "vat_breakdown": LI + f""", g as (select id, case when t > 0 then 'S' else 'Z' end category, cast(t * 100 as decimal(8,2)) rate, cast(sum(net) as decimal(18,2)) taxable from li group by 1, 2, 3)
