@@ -1,12 +1,8 @@
-"""Streams: documents arriving as files, windows over events, and leases with timeouts."""
+"""Streams: documents arriving as files, and windows over events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def arriving_files(spark: SparkSession, path: str, pattern: str = "*", per_trigger: int = 100) -> DataFrame:
@@ -27,37 +23,3 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     e = events.withWatermark("ts", late) if events.isStreaming else events
     g = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(20,2)").alias("total"))
     return g.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
-
-
-LEASE_OUT = "task long, state string, who string, seq long"
-
-
-def leases(events: DataFrame, seconds: int = 600) -> DataFrame:
-    """Review tasks from a stream of (task, seq, kind, who): a claim holds until it is released or its lease runs out.
-
-    A claim of a task that somebody else holds is answered with a conflict. State is one row a task.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        task = int(key[0])
-        holder = state.get[0] if state.exists else ""
-        out = []
-        if state.hasTimedOut:
-            if holder:
-                out.append((task, "expired", holder, -1))
-            state.remove()
-        else:
-            for pdf in frames:
-                for r in pdf.sort_values("seq").itertuples():
-                    if r.kind == "claim" and holder not in ("", r.who):
-                        out.append((task, "conflict", r.who, r.seq))
-                        continue
-                    holder = r.who if r.kind == "claim" else "" if r.kind in ("release", "approve", "enqueue") else holder
-                    out.append((task, {"claim": "claimed", "release": "pending", "approve": "approved", "enqueue": "pending"}.get(r.kind, r.kind), r.who, r.seq))
-            state.update((holder,))
-            if holder:
-                state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame(out, columns=["task", "state", "who", "seq"])
-
-    schema = T.StructType([T.StructField("holder", T.StringType())])
-    return events.groupBy("task").applyInPandasWithState(step, LEASE_OUT, schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
