@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from xml.sax.saxutils import escape
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -18,7 +18,7 @@ UNITS = {
     "stück": "C62", "st": "C62", "x": "C62", "h": "HUR", "hr": "HUR", "hrs": "HUR", "hour": "HUR", "hours": "HUR", "std": "HUR", "day": "DAY",
     "days": "DAY", "month": "MON", "months": "MON", "year": "ANN", "week": "WEE", "kg": "KGM", "g": "GRM", "t": "TNE", "m": "MTR", "km": "KMT",
     "cm": "CMT", "m2": "MTK", "m3": "MTQ", "l": "LTR", "litre": "LTR", "liter": "LTR", "kwh": "KWH", "set": "SET", "pack": "PK", "box": "BX",
-    "pallet": "PF", "pallets": "PF", "ls": "LS", "lump sum": "LS",
+    "pallet": "PF", "pallets": "PF", "lump sum": "LS", "ls": "LS",
 }
 # Identifiers of the six e-invoice profiles (name, syntax, specification, process).
 PEPPOL = "urn:fdc:peppol.eu:2017:poacc:billing:01:1.0"
@@ -68,6 +68,28 @@ def export_gate(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.where("status = 'succeeded'"), results.where("status <> 'succeeded' or status is null").withColumn("refusal", F.coalesce(why, F.lit("unknown status")))
 
 
+class Exporters:
+    """Ways out by name: each takes the results that may leave and gives what is written. The gate is the same for all."""
+
+    def __init__(self) -> None:
+        self.writers: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def add(self, name: str, write: Callable[[DataFrame], DataFrame], *, replace: bool = False) -> None:
+        if name in self.writers and not replace:
+            raise ValueError(f"an exporter {name!r} is there already")
+        self.writers[name] = write
+
+    def names(self) -> list[str]:
+        return sorted(self.writers)
+
+    def run(self, results: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(what the exporter gives, refused results with the reason)."""
+        if name not in self.writers:
+            raise ValueError(f"no exporter {name!r}; there are {', '.join(self.names())}")
+        good, refused = export_gate(results)
+        return self.writers[name](good), refused
+
+
 def unit_code(unit: Column) -> Column:
     u = F.trim(F.coalesce(unit, F.lit("")))
     pairs = [F.lit(x) for name, code in UNITS.items() for x in (name, code)]
@@ -145,48 +167,3 @@ def flatten_json(df: DataFrame, column: str, key: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "path", "type", "part", "value"])
 
     return df.select(key, column).mapInPandas(rows, f"{key} {df.schema[key].dataType.simpleString()}, path string, type string, part int, value string")
-
-
-@F.pandas_udf(T.StringType())
-def ubl_invoice(number: pd.Series, date: pd.Series, currency: pd.Series, lines: pd.Series, payable: pd.Series) -> pd.Series:
-    """A minimal UBL invoice text; ``lines`` holds JSON rows of description, quantity, unit and net."""
-    def one(n: str, d: object, c: str, ls: str, p: object) -> str:
-        body = "".join(
-            f"<cac:InvoiceLine><cbc:ID>{i}</cbc:ID><cbc:InvoicedQuantity unitCode=\"{escape(x['unit'])}\">{x['quantity']}</cbc:InvoicedQuantity>"
-            f"<cbc:LineExtensionAmount currencyID=\"{escape(c)}\">{x['net']}</cbc:LineExtensionAmount><cac:Item><cbc:Name>{escape(x['description'])}</cbc:Name></cac:Item></cac:InvoiceLine>"
-            for i, x in enumerate(json.loads(ls), 1)
-        )
-        return (
-            '<Invoice xmlns="urn:oasis:names:specification:ubl:schema:xsd:Invoice-2" xmlns:cac="urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2" '
-            'xmlns:cbc="urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2">'
-            f"<cbc:CustomizationID>{PROFILES[0][2]}</cbc:CustomizationID><cbc:ID>{escape(n)}</cbc:ID><cbc:IssueDate>{d}</cbc:IssueDate><cbc:InvoiceTypeCode>380</cbc:InvoiceTypeCode>"
-            f"<cbc:DocumentCurrencyCode>{escape(c)}</cbc:DocumentCurrencyCode><cac:LegalMonetaryTotal><cbc:PayableAmount currencyID=\"{escape(c)}\">{p}</cbc:PayableAmount></cac:LegalMonetaryTotal>{body}</Invoice>"
-        )
-
-    return pd.Series([one(*row) for row in zip(number, date, currency, lines, payable, strict=True)])
-
-
-@F.pandas_udf(T.StringType())
-def cii_invoice(number: pd.Series, date: pd.Series, currency: pd.Series, seller: pd.Series, buyer: pd.Series, lines: pd.Series, payable: pd.Series) -> pd.Series:
-    """A minimal cross-industry invoice; ``date`` as yyyymmdd, ``lines`` as for ``ubl_invoice``."""
-    def one(n: str, d: str, c: str, s: str, b: str, ls: str, p: object) -> str:
-        items = "".join(
-            f"<ram:IncludedSupplyChainTradeLineItem><ram:AssociatedDocumentLineDocument><ram:LineID>{i}</ram:LineID></ram:AssociatedDocumentLineDocument>"
-            f"<ram:SpecifiedTradeProduct><ram:Name>{escape(x['description'])}</ram:Name></ram:SpecifiedTradeProduct><ram:SpecifiedLineTradeDelivery>"
-            f"<ram:BilledQuantity unitCode=\"{escape(x['unit'])}\">{x['quantity']}</ram:BilledQuantity></ram:SpecifiedLineTradeDelivery><ram:SpecifiedLineTradeSettlement>"
-            f"<ram:SpecifiedTradeSettlementLineMonetarySummation><ram:LineTotalAmount>{x['net']}</ram:LineTotalAmount></ram:SpecifiedTradeSettlementLineMonetarySummation>"
-            "</ram:SpecifiedLineTradeSettlement></ram:IncludedSupplyChainTradeLineItem>"
-            for i, x in enumerate(json.loads(ls), 1)
-        )
-        return (
-            '<rsm:CrossIndustryInvoice xmlns:rsm="urn:un:unece:uncefact:data:standard:CrossIndustryInvoice:100" '
-            'xmlns:ram="urn:un:unece:uncefact:data:standard:ReusableAggregateBusinessInformationEntity:100" xmlns:udt="urn:un:unece:uncefact:data:standard:UnqualifiedDataType:100">'
-            f"<rsm:ExchangedDocumentContext><ram:GuidelineSpecifiedDocumentContextParameter><ram:ID>{PROFILES[4][2]}</ram:ID></ram:GuidelineSpecifiedDocumentContextParameter></rsm:ExchangedDocumentContext>"
-            f"<rsm:ExchangedDocument><ram:ID>{escape(n)}</ram:ID><ram:TypeCode>380</ram:TypeCode><ram:IssueDateTime><udt:DateTimeString format=\"102\">{d}</udt:DateTimeString></ram:IssueDateTime></rsm:ExchangedDocument>"
-            f"<rsm:SupplyChainTradeTransaction>{items}<ram:ApplicableHeaderTradeAgreement><ram:SellerTradeParty><ram:Name>{escape(s)}</ram:Name></ram:SellerTradeParty>"
-            f"<ram:BuyerTradeParty><ram:Name>{escape(b)}</ram:Name></ram:BuyerTradeParty></ram:ApplicableHeaderTradeAgreement><ram:ApplicableHeaderTradeDelivery/>"
-            f"<ram:ApplicableHeaderTradeSettlement><ram:InvoiceCurrencyCode>{escape(c)}</ram:InvoiceCurrencyCode><ram:SpecifiedTradeSettlementHeaderMonetarySummation>"
-            f"<ram:GrandTotalAmount>{p}</ram:GrandTotalAmount></ram:SpecifiedTradeSettlementHeaderMonetarySummation></ram:ApplicableHeaderTradeSettlement></rsm:SupplyChainTradeTransaction></rsm:CrossIndustryInvoice>"
-        )
-
-    return pd.Series([one(*row) for row in zip(number, date, currency, seller, buyer, lines, payable, strict=True)])

@@ -144,47 +144,6 @@ def witness_amounts(words: DataFrame, floor: float = 0.6, touch: float = 0.2) ->
     return g.select("page", "line", F.array_distinct(money.amounts_in(text)).alias("amounts")).where(F.size("amounts") > 0)
 
 
-def locate_quote(quotes: DataFrame, least: float = 0.8, anchor: int = 3) -> DataFrame:
-    """(doc_id, field, start, end, score) of quotes in a page's character stream (doc_id, field, quote, page_text, all in stream form).
-
-    All exact places, else the one best window of the quote's length that shares an anchor of
-    three characters with it and is at least 0.8 like it.
-    """
-    import difflib
-
-    def find(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                q, t = r.quote or "", r.page_text or ""
-                if not q:
-                    continue
-                at = t.find(q)
-                hits = []
-                while at >= 0:
-                    hits.append((at, at + len(q), 1.0))
-                    at = t.find(q, at + 1)
-                if not hits and len(q) >= anchor:
-                    starts = {p - i for i in range(0, len(q) - anchor + 1, anchor) for p in _places(t, q[i : i + anchor])}
-                    scored = [(difflib.SequenceMatcher(None, q, t[max(s, 0) : s + len(q)], autojunk=False).ratio(), -max(s, 0)) for s in starts if s + len(q) > 0]
-                    best = max(scored, default=(0.0, 0))
-                    if best[0] >= least:
-                        hits = [(-best[1], -best[1] + len(q), best[0])]
-                out += [(r.doc_id, r.field, a, b, s) for a, b, s in hits]
-            yield pd.DataFrame(out, columns=["doc_id", "field", "start", "end", "score"])
-
-    k = quotes.schema["doc_id"].dataType.simpleString()
-    return quotes.mapInPandas(find, f"doc_id {k}, field string, start int, end int, score double")
-
-
-def _places(text: str, part: str) -> list[int]:
-    out, at = [], text.find(part)
-    while at >= 0:
-        out.append(at)
-        at = text.find(part, at + 1)
-    return out
-
-
 def source_status(located: DataFrame, citations: DataFrame) -> DataFrame:
     """(doc_id, field, status): verified on the page, fuzzy, conflicting where only the witness has it, else unlocated.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Suffixes by kind of document.
@@ -71,15 +73,43 @@ def checkpoint_rows(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return last.select(*[F.col(f"d.{f.name}") for f in schema.fields])
 
 
-def einvoice_fields(xml: Column) -> dict[str, Column]:
-    """Labels of a cross-industry invoice, by local names, so prefixes do not matter."""
-    at = lambda *names: F.nullif(F.xpath_string(xml, F.lit("//" + "/".join(f"*[local-name()='{n}']" for n in names))), F.lit(""))
+#: Where each label stands in the two syntaxes, by local names; the first that is there counts.
+LABELS = {
+    "number": ("/CrossIndustryInvoice/ExchangedDocument/ID", "/Invoice/ID", "/CreditNote/ID"), "currency": ("//InvoiceCurrencyCode", "//DocumentCurrencyCode"),
+    "seller": ("//SellerTradeParty/Name", "//AccountingSupplierParty/Party/PartyName/Name", "//AccountingSupplierParty/Party/PartyLegalEntity/RegistrationName"),
+    "buyer": ("//BuyerTradeParty/Name", "//AccountingCustomerParty/Party/PartyName/Name", "//AccountingCustomerParty/Party/PartyLegalEntity/RegistrationName"),
+    "seller_vat": ("//SellerTradeParty/SpecifiedTaxRegistration/ID[@schemeID='VA']", "//AccountingSupplierParty/Party/PartyTaxScheme[TaxScheme/ID='VAT']/CompanyID"),
+    "order_reference": ("//BuyerOrderReferencedDocument/IssuerAssignedID", "/Invoice/OrderReference/ID", "/CreditNote/OrderReference/ID"), "iban": ("//PayeePartyCreditorFinancialAccount/IBANID", "//PaymentMeans[PaymentMeansCode='58']/PayeeFinancialAccount/ID"),
+}
+AMOUNTS = {
+    "line_total": ("//SpecifiedTradeSettlementHeaderMonetarySummation/LineTotalAmount", "//LegalMonetaryTotal/LineExtensionAmount"), "tax": ("//TaxTotalAmount", "/Invoice/TaxTotal/TaxAmount", "/CreditNote/TaxTotal/TaxAmount"),
+    "total": ("//GrandTotalAmount", "//LegalMonetaryTotal/TaxInclusiveAmount"),
+}
+
+
+def local(path: str) -> str:
+    """A path of local names as XPath, so prefixes do not matter."""
+    return re.sub(r"(?<![@\w'])([A-Za-z]\w*)(?!['\w(])(?=[/\[=\]]|$)", r"*[local-name()='\1']", path)
+
+
+def einvoice_labels(xml: Column) -> dict[str, Column]:
+    """Labels of an e-invoice in either syntax; null where it has none."""
+    at = lambda paths: F.coalesce(*[F.nullif(F.trim(F.xpath_string(xml, F.lit(local(p)))), F.lit("")) for p in paths])
+    day = F.coalesce(F.try_to_date(at(("//IssueDateTime/DateTimeString",)), "yyyyMMdd"), F.try_to_date(at(("/Invoice/IssueDate", "/CreditNote/IssueDate")), "yyyy-MM-dd"))
+    due = F.coalesce(F.try_to_date(at(("//DueDateDateTime/DateTimeString",)), "yyyyMMdd"), F.try_to_date(at(("/Invoice/DueDate", "//PaymentMeans/PaymentDueDate")), "yyyy-MM-dd"))
+    count = lambda *paths: F.xpath_int(xml, F.lit(" + ".join(f"count({local(p)})" for p in paths)))
     return {
-        "number": at("ExchangedDocument", "ID"), "issue_date": F.try_to_date(at("IssueDateTime", "DateTimeString"), "yyyyMMdd"), "currency": at("InvoiceCurrencyCode"),
-        "seller": at("SellerTradeParty", "Name"), "buyer": at("BuyerTradeParty", "Name"), "total": at("GrandTotalAmount").try_cast("decimal(18,2)"), "tax": at("TaxTotalAmount").try_cast("decimal(18,2)"),
+        **{n: at(p) for n, p in LABELS.items()}, **{n: at(p).try_cast("decimal(18,2)") for n, p in AMOUNTS.items()}, "issue_date": day, "due_date": due,
+        "n_lines": count("//IncludedSupplyChainTradeLineItem", "//InvoiceLine", "//CreditNoteLine"), "n_rates": count("//ApplicableHeaderTradeSettlement/ApplicableTradeTax", "//TaxTotal/TaxSubtotal"),
     }
 
 
+def einvoice_fields(xml: Column) -> dict[str, Column]:
+    """The labels that documents are graded by."""
+    found = einvoice_labels(xml)
+    return {n: found[n] for n in ("number", "issue_date", "currency", "seller", "buyer", "total", "tax")}
+
+
 def einvoice_profile(xml: Column) -> Column:
     """'ubl' or 'cii' by the root, with the guideline or customization id after a space."""
     root = F.regexp_extract(xml, r"<(?:[\w.-]+:)?(Invoice|CreditNote|CrossIndustryInvoice)\b", 1)

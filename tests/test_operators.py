@@ -5,7 +5,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from concordat.operators import catalog, classify, export, layout, matching, metrics, review, templates, validation
+from concordat.operators import catalog, classify, export, layout, matching, metrics, quotes, review, templates, validation
 from concordat.sources import readers, sinks
 
 
@@ -94,7 +94,7 @@ def test_layout(spark):
     words = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.0, 1.0, "1.2", 0.9), (1, 1, 1.1, 2.0, 0.0, 1.0, "34,50", 0.8), (1, 1, 5.0, 6.0, 0.0, 1.0, "7.00", 0.3), (1, 1, 8.0, 9.0, 0.0, 1.0, "5", 0.9)], "page int, line int, x0 double, x1 double, y0 double, y1 double, text string, confidence double")
     assert [[float(a) for a in r.amounts] for r in layout.witness_amounts(words).collect()] == [[1234.5, 5.0]]
     q = spark.createDataFrame([(1, "a", "abc", "xabcabcx"), (1, "b", "invoicenumber42", "zzinvo1cenumber42zz"), (1, "c", "nothing", "xabcabcx")], "doc_id int, field string, quote string, page_text string")
-    found = rows(layout.locate_quote(q).select("field", "start", "end"), "field", "start")
+    found = rows(quotes.locate(q).select("field", "start", "end"), "field", "start")
     assert found == [("a", 1, 4), ("a", 4, 7), ("b", 2, 17)]
     box = spark.range(1).select(layout.rotated(F.lit(0.1), F.lit(0.2), F.lit(0.3), F.lit(0.5), F.lit(90)).alias("b")).first().b
     assert [round(x, 6) for x in box] == [0.5, 0.1, 0.8, 0.3]
@@ -118,12 +118,8 @@ def test_exports(spark, tmp_path):
     assert rows(export.flatten_json(j, "j", "id").select("path", "type", "value"), "path") == [("/a~1b/c~0/0", "number", "1"), ("/a~1b/c~0/1", "boolean", "true"), ("/a~1b/c~0/2", "null", ""), ("/a~1b/c~0/3", "object", ""), ("/d", "string", "x")]
     sinks.write_csv(spark.createDataFrame([("=1+1", 2)], "a string, b int"), str(tmp_path / "c"))
     assert rows(spark.read.option("header", "true").csv(str(tmp_path / "c"))) == [("'=1+1", "2")]
-    x = spark.range(1).select(export.ubl_invoice(F.lit("A&B"), F.lit("2024-01-01"), F.lit("EUR"), F.lit('[{"description": "x<y", "quantity": 1, "unit": "C62", "net": "5.00"}]'), F.lit("5.00")).alias("x")).first().x
-    import xml.etree.ElementTree as ET
-
-    assert ET.fromstring(x).tag.endswith("}Invoice")
-    kind = spark.createDataFrame([(x,)], "x string").select(readers.einvoice_profile(F.col("x"))).first()[0]
-    assert kind == "ubl urn:cen.eu:en16931:2017"
+    kind = spark.createDataFrame([('<a:Invoice xmlns:a="u"><b:CustomizationID> urn:x </b:CustomizationID></a:Invoice>',), ("<none/>",)], "x string").select(readers.einvoice_profile(F.col("x"))).collect()
+    assert [r[0] for r in kind] == ["ubl urn:x", ""]
 
 
 def test_metrics(spark):

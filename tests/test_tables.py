@@ -1,12 +1,6 @@
-"""Tables, columns and the cross-industry invoice on small inputs."""
+"""Tables and columns on small inputs."""
 
-import datetime as dt
-from decimal import Decimal
-
-from pyspark.sql import functions as F
-
-from concordat.operators import export, tables
-from concordat.sources import readers
+from concordat.operators import tables
 
 SEG = "page int, row int, x0 double, x1 double, y0 double, y1 double, text string"
 
@@ -39,11 +33,3 @@ def test_gutter_and_reading_order(spark):
     order = [r.text for r in tables.reading_order(d).orderBy("position").collect()]
     assert order == [left] * 4 + [right] * 4
     assert tables.gutters(grid(spark, [[left, right]] * 3)).count() == 0
-
-
-def test_cross_industry_invoice_reads_back(spark):
-    lines = '[{"description": "a & b", "quantity": 2, "unit": "C62", "net": "5.00"}]'
-    x = spark.range(1).select(export.cii_invoice(F.lit("R<1"), F.lit("20240131"), F.lit("EUR"), F.lit("S"), F.lit("B"), F.lit(lines), F.lit("5.95")).alias("x"))
-    got = x.select(*[c.alias(k) for k, c in readers.einvoice_fields(F.col("x")).items()], readers.einvoice_profile(F.col("x")).alias("p")).first()
-    assert (got.number, got.issue_date, got.currency, got.seller, got.buyer, got.total, got.tax) == ("R<1", dt.date(2024, 1, 31), "EUR", "S", "B", Decimal("5.95"), None)
-    assert got.p == "cii urn:cen.eu:en16931:2017"
