@@ -72,14 +72,14 @@ QUERIES = {f.__name__: f for f in (ubl_documents, cii_documents, backend_chain)}
 #: Half up to cents, in whole numbers: the amount has two digits, the percentage none.
 PART = "cast((cast({a} * 100 as hugeint) * {p} + 50) // 100 * 0.01 as decimal(18,2))"
 LABELS = f"""with l as (select l_orderkey k, cast(l_extendedprice as decimal(18,2)) net, l_orderkey % 13 = 0 and l_linenumber % 2 = 0 low from lineitem),
-s as (select k, cast(sum(net) as decimal(18,2)) s, cast(coalesce(sum(net) filter (low), 0) as decimal(18,2)) lower_, bool_or(low) some, bool_and(low) every_, count(*) n from l group by 1),
+s as (select k, cast(sum(net) as decimal(18,2)) s, cast(coalesce(sum(net) filter (low), 0) as decimal(18,2)) lower_, bool_or(low) some_, bool_and(low) every_, count(*) n from l group by 1),
 b as (select *, cast(s - case when k % 5 = 0 then 1 else 0 end as decimal(18,2)) base, cast(s - lower_ as decimal(18,2)) upper_ from s),
-t as (select *, case when every_ then {PART.format(a='base', p=7)} when some then {PART.format(a='lower_', p=7)} + {PART.format(a='upper_', p=19)} else {PART.format(a='base', p=19)} end right_ from b),
-r as (select *, case when some and not every_ and k % 5 = 0 then 'mixed rates' when k % 7 = 0 then 'tax' when k % 11 = 0 then 'BR-CO-10' end refusal from t)
+t as (select *, case when every_ then {PART.format(a='base', p=7)} when some_ then {PART.format(a='lower_', p=7)} + {PART.format(a='upper_', p=19)} else {PART.format(a='base', p=19)} end right_ from b),
+r as (select *, case when some_ and not every_ and k % 5 = 0 then 'mixed rates' when k % 7 = 0 then 'tax' when k % 11 = 0 then 'BR-CO-10' end refusal from t)
 select k doc_id, refusal, case when refusal is null then 'I-' || k end number, case when refusal is null then cast(o_orderdate as date) end issue_date, case when refusal is null then 'EUR' end currency, case when refusal is null then 'Nord & Söhne' end seller,
  case when refusal is null then 'Buyer' end buyer, case when refusal is null then 'DE136695976' end seller_vat, case when refusal is null then 'PO' || k end order_reference, case when refusal is null and k % 3 = 0 then 'DE89370400440532013000' end iban,
  case when refusal is null then s end line_total, case when refusal is null then right_::decimal(18,2) end tax, case when refusal is null then (base + right_)::decimal(18,2) end total, case when refusal is null then n::int end n_lines,
- case when refusal is null then case when some and not every_ then 2 else 1 end end n_rates from r join orders on o_orderkey = k"""
+ case when refusal is null then case when some_ and not every_ then 2 else 1 end end n_rates from r join orders on o_orderkey = k"""
 ORACLE = {
     "ubl_documents": LABELS, "cii_documents": LABELS,
     "backend_chain": """with d as (select doc_id k, coalesce(text, '') t from documents), g as (select *, length(trim(t)) >= 20 and (length(t) - length(replace(t, '(cid:', ''))) = 0 good from d),

@@ -56,7 +56,7 @@ def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.substr("page_text", (k * 7 % (F.length("page_text") - 30) + 1).cast("int"), F.lit(30))
     quote = F.when(k % 3 == 0, cut).when(k % 3 == 1, F.concat(F.substr(cut, F.lit(1), F.lit(14)), F.lit("§"), F.substr(cut, F.lit(16)))).otherwise(F.repeat(F.lit("§¶"), F.lit(15)))
     found = quotes.locate(d.select("doc_id", F.lit("f").alias("field"), quote.alias("quote"), "page_text"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("score") == 1, F.col("start"))).alias("first"), F.max(F.round("score", 6)).alias("score"))
+    return found.groupBy("doc_id").agg(F.min(F.when(F.col("score") == 1, F.col("start"))).alias("first"), F.max(F.when(F.col("score") == 1, F.col("start"))).alias("last"), F.max(F.round("score", 6)).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (quote_places, token_words, text_pages, variance_agreement)}
@@ -64,7 +64,7 @@ QUERIES = {f.__name__: f for f in (quote_places, token_words, text_pages, varian
 SPACE = r"[\s\x0b\x85\p{Z}]"
 ORACLE = {
     "quote_places": rf"""with d as (select doc_id k, regexp_replace(lower(text), '(?:{SPACE})+', '', 'g') s from documents), q as (select k, s, substr(s, cast(k * 7 % (length(s) - 30) as int) + 1, 30) c from d where length(s) >= 40)
-select k doc_id, case when k % 3 = 0 then (length(s) - length(replace(s, c, ''))) // 30 else 1 end::bigint n, case when k % 3 = 0 then strpos(s, c) - 1 end::int as first, case when k % 3 = 0 then 1 else 0.966667 end::double score
+select k doc_id, case when k % 3 = 0 then strpos(s, c) - 1 end::int as first, case when k % 3 = 0 then length(s) - strpos(reverse(s), reverse(c)) - 29 end::int as last, case when k % 3 = 0 then 1 else 0.966667 end::double score
 from q where k % 3 < 2""",
     "token_words": rf"""
 with l as (select doc_id page, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 line from documents where text is not null),
