@@ -17,11 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from concordat.llm.shared import Rolling, Words, ranges, slices, strings, word_hashes
+from concordat.llm.shared import SLICE_BYTES, Rolling, Words, ranges, slices, strings, word_hashes
 
 BITS = 16
 DIM = 1 << BITS
 EXTRA = 6
+#: Text whose n-grams a task holds at once, or one longer text; a byte of it takes some hundred bytes of hashes.
+FEATURE_BYTES = 400_000
 ALL = DIM + EXTRA
 SCALE = 20.0
 CHARS = (3, 5)
@@ -132,7 +134,7 @@ def labelled(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, labe
     two = two.join(F.broadcast(drawn), "__id").select("__id", "y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", FEATURE_BYTES):
             rows = sparse(strings(b, "text"), extra)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.string()), b.column(1), pa.array([f.tobytes() for f, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
@@ -147,8 +149,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, labe
     return Sample([{"f": f[k].as_buffer(), "v": v[k].as_buffer(), "y": y[k], "weight": count[y[k]] / have[y[k]]} for k in rows])
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for b in slices(batches, text):
+def batches_of(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    for b in slices(batches, text, most):
         yield b, strings(b, text)
 
 
@@ -171,4 +173,4 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-__all__ = ["ALL", "DIM", "EXTRA", "Sample", "batches_of", "descend", "features", "labelled", "ranges", "scores", "sigmoid", "sparse"]
+__all__ = ["ALL", "DIM", "EXTRA", "FEATURE_BYTES", "Sample", "batches_of", "descend", "features", "labelled", "ranges", "scores", "sigmoid", "sparse"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from concordat.llm.hashed_text import ALL, Sample, batches_of, descend, labelled, scores, sigmoid
+from concordat.llm.hashed_text import ALL, FEATURE_BYTES, Sample, batches_of, descend, labelled, scores, sigmoid
 from concordat.llm.shared import Words
 
 FIT_ROWS = 3000
@@ -116,7 +116,7 @@ def judge(
     w, read = w.astype(np.float32), text if carry else "__text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches_of(batches, read):
+        for batch, texts in batches_of(batches, read, FEATURE_BYTES):
             words = Words(texts)
             c = counts(texts, words)
             wide = batch.num_columns if carry else 1
