@@ -7,6 +7,7 @@ its own. Words are maximal runs of ``[^\\x20\\x09-\\x0D]`` everywhere.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -103,10 +104,21 @@ def ranges(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of all batches. Workers live on between tasks, so what a batch took goes back to the system after it, not to a pool."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
         for at, n in ranges(col, most):
             yield b.slice(at, n)
+        del b, col
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def strings(batch: pa.RecordBatch, text: str) -> pa.Array:
