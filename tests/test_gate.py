@@ -128,3 +128,8 @@ def test_rounds_of_revalidation(spark):
     assert {(r.task, r.seq): r.refusal for r in out if r.refusal} == {(1, 2): "schema", (1, 4): "errors", (1, 6): "no_lock", (2, 2): "schema"}
     state = {r.task: r for r in review.queue_state(revalidate.decided(log, docs, revalidate.invoice_verdicts())).collect()}
     assert state[1].state == "approved" and json.loads(state[1].corrections) == {"subtotal": 11, "total_amount": 11} and state[2].state == "in_review"
+
+
+def test_answers_with_white_space_around(spark):
+    d = spark.createDataFrame([(0, " Invoice\n"), (1, "\t RECEIPT\r\n"), (2, "way\nbill"), (3, "\n"), (4, None)], "i int, a string")
+    assert [x.t for x in d.select("i", G.builtin().answer(F.col("a")).alias("t")).orderBy("i").collect()] == ["invoice", "receipt", "unknown", "unknown", "unknown"]
