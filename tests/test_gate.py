@@ -133,3 +133,12 @@ def test_rounds_of_revalidation(spark):
 def test_answers_with_white_space_around(spark):
     d = spark.createDataFrame([(0, " Invoice\n"), (1, "\t RECEIPT\r\n"), (2, "way\nbill"), (3, "\n"), (4, None)], "i int, a string")
     assert [x.t for x in d.select("i", G.builtin().answer(F.col("a")).alias("t")).orderBy("i").collect()] == ["invoice", "receipt", "unknown", "unknown", "unknown"]
+
+
+def test_faults_are_found_once_for_each_document(spark):
+    import re
+
+    from concordat.plans import gate
+
+    plan = gate.schema_faults(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Filter .*size\(", plan)  # a filter inferred from the generator finds all faults again
