@@ -36,7 +36,7 @@ def parse_amount(token: Column) -> Column:
         )
         return F.when(t.rlike(r"^\d(?:[\d.,]*\d)?$"), plain.try_cast(AMOUNT))
 
-    return let(F.regexp_replace(F.trim(token), "[ \u00a0]", ""), read)
+    return let(F.regexp_replace(F.trim(token), "[ \u00a0]", ""), read, AMOUNT)
 
 
 def amounts_in(text: Column) -> Column:

@@ -52,7 +52,7 @@ def mutated(docs: DataFrame) -> DataFrame:
     kind_of = {c: docs.schema[c].dataType for c in changed}
     rows = [F.when(applies, F.struct(F.lit(k).alias("kind"), *[new.get(c, F.col(c)).cast(kind_of[c]).alias(c) for c in changed])) for k, (applies, new) in kinds.items()]
     kept = [c for c in docs.columns if c not in changed]
-    return docs.select(*kept, F.explode(F.array_compact(F.array(*rows))).alias("__m")).select(*kept, "__m.*")
+    return docs.select(*kept, F.explode_outer(F.array(*rows)).alias("__m")).where("__m is not null").select(*kept, "__m.*")
 
 
 def findings(docs: DataFrame, context: validation.Context = validation.Context()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from concordat.functions import text
 from concordat.operators import backends, einvoice, schema_gate
 from concordat.sources import readers
-from concordat.session import table
+from concordat.session import spread, table
 
 MONEY = "decimal(18,2)"
 
@@ -19,7 +19,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, net = F.col("l_quantity").cast(MONEY), F.col("l_extendedprice").cast(MONEY)
     line = F.struct("l_linenumber", F.concat(F.lit("Part <"), "l_partkey", F.lit("> & Co")).alias("description"), q.alias("quantity"), (net / 2).cast(MONEY).alias("unit_price"), net.alias("total"), F.when(F.col("l_linenumber") == 1, "kg").alias("unit_of_measure"), F.when(low, 7).alias("tax_rate_percent"))
     cents = lambda c: F.round(c, 2).cast(MONEY)
-    li = table(spark, sf_dir, "lineitem").groupBy(k.alias("k")).agg(
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "l_orderkey").groupBy(k.alias("k")).agg(
         F.array_sort(F.collect_list(line)).alias("line_items"), F.sum(net).cast(MONEY).alias("s"), F.coalesce(F.sum(F.when(low, net)), F.lit(0)).cast(MONEY).alias("lower"), F.max(low).alias("some"), F.min(low).alias("every")
     )
     k = F.col("k")
@@ -27,7 +27,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("s") - off
     tax = F.when(F.col("every"), cents(base * 7 / 100)).when(F.col("some"), cents(F.col("lower") * 7 / 100) + cents((F.col("s") - F.col("lower")) * 19 / 100)).otherwise(cents(base * 19 / 100))
     tax = (tax + F.when(k % 7 == 0, F.lit("0.05")).otherwise("0").cast(MONEY)).cast(MONEY)
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").cast("string").alias("issue_date")).join(li, "k")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").cast("string").alias("issue_date"))
+    o = spread(o, "k").join(li, "k")
     person = lambda name, vat: F.struct(F.lit(name).alias("name"), F.array(F.struct(vat.alias("value"), F.lit("vat").alias("scheme"))).alias("tax_ids"), F.struct(F.lit("Kiel").alias("city"), F.lit("DE").alias("country_code")).alias("address"))
     doc = F.struct(
         F.concat(F.lit("I-"), k).alias("invoice_number"), "issue_date", person("Nord & Söhne", F.lit("DE 136 695 976")).alias("seller"), person("Buyer", F.when(k % 2 == 0, "DK13585628")).alias("buyer"), F.lit("eur").alias("currency"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concordat.operators import citations, metrics, mutations, runs, validation
 from concordat.plans.analytics import ratio
-from concordat.session import table
+from concordat.session import spread, table
 
 MONEY = "decimal(18,2)"
 
@@ -63,7 +63,7 @@ def cited_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d, t = F.col("o_orderkey"), F.to_date("o_orderdate"), F.col("o_totalprice").cast(MONEY)
     s = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
     none = lambda kind: F.lit(None).cast(kind)
-    o = table(spark, sf_dir, "orders").select(
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey").select(
         k.alias("doc_id"), s("INV-", k).alias("number"), d.alias("issue_date"), F.lit("Hafen Kontor GmbH").alias("seller"), F.lit("Buyer Ltd").alias("buyer"),
         F.when(k % 3 != 1, "DE89 3704 0044 0532 0130 00").alias("iban"), t.alias("subtotal"), F.lit("5.00").cast(MONEY).alias("tax_amount"), (t + 5).cast(MONEY).alias("total_amount"),
     )
