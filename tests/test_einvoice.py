@@ -154,3 +154,9 @@ def test_exporters(spark):
         e.add("ids", lambda rows: rows)
     with pytest.raises(ValueError):
         e.run(d, "nothing")
+
+
+def test_invoices_of_a_small_table_are_many_tasks(spark):
+    from concordat.plans import einvoices
+
+    assert einvoices.invoices(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism

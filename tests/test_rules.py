@@ -50,3 +50,14 @@ def test_rules(spark, schema):
         found.setdefault(r.doc_id, set()).add(r.rule)
     for i, (change, want) in enumerate(cases):
         assert found.get(i, set()) == want, change
+
+
+def test_rules_and_mutations_infer_no_filter_from_their_generators(spark):
+    import re
+
+    from concordat.operators import mutations, validation
+    from concordat.plans import runs
+
+    docs = runs.cited_invoices(spark, "/root/testdata/sf0.001")
+    for df in (mutations.mutated(docs), validation.issues(docs, "invoice", only=("total_equation",))):
+        assert not re.search(r"Filter .*size\(", df._jdf.queryExecution().optimizedPlan().toString())
