@@ -1,8 +1,8 @@
 """Invoices and credit notes as EN 16931: the semantic model of a typed document, and its two syntaxes.
 
 Both are expressions of the JVM over one row, the document as the schema gate types it: sums,
-groups of rates and refusals by array functions, XML by nesting text. An element that comes out
-empty is taken out again, so optional terms need no rule of their own. What the
+groups of rates and refusals by array functions, XML by nesting text. An element without
+content is null and so is not written, so optional terms need no rule of their own. What the
 document does not state is not written; what it states otherwise than the model can express is
 a refusal with the rule's id.
 """
@@ -112,26 +112,28 @@ def escaped(c: Column) -> Column:
 
 
 class Xml(NamedTuple):
-    """A part of a document: text of markup."""
+    """A part of a document: text of markup, null or empty where there is nothing to write. ``sure``: there always is."""
 
     text: Column
+    sure: bool = False
 
 
-#: Elements that came out empty, and how deep the syntaxes nest what may be missing.
-EMPTY, NESTED = r"<([\w:]+)(?: [^<>]*)?></\1>", 7
+def content(text: Column) -> Column:
+    """Null for an empty text. The text stands in the expression once, as elements nest deep."""
+    return F.get(F.filter(F.array(text), lambda s: s != ""), F.lit(0))
 
 
 def el(name: str, *inside: object, **attributes: object) -> Xml:
-    """An element around a value (column or literal) or other parts. Each part stands in the expression once; ``document`` takes
-    out what is empty at the end."""
+    """An element around a value (column or literal) or other parts, null where it would be empty. Each part stands in the expression once."""
     if inside and all(isinstance(p, Xml) for p in inside):
-        body = F.concat(*[p.text for p in inside])
+        sure, body = any(p.sure for p in inside), F.concat_ws("", *[p.text for p in inside])
     else:
-        body = F.coalesce(escaped(inside[0] if isinstance(inside[0], Column) else F.lit(inside[0])), F.lit(""))
+        sure, body = isinstance(inside[0], str) and inside[0] != "", escaped(inside[0] if isinstance(inside[0], Column) else F.lit(inside[0]))
+    body = body if sure else content(body)
     tag = [F.lit(f"<{name}")]
     for a, value in attributes.items():
         tag += [F.lit(f' {a}="'), F.coalesce(escaped(value if isinstance(value, Column) else F.lit(value)), F.lit("")), F.lit('"')]
-    return Xml(F.concat(*tag, F.lit(">"), body, F.lit(f"</{name}>")))
+    return Xml(F.concat(*tag, F.lit(">"), body, F.lit(f"</{name}>")), sure)
 
 
 def each(rows: Column, part: Callable[[Column], Xml]) -> Xml:
@@ -139,7 +141,7 @@ def each(rows: Column, part: Callable[[Column], Xml]) -> Xml:
 
 
 def only(when: Column, part: Xml) -> Xml:
-    return Xml(F.when(F.coalesce(when, F.lit(False)), part.text).otherwise(""))
+    return Xml(F.when(when, part.text))
 
 
 def plain(q: Column) -> Column:
@@ -158,10 +160,7 @@ CII = {
 
 def document(root: str, spaces: dict[str, str], *parts: Xml) -> Column:
     names = "".join(f' xmlns{":" + p if p else ""}="{uri.format(root=root.split(":")[-1])}"' for p, uri in spaces.items())
-    out = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}{names}>'), *[p.text for p in parts], F.lit(f"</{root}>"))
-    for _ in range(NESTED):
-        out = F.regexp_replace(out, EMPTY, "")
-    return out
+    return F.concat_ws("", F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}{names}>'), *[p.text for p in parts], F.lit(f"</{root}>"))
 
 
 def ubl(t: Column, profile: Profile, *, credit_note: bool = False) -> Column:
@@ -242,7 +241,7 @@ def cii(t: Column, profile: Profile) -> Column:
         el(
             "rsm:SupplyChainTradeTransaction", each(t["lines"], line),
             r("ApplicableHeaderTradeAgreement", r("BuyerReference", t["buyer_reference"]), side("SellerTradeParty", t["seller"], True), side("BuyerTradeParty", t["buyer"], False), r("BuyerOrderReferencedDocument", r("IssuerAssignedID", t["order_reference"]))),
-            Xml(F.lit("<ram:ApplicableHeaderTradeDelivery/>")),
+            Xml(F.lit("<ram:ApplicableHeaderTradeDelivery/>"), True),
             r(
                 "ApplicableHeaderTradeSettlement", r("PaymentReference", t["payment_reference"]), r("InvoiceCurrencyCode", t["currency"]), r("SpecifiedTradeSettlementPaymentMeans", r("TypeCode", t["payment_means"]), owned, *bank),
                 each(t["groups"], lambda g: tax("ApplicableTradeTax", g, amounts=True)), extra(t["allowance"], "false", "Discount"), extra(t["charge"], "true", "Shipping"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import xml.etree.ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Suffixes by kind of document.
@@ -87,20 +89,79 @@ AMOUNTS = {
 }
 
 
-def local(path: str) -> str:
-    """A path of local names as XPath, so prefixes do not matter."""
-    return re.sub(r"(?<![@\w'])([A-Za-z]\w*)(?!['\w(])(?=[/\[=\]]|$)", r"*[local-name()='\1']", path)
+DATES = {
+    "issue_cii": ("//IssueDateTime/DateTimeString",), "issue_ubl": ("/Invoice/IssueDate", "/CreditNote/IssueDate"),
+    "due_cii": ("//DueDateDateTime/DateTimeString",), "due_ubl": ("/Invoice/DueDate", "//PaymentMeans/PaymentDueDate"),
+}
+COUNTS = {"n_lines": ("//IncludedSupplyChainTradeLineItem", "//InvoiceLine", "//CreditNoteLine"), "n_rates": ("//ApplicableHeaderTradeSettlement/ApplicableTradeTax", "//TaxTotal/TaxSubtotal")}
+TEXTS = LABELS | AMOUNTS | DATES
+#: A step of a path: a name, and in brackets an attribute or a path below that must have a value.
+STEP = re.compile(r"(\w+)(?:\[(@?)([\w/]+)='([^']*)'\])?")
+
+
+def placed(path: str) -> tuple[bool, list[str], list[tuple[int, bool, list[str], str]]]:
+    """(from the root, names, conditions) of a path; a condition says how far above the last step its element is."""
+    steps = list(STEP.finditer(path))
+    return not path.startswith("//"), [m[1] for m in steps], [(len(steps) - 1 - i, m[2] == "@", m[3].split("/"), m[4]) for i, m in enumerate(steps) if m[3]]
+
+
+#: (name, which of its paths, and where that is) of all that is read.
+PLACES = [(n, k, *placed(p)) for n, ps in (TEXTS | COUNTS).items() for k, p in enumerate(ps)]
+
+
+def local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def below(e: ET.Element, names: list[str]) -> list[ET.Element]:
+    for n in names:
+        e = [c for x in (e if isinstance(e, list) else [e]) for c in x if local(c.tag) == n]
+    return e
+
+
+def holds(e: ET.Element, attribute: bool, names: list[str], value: str) -> bool:
+    return e.get(names[0]) == value if attribute else any("".join(x.itertext()) == value for x in below(e, names))
+
+
+def read_einvoice(xml: str, known: dict[str, list]) -> dict[str, str | int]:
+    """All labels of a document in one walk over its elements. ``known`` keeps what stands at which path, for documents alike."""
+    first: dict[tuple[str, int], str] = {}
+    n = dict.fromkeys(COUNTS, 0)
+    todo = [(ET.fromstring(xml.encode()), "", ())]
+    while todo:
+        e, path, above = todo.pop()
+        path, line = f"{path}/{local(e.tag)}", (*above, e)
+        here = known.get(path)
+        if here is None:
+            names = path.split("/")[1:]
+            here = known[path] = [(name, k, tests) for name, k, rooted, steps, tests in PLACES if names[-len(steps):] == steps and (not rooted or len(names) == len(steps))]
+        for name, k, tests in here:
+            if name in n:
+                n[name] += 1
+            elif (name, k) not in first and all(holds(line[-1 - up], *test) for up, *test in tests):
+                first[name, k] = "".join(e.itertext()).strip(" ")
+        todo.extend((c, path, line) for c in reversed(e))
+    out = {name: next((t for k in range(len(ps)) if (t := first.get((name, k)))), None) for name, ps in TEXTS.items()}
+    return out | n
+
+
+READ = T.StructType([*[T.StructField(n, T.StringType()) for n in TEXTS], *[T.StructField(n, T.IntegerType()) for n in COUNTS]])
 
 
 def einvoice_labels(xml: Column) -> dict[str, Column]:
-    """Labels of an e-invoice in either syntax; null where it has none."""
-    at = lambda paths: F.coalesce(*[F.nullif(F.trim(F.xpath_string(xml, F.lit(local(p)))), F.lit("")) for p in paths])
-    day = F.coalesce(F.try_to_date(at(("//IssueDateTime/DateTimeString",)), "yyyyMMdd"), F.try_to_date(at(("/Invoice/IssueDate", "/CreditNote/IssueDate")), "yyyy-MM-dd"))
-    due = F.coalesce(F.try_to_date(at(("//DueDateDateTime/DateTimeString",)), "yyyyMMdd"), F.try_to_date(at(("/Invoice/DueDate", "//PaymentMeans/PaymentDueDate")), "yyyy-MM-dd"))
-    count = lambda *paths: F.xpath_int(xml, F.lit(" + ".join(f"count({local(p)})" for p in paths)))
+    """Labels of an e-invoice in either syntax; null where it has none, counts too where there is no document. A document is parsed once for all labels."""
+
+    @F.pandas_udf(READ)
+    def labels(texts: pd.Series) -> pd.DataFrame:
+        known: dict[str, list] = {}
+        none = dict.fromkeys(READ.fieldNames())
+        rows = pd.DataFrame([none if x is None else read_einvoice(x, known) for x in texts], columns=READ.fieldNames())
+        return rows.astype({n: "Int32" for n in COUNTS})
+
+    read = labels(xml)
+    day = lambda n: F.coalesce(F.try_to_date(read[f"{n}_cii"], "yyyyMMdd"), F.try_to_date(read[f"{n}_ubl"], "yyyy-MM-dd"))
     return {
-        **{n: at(p) for n, p in LABELS.items()}, **{n: at(p).try_cast("decimal(18,2)") for n, p in AMOUNTS.items()}, "issue_date": day, "due_date": due,
-        "n_lines": count("//IncludedSupplyChainTradeLineItem", "//InvoiceLine", "//CreditNoteLine"), "n_rates": count("//ApplicableHeaderTradeSettlement/ApplicableTradeTax", "//TaxTotal/TaxSubtotal"),
+        **{n: read[n] for n in LABELS}, **{n: read[n].try_cast("decimal(18,2)") for n in AMOUNTS}, "issue_date": day("issue"), "due_date": day("due"), **{n: read[n] for n in COUNTS},
     }
 
 

@@ -160,3 +160,21 @@ def test_invoices_of_a_small_table_are_many_tasks(spark):
     from concordat.plans import einvoices
 
     assert einvoices.invoices(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_parsed_once_and_written_once(spark):
+    from concordat.plans import einvoices
+
+    for profile in ("peppol", "factur-x-en16931"):
+        plan = einvoices.round_trip(spark, "/root/testdata/sf0.001", profile)._jdf.queryExecution().optimizedPlan().toString()
+        assert "xpath" not in plan.lower() and plan.count("ArrowEvalPython") == 1
+    row = spark.range(1).select(einvoice.el("a", einvoice.el("b", F.lit("")), einvoice.el("c", einvoice.el("d", F.lit(None).cast("string")))).text.alias("none"), einvoice.el("a", einvoice.el("b", ""), einvoice.el("c", "x", k="")).text.alias("some")).first()
+    assert row.none is None and row.some == '<a><c k="">x</c></a>'
+
+
+def test_labels_stand_where_paths_say(spark):
+    supplier = "<AccountingSupplierParty><Party><PartyTaxScheme><CompanyID>A</CompanyID><TaxScheme><ID>FC</ID></TaxScheme></PartyTaxScheme><PartyTaxScheme><CompanyID>B</CompanyID><TaxScheme><ID>VAT</ID></TaxScheme></PartyTaxScheme><PartyName><Name/></PartyName><PartyLegalEntity><RegistrationName>R</RegistrationName></PartyLegalEntity></Party></AccountingSupplierParty>"
+    xml = f"<Invoice xmlns='u'><X><Invoice><ID>no</ID></Invoice></X>{supplier}<ID> 7 </ID><ID>8</ID><InvoiceLine/><InvoiceLine/></Invoice>"
+    d = spark.createDataFrame([(0, xml), (1, None)], "k int, xml string")
+    got, none = d.select("k", *[c.alias(n) for n, c in readers.einvoice_labels(F.col("xml")).items()]).orderBy("k").collect()
+    assert (got.number, got.seller, got.seller_vat, got.n_lines, got.n_rates, got.total) == ("7", "R", "B", 2, 0, None) and set(none[1:]) == {None}
