@@ -10,36 +10,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concordat.functions.bind import let
+
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 WORD = "struct<text:string,x0:double,y0:double,x1:double,y1:double>"
-PIECES = r"(?U)\s+|\S+"
+GAP = r"(?U)\s+"
 
 
 def joined(tokens: Column, boxes: Column) -> Column:
-    """array of words from an array of texts and one of boxes, of the same length."""
-    cut = lambda t, b: F.transform(F.regexp_extract_all(t, F.lit(PIECES), F.lit(0)), lambda p: F.struct(F.rlike(p, F.lit(r"(?U)^\s")).alias("gap"), p.alias("text"), b.alias("box")))
-    pieces = F.flatten(F.zip_with(tokens, boxes, cut))
-    start = F.struct(F.array().cast(f"array<{WORD}>").alias("done"), F.lit(None).cast(WORD).alias("open"))
-    close = lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
+    """array of words from an array of texts and one of boxes, of the same length; null where a token is.
+
+    What stands between gaps is told by numbers alone: every run of a token is written as the token's number and a comma, every gap as a
+    space, so a word is the list of its tokens' numbers. Time is in proportion to the line.
+    """
+    marks = F.array_join(F.transform(tokens, lambda t, i: F.regexp_replace(F.regexp_replace(t, GAP, " "), F.lit("[^ ]+"), F.concat(i.cast("string"), F.lit(",")))), "")
+    texts, places = full(F.split(F.array_join(tokens, ""), GAP)), full(F.split(marks, " "))
+
+    def union(boxes: Column) -> Column:
+        own = lambda place: F.transform(full(F.split(place, ",")), lambda i: F.get(boxes, i.cast("int")))
+        edge = lambda f, name: lambda bs: f(F.transform(bs, lambda b: b[name])).alias(name)
+        edges = (edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"))
+        return F.zip_with(texts, places, lambda t, place: let(own(place), lambda bs: F.struct(t.alias("text"), *[e(bs) for e in edges]), WORD))
+
+    return F.when(F.forall(tokens, lambda t: t.isNotNull()), let(boxes, union, f"array<{WORD}>"))
 
-    def add(a: Column, p: Column) -> Column:
-        o, b = a["open"], p["box"]
-        edge = lambda f, n: F.when(o.isNull(), b[n]).otherwise(f(o[n], b[n])).alias(n)
-        more = F.struct(F.concat(F.coalesce(o["text"], F.lit("")), p["text"]).alias("text"), edge(F.least, "x0"), edge(F.least, "y0"), edge(F.greatest, "x1"), edge(F.greatest, "y1"))
-        return F.struct(F.when(p["gap"], close(a)).otherwise(a["done"]).alias("done"), F.when(~p["gap"], more).cast(WORD).alias("open"))
 
-    return F.aggregate(pieces, start, add, close)
+def full(texts: Column) -> Column:
+    return F.filter(texts, lambda t: t != "")
 
 
 def shared_out(text: Column, box: Column) -> Column:
-    """array of words of a line, each with its characters' share of the line's box; one character's width lies between two."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    total = F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)) + F.size(words) - 1
-    step = (box["x1"] - box["x0"]) / total
-    before = lambda i: F.aggregate(F.slice(words, 1, i), F.lit(0), lambda n, w: n + F.length(w) + 1)
-    at = lambda n: box["x0"] + step * n
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("text"), at(before(i)).alias("x0"), box["y0"].alias("y0"), at(before(i) + F.length(w)).alias("x1"), box["y1"].alias("y1")))
-    return placed.cast(f"array<{WORD}>")
+    """array of words of a line, each with its characters' share of the line's box; one character's width lies between two. What words have
+    in common is bound by ``let``: it would be found again for each of them."""
+    words = f"array<{WORD}>"
+
+    def placed(x: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.array_compact(F.transform(F.split(x["line"], ""), lambda c, i: F.when(c == " ", i + 1))))
+        at = lambda n: x["box"]["x0"] + x["step"] * n
+        word = lambda w, n: F.struct(w.alias("text"), at(n).alias("x0"), x["box"]["y0"].alias("y0"), at(n + F.length(w)).alias("x1"), x["box"]["y1"].alias("y1"))
+        return F.when(x["line"] != "", F.zip_with(x["words"], starts, word)).otherwise(F.array().cast(words))
+
+    line = lambda w: F.struct(w.alias("words"), F.array_join(w, " ").alias("line"), box.alias("box"))
+    step = lambda x: F.struct(x["words"].alias("words"), x["line"].alias("line"), x["box"].alias("box"), ((x["box"]["x1"] - x["box"]["x0"]) / F.greatest(F.length(x["line"]), F.lit(1))).alias("step"))
+    return let(full(F.split(text, GAP)), lambda w: let(line(w), lambda x: let(step(x), placed, words), words), words)
 
 
 def words_of_lines(lines: DataFrame) -> DataFrame:

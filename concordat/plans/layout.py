@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from concordat.functions import text
+from concordat.functions.bind import let
 from concordat.operators import metrics, quotes, tokens
 from concordat.session import table
 
@@ -21,7 +22,8 @@ def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxed = (F.col("line") % 3 != 2) & (n > 0)
     return d.select(
         "page", "line", "text", F.lit(0.9).alias("confidence"), box(F.lit(0), n).alias("box"),
-        F.when(boxed, F.transform(at, lambda i: F.substr("text", i * CUT + 1, F.lit(CUT)))).alias("tokens"), F.when(boxed, F.transform(at, lambda i: box(i * CUT, F.least((i + 1) * CUT, n)))).alias("token_boxes"),
+        F.when(boxed, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))).alias("tokens"),
+        F.when(boxed, let(n, lambda m: F.transform(at, lambda i: box(i * CUT, F.least((i + 1) * CUT, m))))).alias("token_boxes"),
     )
 
 
