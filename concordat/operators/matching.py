@@ -11,11 +11,15 @@ rows; sizes and adaptive execution choose between broadcast and sort-merge.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from concordat.functions import money, text
 
+#: Transactions of all cards together, among those of single cards; no card is written so.
+ANY = "\x00any"
 SHAPE = ("id", "type", "field", "expected", "actual", "difference", "severity")
 
 
@@ -158,26 +162,29 @@ def receipt_to_transactions(receipts: DataFrame, transactions: DataFrame, *, day
     date, currency, card, amount. A candidate has the currency, the card where both know one,
     a date within ``days`` and the amount within ``tolerance``, whatever its sign.
 
-    The range join is an equality join: a receipt goes to the 2 * days + 1 days around it
-    and meets transactions on (currency, day, amount in units of a bucket), so a day with very
-    many transactions is spread by amount. Of several candidates the first of the same day is
-    taken, else the first in order.
+    Receipts that agree in all of this are one cell, and so are transactions of the same day, currency, card and amount: cells
+    meet, not rows, so a day with very many transactions costs its distinct amounts within the tolerance. The range join is an
+    equality join: a cell of receipts goes to the 2 * days + 1 days around it, to the buckets of its amounts (two at most) and to
+    its own card and the unknown one; without a card it meets transactions summed over all cards. Of several candidates the
+    first of the same day is taken, else the first in order.
     """
-    width = 1  # one currency unit a bucket, far over the tolerance
-    bucket = lambda c: F.floor(F.abs(c) / width).cast("bigint")
     tol = F.lit(tolerance).cast("decimal(10,4)")
-    near = F.array_distinct(F.array(bucket(F.col("total") - tol), bucket(F.col("total")), bucket(F.col("total") + tol)))
-    r = receipts.withColumn("cur", F.upper("currency")).select(
-        "id", "date", "cur", "card", "total", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))).alias("day"), near.alias("near")
-    ).withColumn("bucket", F.explode("near"))
-    t = transactions.select("transaction_id", "ordinal", F.col("date").alias("day"), F.upper("currency").alias("cur"), F.col("card").alias("t_card"), F.col("amount"), bucket(F.col("amount")).alias("bucket"))
-    hit = r.join(t, ["cur", "day", "bucket"]).where(
-        (F.abs(F.col("total") - F.abs(F.col("amount"))) <= tol) & (F.coalesce(F.col("card"), F.lit("")).isin("") | F.coalesce(F.col("t_card"), F.lit("")).isin("") | (F.col("card") == F.col("t_card")))
-    )
-    best = hit.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by("transaction_id", F.struct((F.col("day") != F.col("date")).alias("off"), F.col("ordinal"))).alias("transaction_id"),
-    )
+    width = F.lit(str(max(2 * Decimal(tolerance), Decimal("0.01")))).cast("decimal(10,4)")
+    bucket = lambda c: F.floor(F.greatest(c, F.lit(0)) / width).cast("bigint")
+    known = lambda c: F.coalesce(F.col(c), F.lit(""))
+    total = F.col("total")
+    rows = receipts.select("id", "date", F.upper("currency").alias("cur"), known("card").alias("card"), "total").where("date is not null and cur is not null and total is not null")
+    r = rows.select("date", "cur", "card", "total").distinct().select(
+        "*", F.explode(F.sequence(F.date_sub("date", days), F.date_add("date", days))).alias("day"), F.sequence(bucket(total - tol), bucket(total + tol)).alias("near"), F.when(F.col("card") == "", F.array(F.lit(ANY))).otherwise(F.array("card", F.lit(""))).alias("cards")
+    ).withColumn("bucket", F.explode("near")).withColumn("met", F.explode("cards")).drop("near", "cards")
+    t = transactions.select(F.col("date").alias("day"), F.upper("currency").alias("cur"), known("card").alias("met"), F.abs("amount").alias("amount"), F.struct("ordinal", "transaction_id").alias("first"))
+    t = t.groupBy("day", "cur", "met", "amount").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    # A second row for all cards together; the sums over it stay as many as the amounts of a day.
+    every = t.groupBy("day", "cur", "amount").agg(F.sum("n").alias("n"), F.min("first").alias("first")).select("day", "cur", F.lit(ANY).alias("met"), "amount", "n", "first")
+    t = t.unionByName(every).withColumn("bucket", bucket(F.col("amount")))
+    hit = r.join(t, ["cur", "day", "bucket", "met"]).where(F.abs(total - F.col("amount")) <= tol)
+    cells = hit.groupBy("date", "cur", "card", "total").agg(F.sum("n").alias("n"), F.min(F.struct((F.col("day") != F.col("date")).alias("off"), "first")).alias("first"))
+    best = rows.join(cells, ["date", "cur", "card", "total"]).groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first")).select("id", "n", F.col("first.first.transaction_id").alias("transaction_id"))
     return receipts.select("id").join(best, "id", "left").select(
         "id", F.when(F.col("n").isNull(), "unmatched").otherwise("matched").alias("status"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"), "transaction_id", F.coalesce(F.col("n") > 1, F.lit(False)).alias("warning"),

@@ -190,3 +190,17 @@ def test_sources(spark, tmp_path):
     assert rows(readers.checkpoint_rows(spark, str(tmp_path / "r.jsonl"), schema)) == [("a", "ok")]
     ok, broken = readers.vendor_json(spark, str(tmp_path / "r.jsonl"), schema)
     assert ok.count() == 2 and broken.count() == 1
+
+
+def test_receipts_meet_cells_of_transactions(spark):
+    """Equal rows count without being paired, and a tolerance of several units covers all amounts within it."""
+    n = 30_000
+    day, eur, money = F.lit("2024-01-05").cast("date"), F.lit("EUR"), "decimal(18,2)"
+    receipts = spark.range(n).select("id", day.alias("date"), eur.alias("currency"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("card"), F.lit("10.00").cast(money).alias("total"))
+    bank = spark.range(n).select(
+        F.col("id").alias("transaction_id"), (-F.col("id")).alias("ordinal"), F.date_add(day, F.when(F.col("id") == n - 1, 1).otherwise(0)).alias("date"), eur.alias("currency"),
+        F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("card"), F.when(F.col("id") % 2 == 0, "-8.50").otherwise("12.51").cast(money).alias("amount"),
+    )
+    got = {(r.id % 3, r.status, r.n_candidates, r.transaction_id) for r in matching.receipt_to_transactions(receipts, bank, tolerance="2.5").collect()}
+    # Amounts of 8.50 are of even ids: cards none and 2.
+    assert got == {(0, "matched", n // 2, n - 2), (1, "matched", n // 4, n - 4), (2, "matched", n // 2, n - 2)}
