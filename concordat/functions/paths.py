@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from concordat.functions.bind import let
+
 PART = re.compile(r"([^.\[\]]+)((?:\[\d+\])*)")
 Steps = tuple[str | int, ...]
 
@@ -128,9 +130,10 @@ def from_cells(cells: DataFrame, schema: T.StructType, key: str = "doc_id", path
 
     Lists are as long as the highest place that a path names; a value that is not of its type, and what no path names, is
     null, and so is a struct of which no path names anything. Paths that the schema lacks are not read; of repeated paths
-    the least value counts. One aggregation by document, over its own cells.
+    the least value counts. Cells are dealt by document once; both aggregations, by path and by document, are over its own cells.
     """
-    once = cells.where(F.col(path).isNotNull()).groupBy(key, F.col(path).alias("__path")).agg(F.min(F.col(value).cast("string")).alias("__value"))
+    once = cells.where(F.col(path).isNotNull()).select(key, F.col(path).alias("__path"), F.col(value).cast("string").alias("__value")).repartition(key)
+    once = once.groupBy(key, "__path").agg(F.min("__value").alias("__value"))
     found = once.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__path", "__value"))).alias("__cells"))
     at = F.col("__cells")
 
@@ -138,19 +141,18 @@ def from_cells(cells: DataFrame, schema: T.StructType, key: str = "doc_id", path
         if isinstance(kind, T.StructType):
             made = F.struct(*[inner(f.dataType, F.concat(where, F.lit(f".{f.name}")), names).alias(f.name) for f in kind])
             return F.when(F.size(names) > 0, made)
-        if isinstance(kind, T.ArrayType):
-            places = F.transform(F.filter(names, lambda n: F.startswith(n, F.concat(where, F.lit("[")))), lambda n: F.regexp_extract(F.substr(n, F.length(where) + 1), r"^\[(\d+)\]", 1).try_cast("int"))
-            top = F.array_max(places)
-
-            element = lambda i: inner(kind.elementType, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")), names)
-            return F.when(top.isNotNull(), F.transform(F.sequence(F.lit(0), top), element))
-        return F.try_element_at(at, where).try_cast(kind)
+        places = F.transform(F.filter(names, lambda n: F.startswith(n, F.concat(where, F.lit("[")))), lambda n: F.regexp_extract(F.substr(n, F.length(where) + 1), r"^\[(\d+)\]", 1).try_cast("int"))
+        element = lambda i: inner(kind.elementType, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")), names)
+        return let(F.array_max(places), lambda top: F.when(top.isNotNull(), F.transform(F.sequence(F.lit(0), top), element)), kind)
 
     def inner(kind: T.DataType, where: Column, names: Column) -> Column:
-        return build(kind, where, F.filter(names, lambda n: below(n, where)))
+        """The names below a path are found once for all that is built from them, not once for each element of a list."""
+        if not isinstance(kind, (T.StructType, T.ArrayType)):
+            return F.try_element_at(at, where).try_cast(kind)
+        return let(where, lambda w: let(F.filter(names, lambda n: below(n, w)), lambda own: build(kind, w, own), kind), kind)
 
     def below(name: Column, where: Column) -> Column:
-        return (name == where) | F.startswith(name, F.concat(where, F.lit("."))) | F.startswith(name, F.concat(where, F.lit("[")))
+        return F.startswith(name, where) & F.substr(name, F.length(where) + 1, F.lit(1)).isin("", ".", "[")
 
     names = F.map_keys(at)
     return found.select(key, *[inner(f.dataType, F.lit(f.name), names).alias(f.name) for f in schema])
@@ -161,5 +163,5 @@ def cited(cells: DataFrame, key: str = "doc_id", path: str = "path") -> DataFram
 
     Of a path cited twice the first page and quote in order count; a document without citations has no row.
     """
-    one = cells.where(F.trim("quote") != "").groupBy(key, path).agg(F.min(F.struct("page", "quote")).alias("__at"))
+    one = cells.where(F.trim("quote") != "").repartition(key).groupBy(key, path).agg(F.min(F.struct("page", "quote")).alias("__at"))
     return one.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(path, "__at")))).alias("field_locations"))

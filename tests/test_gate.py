@@ -142,3 +142,12 @@ def test_faults_are_found_once_for_each_document(spark):
 
     plan = gate.schema_faults(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Filter .*size\(", plan)  # a filter inferred from the generator finds all faults again
+
+
+def test_cells_are_dealt_once(spark):
+    cells = spark.createDataFrame([(1, "a.b[1].c", "2"), (1, "a.b[10].c", "3"), (1, "a.bc", "4"), (2, "ab", "5")], "doc_id int, path string, value string")
+    kind = T.StructType().add("a", T.StructType().add("b", T.ArrayType(T.StructType().add("c", T.IntegerType()))))
+    docs = paths.from_cells(cells, kind)
+    assert docs._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + docs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.doc_id: r.a for r in docs.collect()}
+    assert got[2] is None and len(got[1].b) == 11 and [x and x.c for x in got[1].b] == [None, 2, *[None] * 8, 3]
