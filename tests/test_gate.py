@@ -151,3 +151,22 @@ def test_cells_are_dealt_once(spark):
     assert docs._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + docs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     got = {r.doc_id: r.a for r in docs.collect()}
     assert got[2] is None and len(got[1].b) == 11 and [x and x.c for x in got[1].b] == [None, 2, *[None] * 8, 3]
+
+
+def test_rounds_share_the_expressions_of_the_gate(monkeypatch):
+    class Stop(Exception):
+        pass
+
+    made, seen = [], []
+
+    def gate(docs, tree, made):
+        seen.append(made)
+        raise Stop
+
+    monkeypatch.setattr(G, "expressions", lambda tree: made.append(tree) or ("faults", "value"))
+    monkeypatch.setattr(G, "gate", gate)
+    check = revalidate.invoice_verdicts()
+    for _ in range(2):
+        with pytest.raises(Stop):
+            check(None)
+    assert made == [G.TREES["invoice"]] and seen == [("faults", "value")] * 2
