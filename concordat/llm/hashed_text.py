@@ -11,19 +11,28 @@ come from a function (texts, words) -> array of shape (rows, EXTRA).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from concordat.llm.shared import SLICE_BYTES, Rolling, Words, ranges, slices, strings, word_hashes
+from concordat.llm.shared import SLICE_BYTES, Rolling, Words, cut, give_back, ranges, slices, stored, strings, word_hashes
 
 BITS = 16
 DIM = 1 << BITS
 EXTRA = 6
 #: Text whose n-grams a task holds at once, or one longer text; a byte of it takes some hundred bytes of hashes.
 FEATURE_BYTES = 400_000
+#: Labelled rows and bytes of text that a task descends on at once; a byte takes some ten bytes of features.
+PART_ROWS = 3000
+PART_BYTES = 10_000_000
+#: A text has at most DIM features of a kind, so a longer one takes no more memory than this many bytes.
+MOST_BYTES = DIM
+LEAST_OF_LABEL = 50
+KEY_BITS = 1 << 25
+#: Features whose weights a task averages over all parts.
+BLOCK = 2048
 ALL = DIM + EXTRA
 SCALE = 20.0
 CHARS = (3, 5)
@@ -79,7 +88,7 @@ def sparse(texts: pa.Array, extra=None) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Sample:
-    """Sparse rows of a bounded sample on the driver: x @ w and x.T @ c, a million values at a time."""
+    """Sparse rows of one part of a table: x @ w and x.T @ c, a million values at a time."""
 
     STEP = 1_000_000
 
@@ -117,36 +126,100 @@ class Sample:
         return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, label: str, most: int, seed: int, extra=None) -> Sample:
-    """Features of at most ``most`` labelled rows, half of them of each label, in a seeded order of ids.
+def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is none of ``ids``, so that a join moves few texts that it drops.
 
-    The ids are drawn from all labels; each row carries the number of labelled rows it stands
-    for, so the bound distorts neither label's weight. A label that is null counts as none; of
-    a repeated id the smaller label holds. Only the drawn rows' features reach the driver.
+    A key is a bit of ``KEY_BITS``, by hash; the bits set are a table of at most ``KEY_BITS`` / 64 rows, whatever the size of ``ids``.
     """
+    h = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    bits = ids.select(h.alias("__hash")).groupBy(F.shiftright("__hash", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__hash % 64 as int)))").alias("__bits"))
+    return rows.join(F.broadcast(bits), (F.shiftright(h, 6) == F.col("__word")) & (F.getbit("__bits", (h % 64).cast("int")) == 1)).drop("__word", "__bits")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, label: str, seed: int) -> DataFrame:
+    """id, y, text and left_out of every labelled row, as files under the shared folder; ``discard`` deletes them.
+
+    A label that is null counts as none; of a repeated id the smaller label holds, and of rows that repeat it the smallest
+    text. ``left_out`` is a quarter of the ids by their hash, for what is set on rows that the descent does not see.
+    """
+    spark = docs.sparkSession
     l = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and __id is not null")
     l = l.groupBy("__id").agg(F.min("y").alias("y"))
-    count = {r["y"]: r["n"] for r in l.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64(F.lit(seed), F.col("__id").cast("string"))
-    draws = [l.where(f"y = {y}").orderBy(order, "__id").limit(most // 2) for y in (0, 1)]
-    drawn = draws[0].unionByName(draws[1])
-    two = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("text"))
-    two = two.join(F.broadcast(drawn), "__id").select("__id", "y", "text")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    two = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if two.schema["__id"].dataType == l.schema["__id"].dataType:
+        two = likely(two, l, "__id")
+    # A number of partitions of its own, as a small shuffle that Spark joins together is one task.
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    one = two.join(l, "__id").repartition(tasks, "__id").groupBy("__id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
+    return stored(one.select(F.col("__id").cast("string").alias("id"), "y", "text", (F.pmod(F.xxhash64(F.lit(seed), F.col("__id").cast("string")), F.lit(4)) == 3).alias("left_out")))
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Rows to descend on and rows left out, each all rows where one of them lacks a label; None where all lack one."""
+    have = {(r["left_out"], r["y"]) for r in rows.select("left_out", "y").distinct().collect()}
+    if len({y for _, y in have}) < 2:
+        return None
+    return (rows.where("not left_out"), rows.where("left_out")) if len(have) == 4 else (rows, rows)
+
+
+def learnt(rows: DataFrame, learn: Callable[[Sample], tuple[np.ndarray, float]], *, extra=None, part_rows: int = PART_ROWS, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias from every one of ``rows`` (id, y, text; both labels): ``learn`` descends on each part of them, and the parts are averaged.
+
+    Rows are dealt by a hash of their id to as many parts as ``part_rows`` rows and ``PART_BYTES`` of text ask for, so the
+    result does not depend on the cluster and a part's memory not on the table. Where a label is rare, its rows go to
+    several parts, all equally often, so that each part has about ``LEAST_OF_LABEL`` of them, or all. A feature's weight
+    is averaged over the parts by the number of their rows that hold it: parts that never saw it do not shrink it.
+    The sums are those of Spark tasks, one for each block of features.
+    """
+    size = F.least(F.octet_length("text"), F.lit(MOST_BYTES)).cast("long")
+    count = {r["y"]: r for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()}
+    parts = max(1, *(-(-sum(r[k] for r in count.values()) // most) for k, most in (("n", part_rows), ("bytes", PART_BYTES))))
+    times = {y: min(parts, -(-parts * LEAST_OF_LABEL // r["n"])) for y, r in count.items()}
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col("y") == 0, times[0]).otherwise(times[1]) - 1))
+    home = F.xxhash64(F.lit(seed + 1), "id")  # not the hash that leaves rows out
+    dealt = rows.select("id", "y", "text", each.alias("k")).select(F.pmod(home + F.col("k"), F.lit(parts)).cast("int").alias("part"), "id", "y", "text")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, got = None, []
         for b in slices(batches, "text", FEATURE_BYTES):
-            rows = sparse(strings(b, "text"), extra)
+            part = b.column(0)[0].as_py()
+            got += [{"f": f.tobytes(), "v": v.tobytes(), "y": y, "weight": 1.0} for (f, v), y in zip(sparse(strings(b, "text"), extra), b.column(1).to_pylist(), strict=True)]
+        if not got:
+            return
+        sample = Sample(got)
+        got.clear()
+        w, bias = learn(sample)
+        n = np.bincount(sample.f, minlength=ALL)
+        for k, at in enumerate(range(0, ALL + 1, BLOCK)):
+            own = slice(at, at + BLOCK)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.string()), b.column(1), pa.array([f.tobytes() for f, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
-                ["id", "y", "f", "v"],
+                [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([np.append(w, bias)[own].tobytes()], pa.binary()), pa.array([np.append(n, sample.n)[own].astype(float).tobytes()], pa.binary())],
+                ["block", "part", "w", "n"],
             )
+        give_back()
+
+    def mean(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        total = seen = 0.0
+        for w, n in zip(t["w"], t["n"], strict=True):
+            w, n = np.frombuffer(w.as_buffer()), np.frombuffer(n.as_buffer())
+            total, seen = total + w * n, seen + n
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([(total / np.maximum(seen, 1)).tobytes()], pa.binary())})
+
+    done = dealt.repartitionById(parts, "part").sortWithinPartitions("id").select("part", "y", "text").mapInArrow(fit, "block int, part int, w binary, n binary")
+    blocks = sorted(done.groupBy("block").applyInArrow(mean, "block int, w binary").collect(), key=lambda r: r["block"])
+    w = np.concatenate([np.frombuffer(r["w"]) for r in blocks])
+    return w[:ALL], float(w[ALL])
+
+
+def scored(rows: DataFrame, w: np.ndarray, b: float, *, extra=None) -> DataFrame:
+    """score, bad and good: of rows (y, text), how many of each label have a score."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches_of(batches, most=FEATURE_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(texts, w, b, extra=extra))], ["y", "score"])
 
-    got = two.mapInArrow(extract, "id string, y int, f binary, v binary").toArrow()
-    ids, y = got["id"].to_pylist(), got["y"].to_pylist()
-    rows = sorted({i: k for k, i in enumerate(ids)}.values(), key=lambda k: ids[k])  # rows that repeat an id count once
-    have = {v: sum(y[k] == v for k in rows) for v in (0, 1)}
-    f, v = got["f"].combine_chunks(), got["v"].combine_chunks()
-    return Sample([{"f": f[k].as_buffer(), "v": v[k].as_buffer(), "y": y[k], "weight": count[y[k]] / have[y[k]]} for k in rows])
+    each = rows.select("y", "text").mapInArrow(score, "y int, score double")
+    return cut(each.groupBy("score").agg(F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good")))
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -173,4 +246,4 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-__all__ = ["ALL", "DIM", "EXTRA", "FEATURE_BYTES", "Sample", "batches_of", "descend", "features", "labelled", "ranges", "scores", "sigmoid", "sparse"]
+__all__ = ["ALL", "DIM", "EXTRA", "FEATURE_BYTES", "PART_ROWS", "Sample", "batches_of", "descend", "features", "labelled", "learnt", "ranges", "scored", "scores", "sigmoid", "sparse", "split"]

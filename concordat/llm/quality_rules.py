@@ -2,9 +2,10 @@
 
 The counts come from whole texts, exactly: words and lines are compared as strings, by
 their numbers in a dictionary of the slice. The classifier is a logistic regression over
-hashed word and character n-grams, fitted on at most ``FIT_ROWS`` labelled rows (half of
-each label), of which every fourth is held out to calibrate its probabilities (Platt's two
-parameters, weighted back to the frequencies of the labels). Scoring runs in Arrow batches
+hashed word and character n-grams, fitted on all labelled rows: tasks descend on parts of
+them, in which each label weighs half, and the parts' weights are averaged. A quarter of the
+rows is left out to calibrate the probabilities, all of it (Platt's two parameters, at the
+labels' own frequencies). Scoring runs in Arrow batches
 with the fitted weights, a constant 256 KB.
 
 Nulls: a null text is empty, has no words and fails the base rules; a null id passes
@@ -25,10 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from concordat.llm.hashed_text import ALL, FEATURE_BYTES, Sample, batches_of, descend, labelled, scores, sigmoid
-from concordat.llm.shared import Words
+from concordat.llm.hashed_text import ALL, FEATURE_BYTES, PART_ROWS, Sample, batches_of, descend, labelled, learnt, scored, scores, sigmoid, split
+from concordat.llm.shared import Words, discard
 
-FIT_ROWS = 3000
 STEPS = 60
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -73,46 +73,60 @@ def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < LEAST_WORDS) | (100 * n_repeat_words > REPEAT_PERCENT * n_words)
 
 
-def fit(sample: Sample) -> tuple[np.ndarray, float, float, float]:
-    """Weights and bias of the regression, slope and offset of the calibration."""
-    if len(np.unique(sample.y)) < 2:
-        return np.zeros(ALL), 30.0, 1.0, 0.0
-    held = np.arange(sample.n) % 4 == 3
-    if len(np.unique(sample.y[held])) < 2 or len(np.unique(sample.y[~held])) < 2:
-        held[:] = False
-    use = (~held) / (~held).sum()
+def learn(sample: Sample) -> tuple[np.ndarray, float]:
+    """Weights and bias of the regression on one part; each label weighs half."""
+    use = np.where(sample.y == 1, 0.5 / max((sample.y == 1).sum(), 1), 0.5 / max((sample.y == 0).sum(), 1))
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         c = (sigmoid(sample.dot(w) + b) - sample.y) * use
         return sample.back(c), c.sum()
 
-    w, b = descend(gradient, STEPS)
-    # Platt: p = sigmoid(slope * margin + offset) on the rows held out, at the labels' own frequencies.
-    at = held if held.any() else ~held
-    z, y, weight = (sample.dot(w) + b)[at], sample.y[at], sample.weight[at] / sample.weight[at].sum()
+    return descend(gradient, STEPS)
+
+
+def platt(found: DataFrame) -> tuple[float, float]:
+    """Slope and offset of p = sigmoid(slope * margin + offset), by Newton's method over all margins with their counts (score, bad, good)."""
+    z, bad, good = F.col("score"), F.col("bad"), F.col("good")
+    neg, pos = found.agg(F.sum(bad), F.sum(good)).first()
     # Targets a little inside 0 and 1, as many rows as there are of each label would suggest.
-    pos, neg = y.sum(), len(y) - y.sum()
-    goal = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    high, low = (pos + 1) / (pos + 2), 1 / (neg + 2)
     slope, offset = 1.0, 0.0
-    for _ in range(50):  # Newton's method
-        p = sigmoid(slope * z + offset)
-        g, h = weight * (p - goal), weight * p * (1 - p)
-        hess = np.array([[np.sum(h * z * z) + 1e-6, np.sum(h * z)], [np.sum(h * z), np.sum(h) + 1e-6]])
-        step = np.linalg.solve(hess, [np.sum(g * z) + 1e-6 * slope, np.sum(g) + 1e-6 * offset])
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-(slope * z + offset)))
+        g, h = good * (p - high) + bad * (p - low), (good + bad) * p * (1 - p)
+        # Decimals add up to the same whatever the order.
+        gz, g1, hzz, hz, h1 = (float(x) / (pos + neg) for x in found.agg(*[F.sum(e.cast("decimal(38,18)")) for e in (g * z, g, h * z * z, h * z, h)]).first())
+        hess = np.array([[hzz + 1e-6, hz], [hz, h1 + 1e-6]])
+        step = np.linalg.solve(hess, [gz + 1e-6 * slope, g1 + 1e-6 * offset])
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         slope, offset = slope - step[0], offset - step[1]
-    return w, b, float(slope), float(offset)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(slope), float(offset)
+
+
+def trained(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, label: str, part_rows: int, seed: int) -> tuple[np.ndarray, float, float, float]:
+    """Weights and bias of the regression, slope and offset of the calibration."""
+    rows = labelled(docs, labels, text=text, doc_id=doc_id, label=label, seed=seed)
+    two = split(rows)
+    if two is None:
+        out = np.zeros(ALL), 30.0, 1.0, 0.0
+    else:
+        w, b = learnt(two[0], learn, part_rows=part_rows, seed=seed)
+        out = w, b, *platt(scored(two[1], w.astype(np.float32), b))
+    discard(rows)
+    return out
 
 
 def judge(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
-    most: int = FIT_ROWS, threshold: float = THRESHOLD, seed: int = 5, carry: bool = False,
+    part_rows: int = PART_ROWS, threshold: float = THRESHOLD, seed: int = 5, carry: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_quality.
 
     With ``carry``, all columns of ``docs`` in place of doc_id, so that a filter needs no join back.
     """
-    w, b, slope, offset = fit(labelled(docs, labels, text=text, doc_id=doc_id, label=label, most=most, seed=seed))
+    w, b, slope, offset = trained(docs, labels, text=text, doc_id=doc_id, label=label, part_rows=part_rows, seed=seed)
     w, read = w.astype(np.float32), text if carry else "__text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
