@@ -8,14 +8,23 @@ a mutation counts as caught by what they find beyond what they find in the docum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from concordat.functions import dates, text
+from concordat.functions.bind import let
 from concordat.operators import citations, validation
 
 MONEY = "decimal(18,2)"
 #: A plausible name that no page prints.
 OTHER_PARTY = "Northgate Supplies Ltd"
-FIELDS = ("invoice_number", "issue_date", "seller.name", "subtotal", "tax_amount", "total_amount")
+AMOUNTS = ("subtotal", "tax_amount", "total_amount")
+FIELDS = ("invoice_number", "issue_date", "seller.name", *AMOUNTS)
+#: The column of each cited field.
+FIELD_COLUMNS = {"invoice_number": "number", "issue_date": "issue_date", "seller.name": "seller"} | {c: c for c in AMOUNTS}
 
 
 def turned(s: Column, at: Column, by: int, never_zero: bool = False) -> Column:
@@ -25,20 +34,15 @@ def turned(s: Column, at: Column, by: int, never_zero: bool = False) -> Column:
     return F.concat(F.substr(s, F.lit(1), at - 1), digit.cast("string"), F.substr(s, at + 1))
 
 
-def mutated(docs: DataFrame) -> DataFrame:
-    """``docs`` once as they are (kind ``none``) and once for each kind of error that applies.
-
-    docs: doc_id, number, issue_date, seller, iban, subtotal, tax_amount, total_amount, quotes (map of field to quote) and
-    any other columns, which stay.
-    """
+def errors() -> dict[str, tuple[Column, dict[str, Column]]]:
+    """By kind: where it applies, and the columns that it changes."""
     number, day, iban, total = F.col("number"), F.col("issue_date"), F.regexp_replace("iban", " ", ""), F.col("total_amount").cast(MONEY)
     sub, tax = F.col("subtotal").cast(MONEY), F.col("tax_amount").cast(MONEY)
     printed = total.cast("string")
     swap = F.make_date(F.year(day), F.dayofmonth(day), F.month(day))
     last = F.length(number) - F.length(F.regexp_extract(number, r"[0-9]([^0-9]*)$", 1))
     invented = (total + 41).cast(MONEY)
-    kinds: dict[str, tuple[Column, dict[str, Column]]] = {
-        "none": (F.lit(True), {}),
+    return {
         "digit_in_total": (printed.rlike("[1-9]"), {"total_amount": turned(printed, F.regexp_instr(printed, F.lit("[1-9]")), 3, never_zero=True).cast(MONEY)}),
         "consistent_inflation": (sub.isNotNull() & total.isNotNull(), {"subtotal": (sub + 100).cast(MONEY), "total_amount": (total + 100).cast(MONEY)}),
         "tax_off": (sub.isNotNull() & tax.isNotNull() & total.isNotNull(), {"tax_amount": (tax + F.lit("7.50").cast(MONEY)).cast(MONEY)}),
@@ -48,11 +52,25 @@ def mutated(docs: DataFrame) -> DataFrame:
         "wrong_party": (F.col("seller").isNotNull(), {"seller": F.lit(OTHER_PARTY)}),
         "broken_iban": (F.length(iban) > 10, {"iban": F.when(iban.rlike("[0-9]$"), turned(iban, F.length(iban), 1)).otherwise(F.concat(F.substr(iban, F.lit(1), F.length(iban) - 1), F.lit("0")))}),
     }
+
+
+def planted(docs: DataFrame, kinds: dict[str, tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """``docs`` once for each kind that applies, which ``__m`` holds with the changed columns."""
     changed = sorted({c for _, new in kinds.values() for c in new})
     kind_of = {c: docs.schema[c].dataType for c in changed}
     rows = [F.when(applies, F.struct(F.lit(k).alias("kind"), *[new.get(c, F.col(c)).cast(kind_of[c]).alias(c) for c in changed])) for k, (applies, new) in kinds.items()]
-    kept = [c for c in docs.columns if c not in changed]
-    return docs.select(*kept, F.explode_outer(F.array(*rows)).alias("__m")).where("__m is not null").select(*kept, "__m.*")
+    # An array of its own column is compiled; inside the generator Spark would interpret it.
+    return docs.select("*", F.array(*rows).alias("__rows")).select(*docs.columns, F.explode_outer("__rows").alias("__m")).where("__m is not null")
+
+
+def mutated(docs: DataFrame) -> DataFrame:
+    """``docs`` once as they are (kind ``none``) and once for each kind of error that applies.
+
+    docs: doc_id, number, issue_date, seller, iban, subtotal, tax_amount, total_amount, quotes (map of field to quote) and
+    any other columns, which stay.
+    """
+    m = planted(docs, {"none": (F.lit(True), {})} | errors())
+    return m.select(*[c for c in docs.columns if c not in m.schema["__m"].dataType.names], "__m.*")
 
 
 def findings(docs: DataFrame, context: validation.Context = validation.Context()) -> DataFrame:
@@ -69,12 +87,65 @@ def findings(docs: DataFrame, context: validation.Context = validation.Context()
     return out
 
 
+def reads(docs: DataFrame, column: Column, names: list[str]) -> set[str]:
+    """Those of the columns ``names`` that ``column`` is made of."""
+    found = docs.select(column)._jdf.queryExecution().analyzed().references().iterator()
+    out = set()
+    while found.hasNext():
+        out.add(found.next().name())
+    return out & set(names)
+
+
+def cell_rules(value: dict[str, Column], quotes: Column, page: Column, order: Column) -> dict[str, dict[str, Column]]:
+    """By rule of cited values and by field: whether the field's citation breaks it. ``page``: the page's text as ``text.collapse`` has it, ``order``: its order of day and month."""
+    quote, there = (lambda f: quotes[f]), (lambda f: citations.has_quote(quotes[f]))
+    amount = lambda f: value[f].try_cast(MONEY)
+    day, key = value["issue_date"].try_cast("date"), text.alnum_key(value["invoice_number"])
+    names = F.struct(text.core_name(value["seller.name"]).alias("core"), text.normalize(quote("seller.name")).alias("said"))
+    other_name = let(names, lambda n: (n["core"] != "") & ~F.contains(n["said"], n["core"]) & ~text.few_misread(n["core"], F.split(n["said"], " ")), "boolean")
+    return {
+        "quote_on_page": {f: value[f].isNotNull() & there(f) & page.isNotNull() & citations.off_page(quote(f), page) for f in FIELDS},
+        "number_printed": {f: there(f) & amount(f).isNotNull() & ~validation.grounded(quote(f), amount(f)) for f in AMOUNTS},
+        "date_printed": {"issue_date": there("issue_date") & day.isNotNull() & citations.other_day(day, quote("issue_date"), order)},
+        "identifier_printed": {"invoice_number": (F.trim(value["invoice_number"]) != "") & citations.other_identifier(key, quote("invoice_number"))},
+        "name_printed": {"seller.name": there("seller.name") & (F.trim(value["seller.name"]) != "") & other_name},
+    }
+
+
 def caught(docs: DataFrame, context: validation.Context = validation.Context()) -> DataFrame:
-    """(doc_id, mutation, caught, rules) of every mutation: whether the rules find more than in the document as it is, and which do."""
-    m = mutated(docs).withColumn("doc_id", F.struct("doc_id", "kind")).drop("kind")
-    found = findings(m, context).groupBy(F.col("doc_id.doc_id").alias("doc"), F.col("doc_id.kind").alias("kind")).agg(F.collect_set(F.struct("rule", "field")).alias("found"))
-    clean = found.where("kind = 'none'").select("doc", F.col("found").alias("before"))
-    none = F.array().cast(found.schema["found"].dataType)
-    x = m.select(F.col("doc_id.doc_id").alias("doc"), F.col("doc_id.kind").alias("kind")).where("kind <> 'none'").join(found, ["doc", "kind"], "left").join(clean, "doc", "left")
-    new = F.array_except(F.coalesce("found", none), F.coalesce("before", none))
-    return x.select(F.col("doc").alias("doc_id"), F.col("kind").alias("mutation"), (F.size(new) > 0).alias("caught"), F.array_sort(F.array_distinct(F.transform(new, lambda n: n["rule"]))).alias("rules"))
+    """(doc_id, mutation, caught, rules) of every mutation: whether the rules find more than in the document as it is, and which do.
+
+    One pass without a shuffle: a document is judged once as it is and once for each kind, then only by the rules that read what the
+    kind changes, as no other rule can find more.
+    """
+    kinds = errors()
+    changed = sorted({c for _, new in kinds.values() for c in new})
+    if validation.TABLE_RULES.get("invoice") or any(reads(docs, elements(), changed) for elements, _ in validation.ELEMENT_RULES.get("invoice", [])):
+        raise ValueError("mutations are judged by row: no rule of whole tables, and none of elements that a mutation changes")
+    # No lambda around the rules: Spark compiles what no lambda holds.
+    empty = F.array().cast("array<string>")
+    own = {r.name: F.coalesce(r.run(context)["field"], empty) for r in validation.RULES["invoice"]}
+    by = {n: reads(docs, c, changed) for n, c in own.items()}
+    own = {n: c for n, c in own.items() if by[n]}
+
+    def value(at: Callable[[str], Column]) -> dict[str, Column]:
+        return {f: at(c).cast("string") for f, c in FIELD_COLUMNS.items()}
+
+    x = docs.select(*docs.columns, text.collapse(F.col("page_text")).alias("__page"), dates.convention_from_dates(F.coalesce("page_text", F.lit(""))).alias("__order"))
+    x = planted(x.withColumn("__before", F.struct(*[c.alias(n) for n, c in own.items()])), kinds)
+    x = x.select(*[c for c in docs.columns if c not in changed], "__page", "__order", "__before", *[F.col(c).alias(f"__was_{c}") for c in changed], "__m.*")
+    was, now = (cell_rules(value(lambda c, p=p: F.col(p + c)), F.col(f"{p}quotes"), F.col("__page"), F.col("__order")) for p in ("__was_", ""))
+
+    def where(names: set[str], finds: Column) -> Column:
+        """``finds`` for the kinds that change one of the columns, else false."""
+        touched = [k for k, (_, new) in kinds.items() if names & set(new)]
+        return F.when(F.col("kind").isin(*touched), F.coalesce(finds, F.lit(False))).otherwise(False)
+
+    more = {n: [where(by[n], F.size(F.array_except(c, F.col("__before")[n])) > 0)] for n, c in own.items()}
+    for n, of in now.items():
+        for f, finds in of.items():
+            same = F.col(FIELD_COLUMNS[f]).eqNullSafe(F.col(f"__was_{FIELD_COLUMNS[f]}")) & F.col("quotes")[f].eqNullSafe(F.col("__was_quotes")[f])
+            names = {"quotes"} if n == "quote_on_page" else {FIELD_COLUMNS[f], "quotes"}
+            more.setdefault(n, []).append(where(names, ~same & F.coalesce(finds, F.lit(False)) & ~F.coalesce(was[n][f], F.lit(False))))
+    told = F.concat(empty, *[F.when(reduce(or_, more[n]), F.array(F.lit(n))).otherwise(empty) for n in sorted(more)])
+    return x.select("doc_id", F.col("kind").alias("mutation"), told.alias("rules")).select("doc_id", "mutation", (F.size("rules") > 0).alias("caught"), "rules")
