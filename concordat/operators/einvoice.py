@@ -118,9 +118,20 @@ class Xml(NamedTuple):
     sure: bool = False
 
 
+class Plain(NamedTuple):
+    """A value whose text has no sign of markup: a number, a date, a code."""
+
+    value: Column
+
+
 def content(text: Column) -> Column:
-    """Null for an empty text. The text stands in the expression once, as elements nest deep."""
-    return F.get(F.filter(F.array(text), lambda s: s != ""), F.lit(0))
+    """Null for an empty text. The text stands in the expression once, as elements nest deep, and in no lambda, as Spark compiles what none holds."""
+    return F.get(F.array_remove(F.array(text), ""), F.lit(0))
+
+
+def written(value: object) -> Column:
+    """The text of a column, a literal or a ``Plain``."""
+    return value.value.cast("string") if isinstance(value, Plain) else escaped(value if isinstance(value, Column) else F.lit(value))
 
 
 def el(name: str, *inside: object, **attributes: object) -> Xml:
@@ -128,11 +139,11 @@ def el(name: str, *inside: object, **attributes: object) -> Xml:
     if inside and all(isinstance(p, Xml) for p in inside):
         sure, body = any(p.sure for p in inside), F.concat_ws("", *[p.text for p in inside])
     else:
-        sure, body = isinstance(inside[0], str) and inside[0] != "", escaped(inside[0] if isinstance(inside[0], Column) else F.lit(inside[0]))
+        sure, body = isinstance(inside[0], str) and inside[0] != "", written(inside[0])
     body = body if sure else content(body)
     tag = [F.lit(f"<{name}")]
     for a, value in attributes.items():
-        tag += [F.lit(f' {a}="'), F.coalesce(escaped(value if isinstance(value, Column) else F.lit(value)), F.lit("")), F.lit('"')]
+        tag += [F.lit(f' {a}="'), F.coalesce(written(value), F.lit("")), F.lit('"')]
     return Xml(F.concat(*tag, F.lit(">"), body, F.lit(f"</{name}>")), sure)
 
 
@@ -163,12 +174,12 @@ def document(root: str, spaces: dict[str, str], *parts: Xml) -> Column:
     return F.concat_ws("", F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{root}{names}>'), *[p.text for p in parts], F.lit(f"</{root}>"))
 
 
-def ubl(t: Column, profile: Profile, *, credit_note: bool = False) -> Column:
-    """The terms in the order of the UBL schema."""
+def ubl(t: Column, profile: Profile, currency: Plain, *, credit_note: bool = False) -> Column:
+    """The terms in the order of the UBL schema. ``currency``: that of the terms as it is written."""
     a, b = (lambda n, *x: el(f"cac:{n}", *x)), (lambda n, x, **at: el(f"cbc:{n}", x, **at))
-    money_ = lambda n, x: b(n, x, currencyID=t["currency"])
+    money_ = lambda n, x: b(n, Plain(x), currencyID=currency)
     scheme = lambda s: a("TaxScheme", b("ID", s))
-    category = lambda n, g: a(n, b("ID", g["category"]), b("Percent", g["rate"]), scheme("VAT"))
+    category = lambda n, g: a(n, b("ID", Plain(g["category"])), b("Percent", Plain(g["rate"])), scheme("VAT"))
 
     def side(role: str, p: Column, seller: bool) -> Xml:
         d = p["address"]
@@ -185,7 +196,7 @@ def ubl(t: Column, profile: Profile, *, credit_note: bool = False) -> Column:
     extra = lambda amount, flag, why: only(amount != 0, a("AllowanceCharge", b("ChargeIndicator", flag), b("AllowanceChargeReason", why), money_("Amount", amount), category("TaxCategory", first)))
     kind = "CreditNote" if credit_note else "Invoice"
     line = lambda l: a(
-        f"{kind}Line", b("ID", l["id"]), b("CreditedQuantity" if credit_note else "InvoicedQuantity", plain(l["quantity"]), unitCode=l["unit"]), money_("LineExtensionAmount", l["net"]),
+        f"{kind}Line", b("ID", Plain(l["id"])), b("CreditedQuantity" if credit_note else "InvoicedQuantity", Plain(plain(l["quantity"])), unitCode=Plain(l["unit"])), money_("LineExtensionAmount", l["net"]),
         a("Item", b("Name", l["name"]), a("SellersItemIdentification", b("ID", l["item_id"])), category("ClassifiedTaxCategory", l)), a("Price", money_("PriceAmount", l["price"])),
     )
     due = b("DueDate", t["due_date"])
@@ -203,15 +214,15 @@ def ubl(t: Column, profile: Profile, *, credit_note: bool = False) -> Column:
     )
 
 
-def cii(t: Column, profile: Profile) -> Column:
-    """The terms in the order of the cross-industry schema; the basic profile has no item ids, contacts and BIC."""
+def cii(t: Column, profile: Profile, currency: Plain) -> Column:
+    """The terms in the order of the cross-industry schema, with the currency as it is written; the basic profile has no item ids, contacts and BIC."""
     r = lambda n, *x, **at: el(f"ram:{n}", *x, **at)
     day = lambda n, d: only(d.isNotNull(), r(n, el("udt:DateTimeString", F.date_format(d, "yyyyMMdd"), format="102")))
     full = lambda *x: [] if profile.basic else list(x)
 
     def tax(n: str, g: Column, *, amounts: bool = False) -> Xml:
-        before, basis = ([r("CalculatedAmount", g["tax"])], [r("BasisAmount", g["taxable"])]) if amounts else ([], [])
-        return r(n, *before, r("TypeCode", "VAT"), *basis, r("CategoryCode", g["category"]), r("RateApplicablePercent", g["rate"]))
+        before, basis = ([r("CalculatedAmount", Plain(g["tax"]))], [r("BasisAmount", Plain(g["taxable"]))]) if amounts else ([], [])
+        return r(n, *before, r("TypeCode", "VAT"), *basis, r("CategoryCode", Plain(g["category"])), r("RateApplicablePercent", Plain(g["rate"])))
 
     def side(role: str, p: Column, seller: bool) -> Xml:
         d = p["address"]
@@ -226,9 +237,9 @@ def cii(t: Column, profile: Profile) -> Column:
         )
 
     line = lambda l: r(
-        "IncludedSupplyChainTradeLineItem", r("AssociatedDocumentLineDocument", r("LineID", l["id"])), r("SpecifiedTradeProduct", *full(r("SellerAssignedID", l["item_id"])), r("Name", l["name"])),
-        r("SpecifiedLineTradeAgreement", r("NetPriceProductTradePrice", r("ChargeAmount", l["price"]))), r("SpecifiedLineTradeDelivery", r("BilledQuantity", plain(l["quantity"]), unitCode=l["unit"])),
-        r("SpecifiedLineTradeSettlement", tax("ApplicableTradeTax", l), r("SpecifiedTradeSettlementLineMonetarySummation", r("LineTotalAmount", l["net"]))),
+        "IncludedSupplyChainTradeLineItem", r("AssociatedDocumentLineDocument", r("LineID", Plain(l["id"]))), r("SpecifiedTradeProduct", *full(r("SellerAssignedID", l["item_id"])), r("Name", l["name"])),
+        r("SpecifiedLineTradeAgreement", r("NetPriceProductTradePrice", r("ChargeAmount", Plain(l["price"])))), r("SpecifiedLineTradeDelivery", r("BilledQuantity", Plain(plain(l["quantity"])), unitCode=Plain(l["unit"]))),
+        r("SpecifiedLineTradeSettlement", tax("ApplicableTradeTax", l), r("SpecifiedTradeSettlementLineMonetarySummation", r("LineTotalAmount", Plain(l["net"])))),
     )
     first = F.get(t["groups"], F.lit(0))
     extra = lambda amount, flag, why: only(amount != 0, r("SpecifiedTradeAllowanceCharge", r("ChargeIndicator", el("udt:Indicator", flag)), r("ActualAmount", amount), r("Reason", why), tax("CategoryTradeTax", first)))
@@ -247,7 +258,7 @@ def cii(t: Column, profile: Profile) -> Column:
                 each(t["groups"], lambda g: tax("ApplicableTradeTax", g, amounts=True)), extra(t["allowance"], "false", "Discount"), extra(t["charge"], "true", "Shipping"),
                 r("SpecifiedTradePaymentTerms", r("Description", t["payment_terms"]), day("DueDateDateTime", t["due_date"])),
                 r("SpecifiedTradeSettlementHeaderMonetarySummation", r("LineTotalAmount", t["line_total"]), only(t["charge"] != 0, r("ChargeTotalAmount", t["charge"])), only(t["allowance"] != 0, r("AllowanceTotalAmount", t["allowance"])),
-                  r("TaxBasisTotalAmount", t["tax_exclusive"]), r("TaxTotalAmount", t["tax_total"], currencyID=t["currency"]), r("GrandTotalAmount", t["tax_inclusive"]), r("DuePayableAmount", t["payable"])),
+                  r("TaxBasisTotalAmount", t["tax_exclusive"]), r("TaxTotalAmount", Plain(t["tax_total"]), currencyID=currency), r("GrandTotalAmount", t["tax_inclusive"]), r("DuePayableAmount", t["payable"])),
                 r("InvoiceReferencedDocument", r("IssuerAssignedID", t["preceding_invoice"])),
             ),
         ),
@@ -259,5 +270,6 @@ def render(docs: DataFrame, profile: str, *, credit_note: bool = False) -> DataF
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; there are {', '.join(PROFILES)}")
     p, t = PROFILES[profile], F.col("terms")
-    text = ubl(t, p, credit_note=credit_note) if p.syntax == "ubl" else cii(t, p)
-    return docs.withColumn("xml", F.when(t.isNotNull(), text))
+    currency = Plain(F.col("__currency"))  # each amount of a line names it: written once a document
+    text = ubl(t, p, currency, credit_note=credit_note) if p.syntax == "ubl" else cii(t, p, currency)
+    return docs.withColumn("__currency", escaped(t["currency"])).withColumn("xml", F.when(t.isNotNull(), text)).drop("__currency")

@@ -123,28 +123,53 @@ def holds(e: ET.Element, attribute: bool, names: list[str], value: str) -> bool:
     return e.get(names[0]) == value if attribute else any("".join(x.itertext()) == value for x in below(e, names))
 
 
-def read_einvoice(xml: str, known: dict[str, list]) -> dict[str, str | int]:
-    """All labels of a document in one walk over its elements. ``known`` keeps what stands at which path, for documents alike."""
+class Place:
+    """What stands at a path, and the places below it as documents show them."""
+
+    __slots__ = ("names", "here", "below")
+
+    def __init__(self, names: tuple[str, ...]) -> None:
+        self.names, self.below = names, {}
+        self.here = [(name, k, tests) for name, k, rooted, steps, tests in PLACES if names and names[-len(steps):] == tuple(steps) and (not rooted or len(names) == len(steps))]
+
+    def at(self, tag: str) -> Place:
+        found = self.below.get(tag)
+        if found is None:
+            found = self.below[tag] = Place((*self.names, local(tag)))
+        return found
+
+
+def read_einvoice(xml: str, known: Place) -> dict[str, str | int]:
+    """All labels of a document in one walk over its elements. ``known``, the place above all roots, keeps what stands where, for documents alike."""
     first: dict[tuple[str, int], str] = {}
     n = dict.fromkeys(COUNTS, 0)
-    todo = [(ET.fromstring(xml.encode()), "", ())]
+    root = ET.fromstring(xml.encode())
+    todo = [(root, known.at(root.tag), None)]
     while todo:
-        e, path, above = todo.pop()
-        path, line = f"{path}/{local(e.tag)}", (*above, e)
-        here = known.get(path)
-        if here is None:
-            names = path.split("/")[1:]
-            here = known[path] = [(name, k, tests) for name, k, rooted, steps, tests in PLACES if names[-len(steps):] == steps and (not rooted or len(names) == len(steps))]
-        for name, k, tests in here:
+        e, place, above = todo.pop()
+        line = (e, above)
+        for name, k, tests in place.here:
             if name in n:
                 n[name] += 1
-            elif (name, k) not in first and all(holds(line[-1 - up], *test) for up, *test in tests):
+            elif (name, k) not in first and all(holds(ancestor(line, up), *test) for up, *test in tests):
                 first[name, k] = "".join(e.itertext()).strip(" ")
-        todo.extend((c, path, line) for c in reversed(e))
+        # Leaves where no label stands are not visited: most elements are such.
+        below = place.below
+        for c in reversed(e):
+            at = below.get(c.tag) or place.at(c.tag)
+            if at.here or len(c):
+                todo.append((c, at, line))
     out = {name: next((t for k in range(len(ps)) if (t := first.get((name, k)))), None) for name, ps in TEXTS.items()}
     return out | n
 
 
+def ancestor(line: tuple, up: int) -> ET.Element:
+    """The element ``up`` levels above the first of a chain (element, chain above it)."""
+    for _ in range(up):
+        line = line[1]
+    return line[0]
+
+
 READ = T.StructType([*[T.StructField(n, T.StringType()) for n in TEXTS], *[T.StructField(n, T.IntegerType()) for n in COUNTS]])
 
 
@@ -153,7 +178,7 @@ def einvoice_labels(xml: Column) -> dict[str, Column]:
 
     @F.pandas_udf(READ)
     def labels(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, list] = {}
+        known = Place(())
         none = dict.fromkeys(READ.fieldNames())
         rows = pd.DataFrame([none if x is None else read_einvoice(x, known) for x in texts], columns=READ.fieldNames())
         return rows.astype({n: "Int32" for n in COUNTS})
